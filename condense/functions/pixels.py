@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def luma(pixels: Column) -> Column:
@@ -49,12 +49,12 @@ def _values(raw) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8).astype(np.float64)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def luma_binary(pixels: pd.Series) -> pd.Series:
     return pixels.map(lambda raw: None if raw is None else float(_values(raw).mean()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mean_abs_diff_binary(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if p is None or q is None else float(np.abs(_values(p) - _values(q)).mean()) for p, q in zip(a, b)],
@@ -66,7 +66,7 @@ def roi_energy_binary(width: int, height: int, box: tuple[int, int, int, int]):
     """Kernel for two BINARY gray frames: crop, absolute difference, over the nominal area."""
     x, y, w, h = box
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def kernel(prev: pd.Series, cur: pd.Series) -> pd.Series:
         def view(raw):
             return _values(raw).reshape(height, width)[y : y + h, x : x + w]

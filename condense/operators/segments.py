@@ -181,11 +181,17 @@ def absorb_short(
     return whole.withColumn(seq, div(F.col(seq), 2))
 
 
-def segments_to_json(segments: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
-    """One JSON list per key in ``analysis_segments``; for keys whose list fits a cell, such as one clip."""
+def segments_to_json(segments: DataFrame, keys: Sequence[str], seq: str = "seq", per_part: int = 10_000) -> DataFrame:
+    """JSON lists of the segments of each key, in order, in ``analysis_segments``.
+
+    ``seq`` counts the segments of a key from 0. A list longer than ``per_part``
+    goes into several rows, ``part`` 0, 1, ..., so no cell grows without bound.
+    """
     item = F.struct(*SEGMENT_COLUMNS)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq), item.alias("s")))), lambda x: x["s"])
-    return segments.groupBy(*keys).agg(F.to_json(ordered).alias("analysis_segments"))
+    return segments.groupBy(*keys, div(F.col(seq), per_part).alias("part")).agg(
+        F.to_json(ordered).alias("analysis_segments")
+    )
 
 
 def segments_from_json(clips: DataFrame, column: str = "analysis_segments") -> DataFrame:

@@ -53,6 +53,7 @@ LABEL_CSV = T.StructType([
     T.StructField("time_sec", T.StringType()),
     T.StructField("is_motion", T.IntegerType()),
     T.StructField("formatted_time", T.StringType()),
+    T.StructField("file_id", T.LongType()),
 ])
 
 
