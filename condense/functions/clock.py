@@ -19,20 +19,13 @@ def epoch_seconds(ts: Column) -> Column:
     return epoch_micros(ts) / F.lit(1e6)
 
 
-def stamp_to_ntz(text: Column) -> Column:
-    """``yyyyMMddHHmmss`` to a zone-less timestamp; anything invalid gives NULL."""
-    part = lambda at, n: F.try_to_number(F.substring(text, at, n), F.lit("9" * n)).cast("int")
-    ok = text.rlike(r"^\d{14}$")
-    made = F.try_make_timestamp_ntz(
-        part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2), part(13, 2).cast("decimal(16,6)")
-    )
-    return F.when(ok, made)
-
-
 def stamp_to_epoch(text: Column, local: bool = False) -> Column:
-    """Epoch seconds of a clip stamp, read as UTC or in the session zone."""
-    ntz = stamp_to_ntz(text)
-    return F.unix_timestamp(ntz.cast("timestamp")).cast("double") if local else epoch_seconds(ntz)
+    """Epoch seconds of a clip stamp ``yyyyMMddHHmmss``, read as UTC or in the session zone; NULL if it is no time."""
+    if local:
+        moment = F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss"))
+    else:
+        moment = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit("yyyyMMddHHmmss Z"))
+    return F.unix_seconds(moment).cast("double")
 
 
 def day_offset(stamp: Column, date: Column, clamp: bool = False, local: bool = False) -> Column:

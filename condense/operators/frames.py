@@ -143,12 +143,10 @@ def sample_stream(frames: DataFrame, files: DataFrame, segments: int = 150) -> D
     last_slot = F.least(F.floor(F.col("duration") * rate).cast("long"), F.lit(stream_frames(segments) - 1))
     upto = F.coalesce(F.lead("_slot").over(w) - 1, F.greatest(F.col("_slot"), last_slot))
     return (
-        slots.withColumn("i", F.explode(F.sequence(F.col("_slot"), upto)))
+        slots.withColumn("_upto", upto)
+        .withColumn("i", F.explode(F.sequence("_slot", "_upto")))
         .select(
-            *FILE,
-            F.col("i").cast("long").alias("i"),
-            stream_point(F.col("i"), F.col("duration"), segments).alias("sample_ts"),
-            F.col("_f.pixels").alias("pixels"),
+            *FILE, "i", stream_point(F.col("i"), F.col("duration"), segments).alias("sample_ts"), F.col("_f.pixels").alias("pixels")
         )
     )
 
@@ -209,13 +207,16 @@ def read_detail(clips: DataFrame, column: str = "prescreen_result") -> DataFrame
     )
 
 
-def score_frames(frames: DataFrame, make_predict_fn, return_type, batch_size: int = 64) -> DataFrame:
+def score_frames(frames: DataFrame, make_predict_fn, return_type, shape: list[int], batch_size: int = 64) -> DataFrame:
     """Score frames in batches with a user-given model, loaded once per Python worker.
 
     ``make_predict_fn`` returns a function of a NumPy batch, as
-    ``pyspark.ml.functions.predict_batch_udf`` wants it. Adds ``score``.
+    ``pyspark.ml.functions.predict_batch_udf`` wants it; ``shape`` is that of one
+    frame. Adds ``score``.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    model = predict_batch_udf(make_predict_fn, return_type=return_type, batch_size=batch_size)
+    model = predict_batch_udf(
+        make_predict_fn, return_type=return_type, batch_size=batch_size, input_tensor_shapes=[shape]
+    )
     return frames.withColumn("score", model("pixels"))

@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from condense.functions.clock import epoch_micros
 from condense.operators import segments as seg, timeline as tl
 from condense.operators.series import chunking, div, with_position
+from condense.operators.registry import in_clip_order
 from condense.plans.bound import bound, table
+from condense.session import shared_dir
+from condense.sources.listing import list_files as list_folder
+from condense.sources.tables import read_days, write_days
 
 DAY = ["date", "cam_index"]
 DAY_US = 86_400_000_000
@@ -290,3 +294,30 @@ def segment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "max_energy",
         "file_start_offset",
     )
+
+
+@bound("list_files", f"WITH {_DAYS} SELECT DISTINCT date, cam_index FROM d")
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips written by day, then the folder listed: the days the files lie in."""
+    path = shared_dir(spark, "listed")
+    write_days(event_clips(event_segments(spark, sf_dir)), path)
+    found = list_folder(spark, path, "*.parquet").where("length > 0")
+    pattern = r"date=(\d{8})/cam_index=(\d+)/"
+    day, cam = F.regexp_extract("path", pattern, 1), F.regexp_extract("path", pattern, 2).cast("int")
+    return found.select(day.alias("date"), cam.alias("cam_index")).distinct()
+
+
+@bound(
+    "registry_scan",
+    f"""WITH {_DAYS},{_CLIPS}, td AS (SELECT max(date) AS d FROM clip WHERE cam_index = 0)
+    SELECT source_file AS path, date, cam_index, file_start_time, verdict AS prescreen_status FROM clip, td
+    WHERE date = d AND cam_index = 0""",
+)
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole registry written by day, the latest day of camera 0 read back in clip order."""
+    clips = event_clips(event_segments(spark, sf_dir))
+    path = shared_dir(spark, "registry")
+    write_days(clips, path)
+    latest = read_days(spark, path, clips.schema).where("cam_index = 0").agg(F.max("date")).first()[0]
+    one_day = read_days(spark, path, clips.schema, latest)
+    return in_clip_order(one_day).select("path", *DAY, "file_start_time", "prescreen_status")

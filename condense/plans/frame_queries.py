@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from condense.functions import pixels as px
 from condense.operators import frames as fr
-from condense.operators.series import chunking, div, with_position
+from condense.operators.series import chunk_window, chunking, div, with_halo, with_position
 from condense.plans.bound import bound, table
+from condense.schemas import PRESCREEN_DETAIL
 
 FILE = ["file_id"]
 WIDTH = HEIGHT = 8
@@ -95,8 +96,6 @@ def _binary(frames: DataFrame) -> DataFrame:
 @bound("frame_kernels", f"WITH {_FRAMES},{_changes('fr')},{_ENERGY} SELECT ch.file_id, i, luma, diff_prev, energy FROM ch LEFT JOIN en ON ch.file_id = en.file_id AND i - 1 = k")
 def frame_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brightness, difference and ROI energy of BINARY frames by the Arrow kernels."""
-    from condense.operators.series import chunk_window, with_halo
-
     frames, chunks = embedding_frames(spark, sf_dir)
     box = px.roi_box(WIDTH, HEIGHT, ROI)
     paired = (
@@ -154,8 +153,6 @@ def sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 )
 def prescreen_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a low-rate decode, judged, written as JSON and read back."""
-    from condense.schemas import PRESCREEN_DETAIL
-
     samples, files = sampled(spark, sf_dir)
     changes = fr.frame_changes(samples, None)
     stored = fr.prescreen_detail(changes, samples, files, LIMIT, "stream_fps", SEGMENTS)
@@ -191,5 +188,5 @@ def weighted_sum_model():
 def score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, _ = embedding_frames(spark, sf_dir)
     floats = frames.select(*FILE, "i", F.col("pixels").cast(T.ArrayType(T.DoubleType())).alias("pixels"))
-    scored = fr.score_frames(floats, weighted_sum_model, T.DoubleType())
+    scored = fr.score_frames(floats, weighted_sum_model, T.DoubleType(), [WIDTH * HEIGHT])
     return scored.select(*FILE, "i", "score", (F.col("score") > 104_000).alias("hit"))

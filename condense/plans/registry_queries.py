@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from condense.functions import names, sampling
-from condense.operators import registry as reg
+from condense.operators import registry as reg, timeline as tl
 from condense.plans.bound import bound, table
-from condense.session import shared_dir
 from condense.sources import listing as ls
-from condense.sources.tables import read_days, write_days
 
 DAY = ["date", "cam_index"]
 AS_OF = "2001-08-02 00:00:00"
@@ -74,14 +72,6 @@ def order_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two states per day: an older from half the clips' sizes, a newer from their number."""
-    days = order_clips(spark, sf_dir).groupBy(*DAY).agg(
-        F.count(F.lit(1)).alias("n"), F.max("file_duration").alias("longest"), F.min("o_orderkey").alias("at")
-    )
-    return days
-
-
 _ORDERS = f"""
 ol AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice,
               CAST(floor(o_totalprice * 100) AS BIGINT) AS length, o_orderkey % 30 AS age, o_orderkey % 80000 AS s,
@@ -164,32 +154,6 @@ def intake_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.intake_counts(classified(spark, sf_dir), known)
 
 
-@bound("list_files", f"WITH {_ORDERS} SELECT DISTINCT date, cam_index FROM cl")
-def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clips written by day, then the folder listed: the days the files lie in."""
-    path = shared_dir(spark, "listed")
-    write_days(order_clips(spark, sf_dir), path)
-    found = ls.list_files(spark, path, "*.parquet").where("length > 0")
-    day = F.regexp_extract("path", r"date=(\d{8})/cam_index=(\d+)/", 1)
-    cam = F.regexp_extract("path", r"date=(\d{8})/cam_index=(\d+)/", 2).cast("int")
-    return found.select(day.alias("date"), cam.alias("cam_index")).distinct()
-
-
-@bound(
-    "registry_scan",
-    f"""WITH {_ORDERS}, td AS (SELECT max(date) AS d FROM cl WHERE cam_index = 0)
-    SELECT path, date, cam_index, file_start_time, prescreen_status FROM cl, td WHERE date = d AND cam_index = 0""",
-)
-def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole registry written by day, the latest day of camera 0 read back in clip order."""
-    clips = order_clips(spark, sf_dir)
-    path = shared_dir(spark, "registry")
-    write_days(clips, path)
-    latest = spark.read.schema(clips.schema).parquet(path).where("cam_index = 0").agg(F.max("date")).first()[0]
-    one_day = read_days(spark, path, clips.schema, latest)
-    return reg.in_clip_order(one_day).select("path", *DAY, "file_start_time", "prescreen_status")
-
-
 @bound("registry_insert", f"WITH {_ORDERS} SELECT path, prescreen_status FROM cl")
 def registry_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static clips are registered; then all clips are found, some of them twice."""
@@ -313,15 +277,13 @@ def clip_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def usable_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips with a verdict or with stored segments; a large line item stands for the latter."""
-    from condense.operators.timeline import usable_clips as usable
-
     stored = (
         table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity")
         .where("l_quantity > 25")
         .select(F.col("l_orderkey").alias("o_orderkey"), F.lit("[]").alias("analysis_segments"))
         .distinct()
     )
-    return usable(order_clips(spark, sf_dir).join(stored, "o_orderkey", "left")).select("path", "prescreen_status")
+    return tl.usable_clips(order_clips(spark, sf_dir).join(stored, "o_orderkey", "left")).select("path", "prescreen_status")
 
 
 @bound(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.functions.clock import stamp_to_epoch, stamp_to_ntz
+from condense.functions.clock import stamp_to_epoch
 from condense.functions.names import base_name, clip_camera, clip_end, clip_start, is_clip_name
 
 STABLE_MINUTES = 5  # fixed value: width of the age range in which the size is checked twice
@@ -64,7 +64,7 @@ def classify(
     the moment of the scan; ``second_look`` a later listing (``path``, ``length``)
     that is consulted for files just above the age limit.
     """
-    readable = stamp_to_ntz(F.col("file_start_time")).isNotNull() & stamp_to_ntz(F.col("file_end_time")).isNotNull()
+    readable = F.col("file_duration").isNotNull()
     age = (as_of.cast("timestamp").cast("double") - F.col("modificationTime").cast("timestamp").cast("double")) / 60
     rows = clips.withColumn("_age", age)
     moved = F.lit(False)

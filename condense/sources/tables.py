@@ -31,21 +31,23 @@ def read_days(
     return of_day(spark.read.schema(schema).parquet(path), date, cam)
 
 
-def write_label_csv(labels: DataFrame, path: str) -> None:
-    """The motion labels: index, time with two digits, 1, and ``m:ss.ss``; a folder per file."""
-    (
-        labels.where("is_motion")
-        .select(
-            "file_id",
-            F.col("i").alias("frame_index"),
-            F.format_string("%.2f", F.col("time")).alias("time_sec"),
-            F.lit(1).alias("is_motion"),
-            minutes_seconds(F.col("time")).alias("formatted_time"),
-        )
-        .write.partitionBy("file_id")
-        .option("header", True)
-        .csv(path)
+def write_label_csv(labels: DataFrame, path: str, per_file: bool = False) -> None:
+    """The motion labels as CSV: file, index, time with two digits, 1, and ``m:ss.ss``.
+
+    ``per_file`` writes a folder per file instead of a column, for a few files
+    that people look at.
+    """
+    rows = labels.where("is_motion").select(
+        F.col("i").alias("frame_index"),
+        F.format_string("%.2f", F.col("time")).alias("time_sec"),
+        F.lit(1).alias("is_motion"),
+        minutes_seconds(F.col("time")).alias("formatted_time"),
+        "file_id",
     )
+    if per_file:
+        rows.hint("rebalance", "file_id").write.partitionBy("file_id").option("header", True).csv(path)
+    else:
+        rows.write.option("header", True).csv(path)
 
 
 LABEL_CSV = T.StructType([
@@ -59,4 +61,4 @@ LABEL_CSV = T.StructType([
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
     """Operation metrics as JSON lines, a folder per day; summaries are queries over it."""
-    metrics.write.partitionBy(*DAY).json(path)
+    metrics.hint("rebalance", *DAY).write.partitionBy(*DAY).json(path)
