@@ -25,7 +25,7 @@ def write_days(table: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_days(
-    spark: SparkSession, path: str, schema: T.StructType, date: str | None = None, cam: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str, date: str | None = None, cam: int | None = None
 ) -> DataFrame:
     """Read the table, or one day of it: a filter on the partition columns, so other days are not listed as input."""
     return of_day(spark.read.schema(schema).parquet(path), date, cam)
