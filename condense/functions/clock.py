@@ -21,11 +21,12 @@ def epoch_seconds(ts: Column) -> Column:
 
 def stamp_to_epoch(text: Column, local: bool = False) -> Column:
     """Epoch seconds of a clip stamp ``yyyyMMddHHmmss``, read as UTC or in the session zone; NULL if it is no time."""
-    if local:
-        moment = F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss"))
-    else:
-        moment = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit("yyyyMMddHHmmss Z"))
-    return F.unix_seconds(moment).cast("double")
+    part = lambda at, n: F.substring(text, at, n)
+    iso = F.concat(
+        part(1, 4), F.lit("-"), part(5, 2), F.lit("-"), part(7, 2), F.lit(" "), part(9, 2), F.lit(":"), part(11, 2),
+        F.lit(":"), part(13, 2), F.lit("" if local else "Z"),
+    )
+    return F.unix_seconds(iso.try_cast("timestamp")).cast("double")
 
 
 def day_offset(stamp: Column, date: Column, clamp: bool = False, local: bool = False) -> Column:

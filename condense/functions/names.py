@@ -17,16 +17,19 @@ def is_clip_name(name: Column) -> Column:
     return name.rlike(CLIP_NAME)
 
 
+# The parts of a name that has the format stand at fixed places.
+
+
 def clip_camera(name: Column) -> Column:
-    return F.regexp_extract(name, CLIP_NAME, 1).cast("int")
+    return F.substring(name, 1, 2).cast("int")
 
 
 def clip_start(name: Column) -> Column:
-    return F.regexp_extract(name, CLIP_NAME, 2)
+    return F.substring(name, 4, 14)
 
 
 def clip_end(name: Column) -> Column:
-    return F.regexp_extract(name, CLIP_NAME, 3)
+    return F.substring(name, 19, 14)
 
 
 def output_name(date: Column, cam: Column, template: str = OUTPUT_NAME) -> Column:

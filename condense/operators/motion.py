@@ -6,7 +6,9 @@ count ``i`` = 0, 1, 2, ... with one label more than there are energies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from condense.operators.ranks import percentiles
 from condense.operators.series import (
@@ -138,20 +140,47 @@ def label_runs(
     runs = joined(rows)
     if not smooth:
         return runs
-    by_length = (
-        F.when(F.col("is_motion") & (F.col("labels") < min_motion), False)
-        .when(~F.col("is_motion") & (F.col("labels") < noise_suppress), True)
-        .otherwise(F.col("is_motion"))
-    )
-    runs = joined(runs.withColumn("is_motion", by_length))
+    first = _by_raw_length(F.col("is_motion"), F.col("labels"), min_motion, noise_suppress)
+    runs = joined(runs.withColumn("is_motion", first))
     still = F.col("is_motion") | (F.col("labels") < min_static)
     return joined(runs.withColumn("is_motion", still))
 
 
-def smooth_labels(labels: DataFrame, runs: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
-    """Labels with ``is_motion`` taken from the smoothed runs."""
-    return runs_to_rows(
-        labels.drop("is_motion"), runs, FILE, "i", "first_i", "last_i", {"is_motion": "is_motion"}, chunk_rows
+def smooth_labels(
+    labels: DataFrame,
+    min_motion: int = 3,
+    min_static: int = 5,
+    noise_suppress: int = 2,
+    chunk_rows: int | None = CHUNK_ROWS,
+) -> DataFrame:
+    """The labels after smoothing, one row per label.
+
+    Series known to fit a task are smoothed in windows that all share one
+    exchange; longer ones through their runs, which are then looked up per row.
+    """
+    if chunk_rows is not None:
+        plain = labels.drop("time") if "time" in labels.columns else labels
+        runs = label_runs(plain, min_motion, min_static, noise_suppress, chunk_rows)
+        return runs_to_rows(
+            labels.drop("is_motion"), runs, FILE, "i", "first_i", "last_i", {"is_motion": "is_motion"}, chunk_rows
+        ).select(*labels.columns)
+
+    def with_length(df):
+        order = W.partitionBy(*FILE).orderBy("i")
+        changed = F.coalesce(F.lag("is_motion").over(order) != F.col("is_motion"), F.lit(True))
+        numbered = df.withColumn("_new", changed.cast("int")).withColumn("_run", F.sum("_new").over(order))
+        return numbered.withColumn("_len", F.count(F.lit(1)).over(W.partitionBy(*FILE, "_run")))
+
+    moving, length = F.col("is_motion"), F.col("_len")
+    first, second = _by_raw_length(moving, length, min_motion, noise_suppress), moving | (length < min_static)
+    once = with_length(labels).withColumn("is_motion", first).select(*labels.columns)
+    return with_length(once).withColumn("is_motion", second).select(*labels.columns)
+
+
+def _by_raw_length(moving: Column, length: Column, min_motion: int, noise_suppress: int) -> Column:
+    """The label after the first pass: too short motion runs are static, too short static runs motion."""
+    return (
+        F.when(moving & (length < min_motion), False).when(~moving & (length < noise_suppress), True).otherwise(moving)
     )
 
 
@@ -225,18 +254,20 @@ def analyze(
     files: DataFrame | None = None,
     axis: str = "compat",
     chunk_rows: int | None = CHUNK_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """The whole chain from energies to smoothed runs with times.
 
-    ``files`` has ``file_id``, ``duration`` and ``offset`` (seconds).
+    ``files`` has ``file_id``, ``duration`` and ``offset`` (seconds). ``keep``
+    may store the series between the steps, which read it several times.
     """
     series = energies.select(*FILE, "k", "energy")
     if early_window:
-        series = cut_quiet_tail(series, early_window, early_threshold, chunk_rows)
+        series = keep(cut_quiet_tail(series, early_window, early_threshold, chunk_rows), "cut")
     else:
         series = series.withColumn("early", F.lit(False))
     ended = series.groupBy(*FILE).agg(F.max("early").alias("early"), F.max("k").alias("last_k"))
-    series = running_median(series.drop("early"), median_window, chunk_rows)
+    series = keep(running_median(series.drop("early"), median_window, chunk_rows), "median")
     labels = raw_labels(series, noise_threshold(series, sensitivity), chunk_rows)
     if files is None:
         return label_runs(labels, min_motion, min_static, noise_suppress, chunk_rows)

@@ -13,7 +13,7 @@ from condense.operators import segments as seg, timeline as tl
 from condense.operators.series import chunking, div, with_position
 from condense.operators.registry import in_clip_order
 from condense.plans.bound import bound, table
-from condense.session import shared_dir
+from condense.session import shared_dir, written
 from condense.sources.listing import list_files as list_folder
 from condense.sources.tables import read_days, write_days
 
@@ -35,7 +35,7 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("max_energy"),
         F.floor(start / 3600).cast("int").alias("_h"),
     )
-    hour = F.format_string("%02d", "_h")
+    hour = F.lpad(F.col("_h").cast("string"), 2, "0")
     stamp = lambda rest: F.concat("date", hour, F.lit(rest))
     return rows.select(
         *DAY,
@@ -43,7 +43,7 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "end_time",
         "state",
         "max_energy",
-        F.concat(F.format_string("%02d_", "cam_index"), stamp("0000_"), stamp("5959.mp4")).alias("source_file"),
+        F.concat(F.lit("0"), F.col("cam_index").cast("string"), F.lit("_"), stamp("0000_"), stamp("5959.mp4")).alias("source_file"),
         stamp("0000").alias("file_start_time"),
         stamp("5959").alias("file_end_time"),
         (F.col("_h") * F.lit(3600.0)).alias("file_start_offset"),
@@ -69,7 +69,7 @@ def merged_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None
 
 def clip_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int | None]:
     """Ordered segments of all days with static clips as whole-clip segments, the clips, and the chunking."""
-    segments = event_segments(spark, sf_dir)
+    segments = written(event_segments(spark, sf_dir), "segments")  # read for the clips and for the days
     clips = event_clips(segments)
     chunks = chunking(segments, DAY)
     busy = clips.where("prescreen_status = 'SUSPICIOUS'").select(*DAY, F.col("path").alias("source_file"))
@@ -78,9 +78,11 @@ def clip_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, i
     return tl.in_order(days, chunks), clips, chunks
 
 
-def merged_timeline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int | None]:
+def merged_timeline(spark: SparkSession, sf_dir: str, store: bool = False) -> tuple[DataFrame, DataFrame, int | None]:
+    """The timeline of merged segments; ``store`` writes it first, for queries that read it more than once."""
     ordered, clips, chunks = clip_days(spark, sf_dir)
-    return tl.build_timeline(ordered, absorb=False, chunk_rows=chunks), clips, chunks
+    timeline = tl.build_timeline(ordered, absorb=False, chunk_rows=chunks)
+    return written(timeline, "timeline") if store else timeline, clips, chunks
 
 
 _DAYS = """
@@ -141,7 +143,7 @@ def segment_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bound("day_timeline", f"WITH {_TIMELINE} SELECT date, cam_index, seq, filepath, start_in_file, end_in_file, state, duration, input_index FROM ba")
 def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timeline, _, _ = merged_timeline(spark, sf_dir)
+    timeline, _, _ = merged_timeline(spark, sf_dir, store=True)
     return tl.with_input_index(timeline)
 
 
@@ -200,7 +202,7 @@ def edit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(sum(duration), 8) AS total_duration FROM ba GROUP BY date, cam_index, batch_idx""",
 )
 def render_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timeline, _, chunks = merged_timeline(spark, sf_dir)
+    timeline, _, chunks = merged_timeline(spark, sf_dir, store=True)
     totals = tl.batch_totals(tl.batches(timeline, 4, chunks))
     return totals.withColumn("total_duration", F.round("total_duration", 8))
 
@@ -215,7 +217,7 @@ def render_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ba JOIN bf USING (date, cam_index, batch_idx, filepath)""",
 )
 def batch_edit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timeline, _, _ = merged_timeline(spark, sf_dir)
+    timeline, _, _ = merged_timeline(spark, sf_dir, store=True)
     batched = tl.batches_by_file(timeline, 4).drop("input_index")
     return tl.with_input_index(batched, [*DAY, "batch_idx"]).select(*DAY, "batch_idx", "seq", "filepath", "input_index")
 
@@ -225,7 +227,7 @@ def batch_edit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_TIMELINE} SELECT date, cam_index, seq, filepath, state, duration FROM ba WHERE batch_idx = 0",
 )
 def batch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timeline, _, _ = merged_timeline(spark, sf_dir)
+    timeline, _, _ = merged_timeline(spark, sf_dir, store=True)
     files = tl.timeline_files(timeline).where(div(F.col("input_index"), 4) == 0)
     return tl.in_batch(timeline, files).select(*DAY, "seq", "filepath", "state", "duration")
 

@@ -8,7 +8,7 @@ from condense.functions.clock import epoch_micros
 from condense.operators import motion, segments as seg
 from condense.operators.series import attach, chunking, div, with_position
 from condense.plans.bound import bound, table
-from condense.session import shared_dir
+from condense.session import shared_dir, written
 from condense.sources.tables import LABEL_CSV, write_label_csv
 
 FILE = ["file_id"]
@@ -95,9 +95,7 @@ def motion_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bound("motion_smooth", f"{_CHAIN} SELECT file_id, i, energy, m AS is_motion FROM s2")
 def motion_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     energies, chunks = event_energies(spark, sf_dir)
-    labels = labels_of(energies, chunks)
-    runs = motion.label_runs(labels.drop("time"), chunk_rows=chunks)
-    return motion.smooth_labels(labels, runs, chunks).select("file_id", "i", "energy", "is_motion")
+    return motion.smooth_labels(labels_of(energies, chunks), chunk_rows=chunks).select("file_id", "i", "energy", "is_motion")
 
 
 @bound(
@@ -226,9 +224,7 @@ def label_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def label_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     energies, chunks = event_energies(spark, sf_dir)
-    labels = labels_of(energies, chunks)
-    runs = motion.label_runs(labels.drop("time"), chunk_rows=chunks)
-    smooth = motion.smooth_labels(labels, runs, chunks)
+    smooth = motion.smooth_labels(labels_of(energies, chunks), chunk_rows=chunks)
     path = shared_dir(spark, "label-csv")
     write_label_csv(smooth.withColumn("time", (F.col("time") % 100_000_000_000) / 1e6), path)
     return spark.read.schema(LABEL_CSV).option("header", True).csv(path)
@@ -252,5 +248,5 @@ def analyze_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = energies.groupBy(*FILE).agg(
         (F.count(F.lit(1)) * SECONDS_PER_FRAME).alias("duration"), F.lit(0.0).alias("offset")
     )
-    runs = motion.analyze(energies, early_window=5, early_threshold=20.0, files=files, chunk_rows=chunks)
+    runs = motion.analyze(energies, early_window=5, early_threshold=20.0, files=files, chunk_rows=chunks, keep=written)
     return runs.withColumns({c: F.round(c, 6) for c in ("start_time", "end_time")})

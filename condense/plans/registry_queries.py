@@ -14,7 +14,8 @@ AS_OF = "2001-08-02 00:00:00"
 
 
 def _clock(seconds: Column) -> Column:
-    return F.format_string("%02d%02d%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
+    parts = [F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60]
+    return F.concat(*[F.lpad(p.cast("string"), 2, "0") for p in parts])
 
 
 def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,9 @@ def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(
         F.lit("/clips/"),
         F.col("o_orderkey").cast("string"),
-        F.format_string("/%02d_", F.col("o_custkey") % 4),
+        F.lit("/0"),
+        (F.col("o_custkey") % 4).cast("string"),
+        F.lit("_"),
         date,
         _clock(start),
         F.lit("_"),

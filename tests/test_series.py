@@ -98,7 +98,7 @@ def test_threshold_and_smoothing(spark, chunk):
     assert by_file(runs.collect(), "first_i", "first_i", "last_i", "is_motion") == {
         f: plain.runs(flags) for f, flags in smoothed.items()
     }
-    assert by_file(motion.smooth_labels(labels, runs, chunk).collect(), "i", "is_motion") == smoothed
+    assert by_file(motion.smooth_labels(labels, chunk_rows=chunk).collect(), "i", "is_motion") == smoothed
     ratios = {r["file_id"]: r for r in motion.motion_ratio(runs).collect()}
     for f, flags in smoothed.items():
         assert ratios[f]["motion_labels"] == sum(flags) and ratios[f]["labels"] == len(flags)
@@ -115,6 +115,8 @@ def test_smoothing_of_random_labels(spark, chunk):
     runs = motion.label_runs(labels, 3, 5, 2, chunk)
     got = by_file(runs.collect(), "first_i", "first_i", "last_i", "is_motion")
     assert got == {f: plain.runs(plain.smooth(flags, 3, 5, 2)) for f, flags in data.items()}
+    rows = by_file(motion.smooth_labels(labels, chunk_rows=chunk).collect(), "i", "is_motion")
+    assert rows == {f: plain.smooth(flags, 3, 5, 2) for f, flags in data.items()}
 
 
 def test_energy_equal_to_the_threshold_is_no_motion(spark):
