@@ -19,23 +19,23 @@ FRAME_CHUNK = 1_024  # frames are large: shorter chunks than for scalar series
 def frame_changes(frames: DataFrame, chunk_rows: int | None = FRAME_CHUNK) -> DataFrame:
     """``luma`` of every frame and, from the second frame on, its difference to the previous and to the first frame.
 
-    ``d`` is the larger of the two differences.
+    ``d`` is the larger of the two differences. The rows carry their ``_chunk``.
     """
     rows = frames.select(*FILE, "i", "pixels")
     first = rows.where("i = 0").select(*FILE, F.col("pixels").alias("_first"))
     size = rows.groupBy(*FILE).agg(F.max("i").alias("_last_i"))
-    with_first = attach(rows, first.join(size, FILE), FILE, "i", F.col("_last_i"), chunk_rows)
-    with_prev = (
-        with_halo(with_first, FILE, "i", before=1, chunk_rows=chunk_rows)
-        .withColumn("_prev", F.lag("pixels").over(chunk_window(FILE, "i")))
-        .where("_own")
-    )
+    # border rows are copied first, so that the first frame joins and the
+    # previous frame is found on one and the same exchange of the pixels
+    haloed = with_halo(rows, FILE, "i", before=1, chunk_rows=chunk_rows)
+    with_first = attach(haloed, first.join(size, FILE), FILE, "i", F.col("_last_i"), chunk_rows)
+    with_prev = with_first.withColumn("_prev", F.lag("pixels").over(chunk_window(FILE, "i"))).where("_own")
     diffs = with_prev.select(
         *FILE,
         "i",
         px.luma(F.col("pixels")).alias("luma"),
         px.mean_abs_diff(F.col("pixels"), F.col("_prev")).alias("diff_prev"),
         F.when(F.col("i") > 0, px.mean_abs_diff(F.col("pixels"), F.col("_first"))).alias("diff_first"),
+        "_chunk",
     )
     return diffs.withColumn("d", F.when(F.col("i") > 0, F.greatest("diff_prev", "diff_first")))
 
@@ -92,24 +92,38 @@ def _verdict(mode: str, threshold: float) -> dict[str, Column]:
     }
 
 
-def prescreen(
-    changes: DataFrame, threshold: float = 6.0, mode: str = "stream_fps", chunk_rows: int | None = FRAME_CHUNK
-) -> DataFrame:
+def prescreen(changes: DataFrame, threshold: float = 6.0, mode: str = "stream_fps") -> DataFrame:
     """One verdict per file, with its evidence as plain columns.
 
+    What follows the first change over its threshold is not looked at. Each chunk
+    is cut at its own first such change and summed up; of the chunks of a file
+    those after the first cut one are left out. One pass over the frames, no
+    second exchange of rows.
+
     ``legacy_seek`` compares the largest change with the threshold for the last
     frame's brightness, ``stream_fps`` with the base threshold.
     """
     if mode not in ("legacy_seek", "stream_fps"):
         raise ValueError(f"unknown mode {mode}")
-    seen = checked_pairs(changes, threshold, chunk_rows)
-    summary = seen.groupBy(*FILE).agg(
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    in_chunk = before(W.partitionBy(*FILE, "_chunk").orderBy("i"))
+    judged = with_threshold(changes, threshold).withColumn("_done", F.max("over").over(in_chunk))
+    parts = judged.where(~F.coalesce("_done", F.lit(False))).groupBy(*FILE, "_chunk").agg(
         F.max("d").alias("max_diff"),
         F.count("d").alias("pairs"),
         F.max_by("luma", "i").alias("last_luma"),
         F.max_by("limit", "i").alias("last_limit"),
         F.bool_or("over").alias("stopped"),
     )
+    along = before(W.partitionBy(*FILE).orderBy("_chunk"))
+    looked_at = parts.withColumn("_done", F.max("stopped").over(along)).where(~F.coalesce("_done", F.lit(False)))
+    summary = looked_at.groupBy(*FILE).agg(
+        F.max("max_diff").alias("max_diff"),
+        F.sum("pairs").alias("pairs"),
+        F.max_by("last_luma", "_chunk").alias("last_luma"),
+        F.max_by("last_limit", "_chunk").alias("last_limit"),
+        F.bool_or("stopped").alias("stopped"),
+    )
     verdict = _verdict(mode, threshold)
     return summary.select(
         *FILE,
@@ -165,7 +179,7 @@ def prescreen_detail(
     sampling rule, so the ordered lists fit a cell. ``samples`` has
     ``sample_ts`` for each ``i``, ``files`` has ``duration``.
     """
-    seen = checked_pairs(changes, threshold, None).join(samples.select(*FILE, "i", "sample_ts"), [*FILE, "i"])
+    seen = checked_pairs(changes.drop("_chunk"), threshold, None).join(samples.select(*FILE, "i", "sample_ts"), [*FILE, "i"])
     ordered = F.array_sort(F.collect_list(F.struct("i", "sample_ts", "d", "luma", "limit")))
     lists = seen.groupBy(*FILE).agg(
         ordered.alias("_s"), F.bool_or("over").alias("stopped"), F.count("d").alias("pairs"), F.max("d").alias("max_diff")

@@ -16,6 +16,7 @@ from condense.operators.series import (
     attach,
     chunk_window,
     coalesce_runs,
+    div,
     runs_to_rows,
     with_halo,
 )
@@ -92,16 +93,24 @@ def noise_threshold(energies: DataFrame, sensitivity: float = 1.0, bin_width: fl
 def raw_labels(
     energies: DataFrame, thresholds: DataFrame, chunk_rows: int | None = CHUNK_ROWS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Labels ``i`` = k + 1 with energy > threshold, after a leading False label at i = 0."""
+    """Labels ``i`` = k + 1 with energy > threshold, after a leading False label at i = 0.
+
+    With chunks the labels carry their ``_chunk``: threshold join and run windows
+    then share one exchange of the rows.
+    """
     usable = thresholds.where("analysis_status = 'ANALYZED'").select(*FILE, "n", "threshold")
-    rows = attach(energies.select(*FILE, "k", "energy", *carry), usable, FILE, "k", F.col("n") - 1, chunk_rows)
+    rows = energies.select(*FILE, (F.col("k") + 1).alias("i"), "energy", *carry)
+    chunk = []
+    if chunk_rows is not None:
+        rows, chunk = rows.withColumn("_chunk", div(F.col("i"), chunk_rows)), ["_chunk"]
+    rows = attach(rows, usable, FILE, "i", F.col("n"), chunk_rows)
     label = lambda i, moving, energy: F.struct(
         i.cast("long").alias("i"), moving.alias("is_motion"), energy.alias("energy")
     )
-    own = label(F.col("k") + 1, F.col("energy") > F.col("threshold"), F.col("energy"))
-    leading = F.when(F.col("k") == 0, label(F.lit(0), F.lit(False), F.lit(0.0)))
-    return rows.select(*FILE, F.explode(F.array_compact(F.array(leading, own))).alias("_l"), *carry).select(
-        *FILE, "_l.*", *carry
+    own = label(F.col("i"), F.col("energy") > F.col("threshold"), F.col("energy"))
+    leading = F.when(F.col("i") == 1, label(F.lit(0), F.lit(False), F.lit(0.0)))
+    return rows.select(*FILE, *chunk, F.explode(F.array_compact(F.array(leading, own))).alias("_l"), *carry).select(
+        *FILE, "_l.*", *carry, *chunk
     )
 
 
@@ -163,7 +172,7 @@ def smooth_labels(
         runs = label_runs(plain, min_motion, min_static, noise_suppress, chunk_rows)
         return runs_to_rows(
             labels.drop("is_motion"), runs, FILE, "i", "first_i", "last_i", {"is_motion": "is_motion"}, chunk_rows
-        ).select(*labels.columns)
+        ).select(*[c for c in labels.columns if c != "_chunk"])
 
     def with_length(df):
         order = W.partitionBy(*FILE).orderBy("i")

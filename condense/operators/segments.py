@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -106,6 +106,7 @@ def absorb_short(
     min_static: float = 30.0,
     tolerance: float = 0.5,
     chunk_rows: int | None = CHUNK_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """Absorb short segments into their neighbours until stable.
 
@@ -116,11 +117,15 @@ def absorb_short(
     and the stretches are folded independently, each streaming through its task.
     An anchor takes part in both its stretches and is put together again by the
     same merge rule, as two halves that touch.
+
+    With chunks, what the steps read twice is handed to ``keep``, which may store it.
     """
     keys = list(keys)
     cols = list(SEGMENT_COLUMNS)
     merged = merge_segments(segments, keys, seq, tolerance, chunk_rows)
     chunk = None if chunk_rows is None else div(F.col(seq), chunk_rows)
+    if chunk_rows is not None:
+        merged = keep(merged, "merged")
     later = running(merged, keys, [seq], chunk, {"_later_end": ("min", F.col("end_time"))}, reverse=True)
     long_enough = F.col("end_time") - F.col("start_time") >= F.when(
         F.col("state") == "DYNAMIC", F.lit(float(min_motion))
@@ -128,6 +133,8 @@ def absorb_short(
     anchored = later.withColumn(
         "_anchor", long_enough & (F.col("_later_end").isNull() | (F.col("_later_end") >= F.col("end_time")))
     )
+    if chunk_rows is not None:
+        anchored = keep(anchored, "anchored")
     placed = running(
         anchored, keys, [seq], chunk, {"_before": ("max", F.when(F.col("_anchor"), F.col(seq)))}
     ).withColumn("_before", F.coalesce("_before", F.lit(-1).cast("long")))

@@ -156,10 +156,16 @@ def attach(
     chunk_rows: int | None = CHUNK_ROWS,
     how: str = "inner",
 ) -> DataFrame:
-    """Join per-key values to the rows of a gapless series, chunk by chunk."""
+    """Join per-key values to the rows of a gapless series, chunk by chunk.
+
+    Rows that carry their ``_chunk`` keep it, and with it the partitioning that
+    later windows over the same chunks need.
+    """
     if chunk_rows is None:
         return rows.join(per_key, list(keys), how)
     side = spread(per_key, last_idx, chunk_rows)
+    if "_chunk" in rows.columns:
+        return rows.join(side, [*keys, "_chunk"], how)
     return rows.withColumn("_chunk", div(F.col(idx), chunk_rows)).join(side, [*keys, "_chunk"], how).drop("_chunk")
 
 
@@ -208,7 +214,8 @@ def coalesce_runs(
         return rows.groupBy(*group).agg(*made).select(*keys, order, *columns)
 
     within = W.partitionBy(*keys, "_chunk").orderBy(order)
-    marked = df.select(*keys, order, *columns, div(F.col(order), chunk_rows).alias("_chunk"))
+    chunk = F.col("_chunk") if "_chunk" in df.columns else div(F.col(order), chunk_rows)
+    marked = df.select(*keys, order, *columns, chunk.alias("_chunk"))
     marked = marked.withColumn(
         "_new", F.coalesce(starts_run(prev(within), F.col), F.lit(True)).cast("int")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -58,13 +58,14 @@ def build_timeline(
     min_length: float = 0.1,
     absorb: bool = True,
     chunk_rows: int | None = CHUNK_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """Merge, absorb and place the ordered segments of each day.
 
     Rows: day, ``seq``, ``filepath``, in-file start and end, ``state``, ``duration``.
     """
     if absorb:
-        parts = absorb_short(ordered, DAY, "seq", min_motion, min_static, tolerance, chunk_rows)
+        parts = absorb_short(ordered, DAY, "seq", min_motion, min_static, tolerance, chunk_rows, keep)
     else:
         parts = merge_segments(ordered, DAY, "seq", tolerance, chunk_rows)
     return in_file(parts, min_length)

@@ -138,7 +138,7 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = event_segments(spark, sf_dir)
     chunks = chunking(segments, DAY)
-    return seg.absorb_short(tl.in_order(segments, chunks), chunk_rows=chunks)
+    return seg.absorb_short(tl.in_order(segments, chunks), chunk_rows=chunks, keep=written)
 
 
 @bound("day_timeline", f"WITH {_TIMELINE} SELECT date, cam_index, seq, filepath, start_in_file, end_in_file, state, duration, input_index FROM ba")
@@ -150,7 +150,7 @@ def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bound("day_timeline_absorbed")
 def day_timeline_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered, _, chunks = clip_days(spark, sf_dir)
-    return tl.with_input_index(tl.build_timeline(ordered, chunk_rows=chunks))
+    return tl.with_input_index(tl.build_timeline(ordered, chunk_rows=chunks, keep=written))
 
 
 @bound(
@@ -202,8 +202,8 @@ def edit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(sum(duration), 8) AS total_duration FROM ba GROUP BY date, cam_index, batch_idx""",
 )
 def render_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timeline, _, chunks = merged_timeline(spark, sf_dir, store=True)
-    totals = tl.batch_totals(tl.batches(timeline, 4, chunks))
+    timeline, _, _ = merged_timeline(spark, sf_dir, store=True)
+    totals = tl.batch_totals(tl.batches_by_file(timeline, 4))  # a clip is an hour: clips do not interleave
     return totals.withColumn("total_duration", F.round("total_duration", 8))
 
 

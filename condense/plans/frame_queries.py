@@ -69,7 +69,7 @@ def frame_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bound("frame_diff", f"WITH {_FRAMES},{_changes('fr')} SELECT file_id, i, luma, diff_prev, diff_first, d FROM ch")
 def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, chunks = embedding_frames(spark, sf_dir)
-    return fr.frame_changes(frames, chunks)
+    return fr.frame_changes(frames, chunks).drop("_chunk")
 
 
 # the 8 x 8 picture cropped to columns 0..5 and rows 0..5
@@ -115,7 +115,7 @@ def frame_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bound("prescreen_seek", f"WITH {_FRAMES},{_changes('fr')},{_verdicts('last_limit')} SELECT * FROM ve")
 def prescreen_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, chunks = embedding_frames(spark, sf_dir)
-    return fr.prescreen(fr.frame_changes(frames, chunks), LIMIT, "legacy_seek", chunks)
+    return fr.prescreen(fr.frame_changes(frames, chunks), LIMIT, "legacy_seek")
 
 
 PRESCREEN_STREAM = f"WITH {_FRAMES},{_changes('fr')},{_verdicts(f'{LIMIT}::DOUBLE')} SELECT * FROM ve"
@@ -124,7 +124,7 @@ PRESCREEN_STREAM = f"WITH {_FRAMES},{_changes('fr')},{_verdicts(f'{LIMIT}::DOUBL
 @bound("prescreen_stream", PRESCREEN_STREAM)
 def prescreen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, chunks = embedding_frames(spark, sf_dir)
-    return fr.prescreen(fr.frame_changes(frames, chunks), LIMIT, "stream_fps", chunks)
+    return fr.prescreen(fr.frame_changes(frames, chunks), LIMIT, "stream_fps")
 
 
 _SAMPLED = f"""

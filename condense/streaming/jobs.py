@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from condense.operators import registry as reg, timeline as tl
 from condense.operators.series import chunking
-from condense.session import path_exists
+from condense.session import path_exists, written
 from condense.sources import listing as ls
 from condense.sources.tables import write_days
 
@@ -79,7 +79,7 @@ def reopen_job(
         touched = spark.read.schema(schema).parquet(f"{store}/batch={number}").select(*DAY).distinct()
         days = kept.join(touched, DAY, "left_semi")
         chunks = chunking(days, DAY)
-        timeline = tl.build_timeline(tl.in_order(days, chunks), chunk_rows=chunks, **options)
+        timeline = tl.build_timeline(tl.in_order(days, chunks), chunk_rows=chunks, keep=written, **options)
         write_days(timeline, timelines, "overwrite")
 
     return segments.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -43,7 +43,7 @@ def test_verdicts(spark, chunk, mode):
     data = clips()
     data["dark_end"] = [[100] * 16, [104] * 16, [101] * 16, [102] * 16]
     changes = fr.frame_changes(table(spark, data), chunk)
-    got = {r["file_id"]: (r["status"], r["checked_pairs"], r["early_stop"]) for r in fr.prescreen(changes, 4.0, mode, chunk).collect()}
+    got = {r["file_id"]: (r["status"], r["checked_pairs"], r["early_stop"]) for r in fr.prescreen(changes, 4.0, mode).collect()}
     assert got == {f: verdict(ps, 4.0, mode) for f, ps in data.items()}
 
 
@@ -51,7 +51,7 @@ def test_dark_last_frame_counts_only_when_seeking(spark):
     # a change below the bright threshold, then a dark picture with a small change
     data = {"x": [[52] * 16, [56] * 16, [49] * 16]}
     changes = fr.frame_changes(table(spark, data), None).withColumn("d", F.when(F.col("i") == 2, 1.0).otherwise(F.col("d")))
-    modes = {m: fr.prescreen(changes, 5.0, m, None).first()["status"] for m in ("legacy_seek", "stream_fps")}
+    modes = {m: fr.prescreen(changes, 5.0, m).first()["status"] for m in ("legacy_seek", "stream_fps")}
     assert modes == {"legacy_seek": "SUSPICIOUS", "stream_fps": "STATIC"}
 
 
