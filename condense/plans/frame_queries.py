@@ -8,7 +8,9 @@ from condense.functions import pixels as px
 from condense.operators import frames as fr
 from condense.operators.series import chunk_window, chunking, div, with_halo, with_position
 from condense.plans.bound import bound, table
+from condense.plans.full_run import full_run
 from condense.schemas import PRESCREEN_DETAIL
+from condense.session import written
 
 FILE = ["file_id"]
 WIDTH = HEIGHT = 8
@@ -190,3 +192,39 @@ def score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     floats = frames.select(*FILE, "i", F.col("pixels").cast(T.ArrayType(T.DoubleType())).alias("pixels"))
     scored = fr.score_frames(floats, weighted_sum_model, T.DoubleType(), [WIDTH * HEIGHT])
     return scored.select(*FILE, "i", "score", (F.col("score") > 104_000).alias("hit"))
+
+
+def embedding_clips(frames: DataFrame) -> DataFrame:
+    """A clip per label, ten minutes apart on one day, each as long as its frames last."""
+    stamp = lambda s: F.concat(F.lit("20240101"), F.date_format(F.timestamp_seconds(s), "HHmmss"))
+    sized = frames.groupBy("file_id").agg((F.count(F.lit(1)) * FRAME_SECONDS).alias("file_duration"))
+    start = F.col("file_id") * 600
+    return sized.select(
+        F.col("file_id").cast("string").alias("path"),
+        F.lit("20240101").alias("date"),
+        (F.col("file_id") % 2).cast("int").alias("cam_index"),
+        stamp(start).alias("file_start_time"),
+        stamp(start + F.ceil("file_duration")).alias("file_end_time"),
+        "file_duration",
+        (F.col("file_id") % 3 == 0).alias("has_audio"),
+    )
+
+
+@bound("full_run")
+def full_run_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames to edit list: screening, motion analysis, segments, timeline, cut."""
+    frames, chunks = embedding_frames(spark, sf_dir)
+    frames = frames.select(F.col("file_id").cast("string").alias("file_id"), "i", "pixels")
+    tables = full_run(
+        frames,
+        embedding_clips(frames),
+        WIDTH,
+        HEIGHT,
+        threshold=LIMIT,
+        chunk_rows=chunks,
+        frame_chunk=chunks,
+        keep=written,
+        early_window=5,
+        early_threshold=12.0,
+    )
+    return tables.edits
