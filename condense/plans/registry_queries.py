@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from condense.functions import names, sampling
 from condense.operators import registry as reg, timeline as tl
 from condense.plans.bound import bound, table
+from condense.session import written
 from condense.sources import listing as ls
 
 DAY = ["date", "cam_index"]
@@ -21,7 +22,9 @@ def _clock(seconds: Column) -> Column:
 def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing whose names, sizes and change times come from the orders.
 
-    Low priorities get an upper-case ending, unspecified ones the month 13.
+    Low priorities get an upper-case ending, unspecified ones the month 13. The
+    listing is written first: the operators then read plain columns instead of
+    making up every name again.
     """
     o = table(spark, sf_dir, "orders")
     start = F.col("o_orderkey") % 80_000
@@ -42,7 +45,7 @@ def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _clock(start + 60 + F.col("o_custkey") % 600),
         ending,
     )
-    return o.select(
+    listing = o.select(
         path.alias("path"),
         F.expr(f"timestamp_ntz'{AS_OF}' - make_dt_interval(0, 0, cast(o_orderkey % 30 as int), 0)").alias("modificationTime"),
         F.floor(F.col("o_totalprice") * 100).cast("long").alias("length"),
@@ -51,6 +54,7 @@ def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         "o_orderpriority",
     )
+    return written(listing, "listing")
 
 
 def order_second_look(found: DataFrame) -> DataFrame:
