@@ -8,7 +8,7 @@ at most two border rows per chunk.
 
 Where the longest series has been counted and fits one task (``chunking``),
 every function takes ``None`` for the chunks and then opens plain windows per
-key, which share one exchange.
+key, which share one exchange. Keys are never NULL.
 
 Three patterns cover the library:
 
@@ -73,7 +73,8 @@ def running(
                 for n, (how, v) in values.items()
             ],
         )
-    rows = df.withColumn("_chunk", chunk)
+    # rows without an order value come first, in a chunk of their own
+    rows = df.withColumn("_chunk", F.coalesce(chunk.cast("long"), F.lit(-(2**62))))
     rows = rows.select("*", *[v.alias(f"_in_{n}") for n, (_, v) in values.items()])
 
     def before(window):

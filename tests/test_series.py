@@ -44,6 +44,14 @@ def test_position_and_running(spark, chunk):
         assert r["top"] == (max(later) if later else None)
 
 
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_rows_without_an_order_value_are_kept(spark, chunk):
+    df = spark.createDataFrame([("a", None), ("a", 9), ("a", 1)], "file_id string, t long")
+    slot = None if chunk is None else div(F.col("t"), chunk)
+    got = {r["t"]: r["pos"] for r in with_position(df, ["file_id"], ["t"], slot, "pos").collect()}
+    assert got == {None: 0, 1: 1, 9: 2}
+
+
 @pytest.mark.parametrize("chunk", CHUNKS)
 def test_running_median(spark, chunk):
     data = series(2)
