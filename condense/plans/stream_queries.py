@@ -13,7 +13,7 @@ from condense.sources.tables import read_days
 from condense.streaming import folds, jobs
 
 DAY = ["date", "cam_index"]
-SPLITS = 4
+SPLITS = 3
 
 
 def arriving(df: DataFrame, label: str, *scatter: str) -> DataFrame:
