@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -28,7 +29,7 @@ def arrow_schema(fields: Sequence[T.StructField]) -> pa.Schema:
 def pieces(batch: pa.RecordBatch, text: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes of ``text`` at most, one row at least."""
     column = batch.column(text)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if i > start and held + size > limit:
