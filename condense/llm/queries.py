@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.llm import bpe
+from condense.llm import bpe, packing, rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,33 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     )
+
+
+@query
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048, end_id=0)
+
+
+@query
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = rules.learn_from(documents, read(spark, sf_dir, "labels"))
+    return rules.judge(documents, found, keep=["doc_id"]).select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+def held_out() -> Column:
+    """The fold that nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+TOXIC_FROM = 0.7
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, read(spark, sf_dir, "labels").filter(~held_out()))
+    scored = toxicity.score(documents, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    )
