@@ -33,7 +33,7 @@ from condense.llm.rows import field, map_texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Encoded chunks remembered per worker. Only speed depends on these bounds.
-CHUNKS, WORDS, PAIRS = 500_000, 100_000, 500_000
+CHUNKS, WORDS, PAIRS = 300_000, 100_000, 500_000
 
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
