@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from condense.llm.bpe import PATTERN, byte_of_char, read_vocabulary
 from condense.llm.rows import arrow_schema, field, pieces
-from condense.session import written
+from condense.session import ship, written
 
 ROWS_PER_TASK = 100_000
 
@@ -65,6 +65,7 @@ def token_pieces(
     df: DataFrame, path: str, limit: int, end_id: int, text: str, keep: Sequence[str], bundle: int
 ) -> DataFrame:
     """One row per piece with its checksum, its item (piece or bundle) and its place in that."""
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     keep = [c for c in keep if c not in {f.name for f in PIECE}]
     fields = [df.schema[c] for c in keep] + PIECE

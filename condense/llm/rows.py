@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from condense.session import ship
+
 BATCH_CHARS = 2_000_000
 
 #: Characters besides the blanks \x20 and \x09-\x0D at which str.split() also cuts.
@@ -54,6 +56,7 @@ def map_texts(
     (NULL as "") to one list per added column. A kept column that has the name
     of an added one gives way to it.
     """
+    ship(df.sparkSession)
     keep = [c for c in keep if c not in {f.name for f in added}]
     fields = [df.schema[c] for c in keep] + list(added)
     schema = arrow_schema(fields)
@@ -86,6 +89,7 @@ def map_runs(
     gets one or more complete runs, about ``gather`` rows together; a single run
     is never cut, so its length must be bounded by whoever made the keys.
     """
+    ship(df.sparkSession)
     schema = arrow_schema(fields)
     keys = list(keys)
 

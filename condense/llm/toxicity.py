@@ -28,7 +28,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from condense.llm.rows import arrow_schema, field, map_texts, pieces
-from condense.session import written
+from condense.session import ship, written
 
 MAX_ROWS = 24_000
 BITS = 22
@@ -88,6 +88,7 @@ class Model:
 
 def _counts(train: DataFrame) -> DataFrame:
     """Documents with each bucket: (bucket, toxic, other); one row per bucket and task before the shuffle."""
+    ship(train.sparkSession)
     fields = [field("bucket", "int"), field("toxic", "long"), field("other", "long")]
     schema = arrow_schema(fields)
 
