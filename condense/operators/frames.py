@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from condense.functions import pixels as px
 from condense.functions.sampling import luma_threshold, stream_frames, stream_point, stream_rate
 from condense.operators.series import attach, chunk_window, with_halo
+from condense.session import ship
 
 FILE = ["file_id"]
 FRAME_CHUNK = 1_024  # frames are large: shorter chunks than for scalar series
@@ -230,6 +231,7 @@ def score_frames(frames: DataFrame, make_predict_fn, return_type, shape: list[in
     """
     from pyspark.ml.functions import predict_batch_udf
 
+    ship(frames.sparkSession)
     model = predict_batch_udf(
         make_predict_fn, return_type=return_type, batch_size=batch_size, input_tensor_shapes=[shape]
     )

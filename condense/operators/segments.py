@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from condense.operators.series import CHUNK_ROWS, coalesce_runs, div, running
 from condense.schemas import SEGMENT_LIST
+from condense.session import ship
 
 DAY = ["date", "cam_index"]
 SEGMENT_COLUMNS = {
@@ -178,6 +179,7 @@ def absorb_short(
         if group:
             yield pd.DataFrame(finish(group), columns=names)
 
+    ship(stretches.sparkSession)
     schema = stretches.select(*keys, seq, *cols).schema
     pieces = (
         stretches.repartition(*keys, "_stretch")

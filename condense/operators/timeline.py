@@ -11,6 +11,7 @@ from condense.functions.clock import day_offset
 from condense.functions.editing import audio_choice, end_in_file, shown_length, speed, start_in_file
 from condense.operators.segments import DAY, absorb_short, merge_segments
 from condense.operators.series import CHUNK_ROWS, coalesce_runs, div, running, runs_to_rows, with_position
+from condense.session import ship
 
 ORDER = ["start_time", "file_start_time", "source_file", "seq_in_file"]
 ORDER_SLOT = 1.0  # seconds of start time per chunk while a day is being ordered
@@ -190,6 +191,7 @@ def batches(timeline: DataFrame, max_files: int = 4, chunk_rows: int | None = CH
                 numbers.append(batch)
             yield pdf.assign(batch_idx=pd.Series(numbers, index=pdf.index, dtype="int64"))
 
+    ship(timeline.sparkSession)
     columns = [*DAY, "seq", "last_seq", "filepath"]
     numbered = (
         changes.select(*columns)

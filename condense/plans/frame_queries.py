@@ -10,7 +10,7 @@ from condense.operators.series import chunk_window, chunking, div, with_halo, wi
 from condense.plans.bound import bound, table
 from condense.plans.full_run import full_run
 from condense.schemas import PRESCREEN_DETAIL
-from condense.session import written
+from condense.session import ship, written
 
 FILE = ["file_id"]
 WIDTH = HEIGHT = 8
@@ -98,6 +98,7 @@ def _binary(frames: DataFrame) -> DataFrame:
 @bound("frame_kernels", f"WITH {_FRAMES},{_changes('fr')},{_ENERGY} SELECT ch.file_id, i, luma, diff_prev, energy FROM ch LEFT JOIN en ON ch.file_id = en.file_id AND i - 1 = k")
 def frame_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brightness, difference and ROI energy of BINARY frames by the Arrow kernels."""
+    ship(spark)
     frames, chunks = embedding_frames(spark, sf_dir)
     box = px.roi_box(WIDTH, HEIGHT, ROI)
     paired = (

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from condense.session import ship
+
 STATE = "body binary"
 
 # start() -> memory; step(memory, row, is_last) -> (memory, output rows, decided)
@@ -68,5 +70,6 @@ def ordered_fold(
         if out:
             yield pd.DataFrame(out, columns=columns)
 
+    ship(stream.sparkSession)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(fold, output, STATE, "append", timeout)
