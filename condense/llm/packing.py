@@ -201,7 +201,7 @@ def _round(gaps: DataFrame, items: DataFrame, rows: int) -> tuple[DataFrame, Dat
     if not found:
         return pairs, left
     spans = spark.createDataFrame(found, "part int, low long, high long, owner int, both long").coalesce(1)
-    documents = left.filter(F.col("kind") == DOCUMENT)
+    documents = left.filter(F.col("kind") == DOCUMENT).select("part", "rank", "key", "size")
     passed = left.filter(F.col("kind") == GAP).select(
         F.col("part").alias("owner"), F.col("rank").alias("place"), F.col("key").alias("mate"), F.col("size").alias("gap")
     )

@@ -127,7 +127,7 @@ def select_features(counted: DataFrame, toxic: int, other: int) -> tuple[np.ndar
     return rows["bucket"].to_numpy(dtype=np.int32), rows["ratio"].to_numpy(dtype=float)
 
 
-def fit(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = 1e-3) -> Model:
+def fit(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = 1e-4) -> Model:
     """Learn from ``labels`` (``doc_id``, ``toxic``) and the texts of ``df`` (``doc_id``, ``text``)."""
     wanted = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
