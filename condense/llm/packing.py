@@ -221,6 +221,7 @@ def place(items: DataFrame, limit: int) -> DataFrame:
         F.count(F.lit(1)), F.sum("size"), F.count_if(F.col("size") * 2 > limit), F.min("size")
     ).first()
     count, tokens, large, least = (x or 0 for x in total)
+    ship(items.sparkSession)
     spark = items.sparkSession
     empty = spark.createDataFrame([], "key long, size long")
     gaps, placed, opened, open_count = empty, [], 0, 0
