@@ -25,7 +25,7 @@ kept, without component. Other columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condense.llm.components import components
-from condense.llm.rows import field, map_runs, map_texts, words_of
+from condense.llm.rows import field, map_runs, map_texts, pairs_of_blocks, runs, words_of
 from condense.session import written
 
 WORDS = 5
@@ -132,16 +132,6 @@ def _branch(big: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("doc", F.explode(chosen).alias("node"))
 
 
-def _runs(table: pa.Table, keys: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """Borders of the runs of equal keys."""
-    change = np.zeros(table.num_rows, dtype=bool)
-    for k in keys:
-        values = table.column(k).to_numpy()
-        change[1:] |= values[1:] != values[:-1]
-    cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
-    return zip(cuts, cuts[1:])
-
-
 def _sketch_matrix(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u4").reshape(-1, POSITIONS)
 
@@ -162,7 +152,7 @@ def _propose(table: pa.Table) -> Iterable[pa.Table]:
     sketch, size = _sketch_matrix(table), table.column("n_shingles").to_numpy()
     docs = table.column("doc").to_numpy()
     found: list[tuple[int, int]] = []
-    for start, end in _runs(table, ["node", "i", "j"]):
+    for start, end in runs(table, ["node", "i", "j"]):
         left = np.arange(start, end)
         while len(left) > 1:
             queue, left = [int(left[0])], left[1:]
@@ -179,7 +169,7 @@ def _propose(table: pa.Table) -> Iterable[pa.Table]:
 def _confirm(table: pa.Table) -> Iterable[pa.Table]:
     """Links of candidate groups that hold on the full sets: a spanning forest of each."""
     found: list[tuple[int, int]] = []
-    for start, end in _runs(table, ["grp", "i", "j"]):
+    for start, end in runs(table, ["grp", "i", "j"]):
         part = table.slice(start, end - start)
         sketch, docs = _sketch_matrix(part), part.column("doc").to_numpy()
         sets = [shingle_codes(t or "") for t in part.column("text").to_pylist()]
@@ -207,18 +197,6 @@ def _confirm(table: pa.Table) -> Iterable[pa.Table]:
     yield _links(found)
 
 
-def _blocks(df: DataFrame, blocks: Column, key: str) -> DataFrame:
-    """Add (``i``, ``j``): every pair of blocks that a row has to be in. One block: (0, 0)."""
-    block = F.pmod(F.xxhash64(key), blocks).cast("int")
-    others = F.transform(
-        F.sequence(F.lit(0), blocks.cast("int") - 1),
-        lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")),
-    )
-    spread = df.withColumn("_pair", F.explode(others))
-    both = (F.col("_pair.i") != F.col("_pair.j")) | (blocks == 1)  # a block meets itself in its pairs with others
-    return spread.filter(both).withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j")}).drop("_pair")
-
-
 LINK = [field("a", "long"), field("b", "long")]
 
 
@@ -248,16 +226,16 @@ def tree_nodes(reps: DataFrame) -> DataFrame:
 
 def link_groups(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed links between class representatives (``doc``, ``n_shingles``, ``sketch``)."""
-    nodes = _blocks(tree_nodes(reps), F.ceil(F.col("n") / NODE), "doc").select("node", "i", "j", "doc")
-    proposed = map_runs(nodes.join(reps, "doc"), ["node", "i", "j"], ["doc"], LINK, _propose)
+    nodes = pairs_of_blocks(tree_nodes(reps), F.ceil(F.col("n") / NODE), "doc").select("node", "i", "j", "doc")
+    proposed = mapruns(nodes.join(reps, "doc"), ["node", "i", "j"], ["doc"], LINK, _propose)
     groups = written(components(proposed).withColumnRenamed("component", "grp"), "path-groups")
     known = groups.join(reps, F.col("node") == F.col("doc")).select("grp", "doc", "n_shingles", "sketch")
     sizes = known.groupBy("grp").agg(
         F.ceil(F.greatest(F.sum("n_shingles") / GROUP_SHINGLES, F.count(F.lit(1)) / GROUP_ROWS)).alias("blocks")
     )
     with_text = texts.join(known, "doc")
-    units = _blocks(with_text.join(sizes, "grp"), F.col("blocks"), "doc").drop("blocks")
-    return map_runs(units, ["grp", "i", "j"], ["doc"], LINK, _confirm, gather=500)
+    units = pairs_of_blocks(with_text.join(sizes, "grp"), F.col("blocks"), "doc").drop("blocks")
+    return mapruns(units, ["grp", "i", "j"], ["doc"], LINK, _confirm, gather=500)
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.llm import bpe, chosen_path, packing, rules, toxicity
+from condense.llm import bpe, chosen_path, itq, packing, rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)

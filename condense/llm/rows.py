@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from condense.session import ship
@@ -128,6 +129,34 @@ def map_runs(
     return dealt.mapInArrow(run, T.StructType(list(fields)))
 
 
+def runs(table: pa.Table, keys: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Borders of the runs of equal keys."""
+    change = np.zeros(table.num_rows, dtype=bool)
+    for k in keys:
+        values = table.column(k).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
+    return zip(cuts, cuts[1:])
+
+
+def pairs_of_blocks(df: DataFrame, blocks: Column, key: str, alone: bool = False) -> DataFrame:
+    """Cut the rows of a group into ``blocks`` blocks by ``key``; a copy of each row for every pair of blocks it is in.
+
+    Adds ``block`` and the pair (``i``, ``j``), i <= j; one block gives the pair (0, 0)
+    only. Of several blocks, one meets itself inside its pairs with the others, or,
+    with ``alone``, in a pair of its own.
+    """
+    block = F.pmod(F.xxhash64(key), blocks).cast("int")
+    others = F.transform(
+        F.sequence(F.lit(0), blocks.cast("int") - 1),
+        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
+    )
+    spread = df.withColumn("block", block).withColumn("_pair", F.explode(others))
+    if not alone:
+        spread = spread.filter((F.col("_pair.i") != F.col("_pair.j")) | (blocks == 1))
+    return spread.withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j")}).drop("_pair")
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind) if " " in kind or "<" in kind else _KINDS[kind], True)
 
