@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.llm import bpe, chosen_path, itq, packing, rules, toxicity
+from condense.llm import bpe, chosen_path, itq, oracles, packing, rules, toxicity, warc
+from condense.session import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -78,3 +79,30 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path, least_bytes=0)
+    pages = warc.reassemble(warc.read_records(spark, path)).select(
+        warc.page_of("record").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        warc.page_of("refers").alias("refers_to"),
+    )
+    pages = written(pages, "warc-pages")
+    full = pages.filter(F.col("record_type") == "response").groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
+    sizes = full.agg(F.max("payload_bytes").alias("_bytes"))
+    # a revisit has the payload of the record it refers to
+    resolved = pages.join(sizes, ["refers_to", "payload_digest"], "left")
+    return resolved.select(
+        "page_id",
+        F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
