@@ -1,18 +1,18 @@
 """Best-fit packing of token runs into sequences of a fixed length, in bulk-synchronous rounds.
 
-Documents and gaps (what open sequences have left) are range-sorted by size,
-largest first, over as many partitions as they need. Each round is one sweep
-through that order: a gap that has been passed waits on a stack, and a document
-takes the gap passed last, the smallest that holds it. A partition sweeps its own
-range; what it leaves (documents that found no gap, gaps without document) is
-matched with the ranges before it by rank, for which only two counts per
-partition travel. Matched gaps shrink, and the next round starts from what is
-left. When nothing fits any more, the largest documents open new sequences.
+Documents are range-sorted by size, largest first, over as many partitions as they
+need, and numbered within their size; for the numbers only one count per partition
+and size travels. Documents of one size are interchangeable and so are gaps (what
+open sequences have left) of one size, so the rounds work on ranges of numbers and
+cost the same for any number of rows. A round sweeps once through all sizes: gaps that
+have been passed wait on a stack, and a document takes the gap passed last, the
+smallest that holds it; where several want the same, the lower number has it. All
+matches of a round are made before any gap shrinks. Then gaps are updated and the next
+round starts. When nothing fits, the largest documents open new sequences. In the end
+every partition looks its documents' numbers up in the matched ranges.
 
 Documents longer than a sequence are cut from their end into full pieces, so only
-the first piece is shorter; full pieces are sequences of their own. Documents
-shorter than ``limit / 32`` are first joined with neighbours into bundles of at
-least that size, which bounds the number of rounds by about 32 for any data.
+the first piece is shorter; full pieces are sequences of their own.
 
 Defined results: a NULL or empty text is a document of the end token alone;
 repeated rows are documents of their own; an empty table gives no rows; other
@@ -45,9 +45,6 @@ PIECE = [
     field("length", "long"),
     field("ids_crc32", "long"),
     field("_key", "long"),
-    field("_item", "long"),
-    field("_inner", "long"),
-    field("_size", "long"),
 ]
 
 
@@ -61,227 +58,162 @@ def _encoding(source: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def token_pieces(
-    df: DataFrame, path: str, limit: int, end_id: int, text: str, keep: Sequence[str], bundle: int
-) -> DataFrame:
-    """One row per piece with its checksum, its item (piece or bundle) and its place in that."""
+def token_pieces(df: DataFrame, path: str, limit: int, end_id: int, text: str, keep: Sequence[str]) -> DataFrame:
+    """One row per piece with the checksum of its ids."""
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    keep = [c for c in keep if c not in {f.name for f in PIECE}]
+    keep = [c for c in keep if c not in {f.name for f in PIECE + PLACE}]
     fields = [df.schema[c] for c in keep] + PIECE
     schema = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(sent.value)
         key = TaskContext.get().partitionId() << 36
-        open_rows: list[list] = []  # pieces of the bundle that isn't full yet
-        open_size = 0
-
-        def close() -> list[list]:
-            nonlocal open_rows, open_size
-            inner = 0
-            for row in open_rows:
-                row[-3:] = [open_rows[0][-4], inner, open_size]
-                inner += row[-6]
-            done, open_rows, open_size = open_rows, [], 0
-            return done
-
-        def made(rows: list[list]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * len(schema)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-            )
-
         for batch in batches:
             for part in pieces(batch, "__text"):
-                rows: list[list] = []
-                texts = part.column("__text").to_pylist()
-                kept = list(zip(*[part.column(f"__k{i}").to_pylist() for i in range(len(keep))])) or [()] * len(texts)
-                for own, value in zip(kept, texts):
+                made: list[tuple] = []
+                source: list[int] = []
+                for row, value in enumerate(part.column("__text").to_pylist()):
                     ids = np.array(encoding.encode(value or "", allowed_special="all") + [end_id], dtype="<u4")
                     first = (len(ids) - 1) % limit + 1
                     for n, start in enumerate([0, *range(first, len(ids), limit)]):
                         end = first if n == 0 else start + limit
-                        row = [*own, n, start, end - start, zlib.crc32(ids[start:end].tobytes()), key, key, 0, end - start]
+                        made.append((n, start, end - start, zlib.crc32(ids[start:end].tobytes()), key))
+                        source.append(row)
                         key += 1
-                        if end - start >= bundle:
-                            rows.append(row)
-                        else:
-                            open_rows.append(row)
-                            open_size += end - start
-                            if open_size >= bundle:
-                                rows += close()
-                yield made(rows)
-        if open_rows:
-            yield made(close())
+                kept = [part.column(f"__k{i}").take(pa.array(source)).cast(schema[i].type) for i in range(len(keep))]
+                new = [pa.array(c, type=schema.field(f.name).type) for f, c in zip(PIECE, zip(*made))]
+                yield pa.RecordBatch.from_arrays([*kept, *new], schema=schema)
 
     chosen = df.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text"))
     return chosen.mapInArrow(run, T.StructType(fields))
 
 
-SWEPT = [
-    field("part", "int"),
-    field("kind", "int"),
-    field("rank", "long"),
-    field("key", "long"),
-    field("size", "long"),
-    field("mate", "long"),
-    field("gap", "long"),
-]
-GAP, DOCUMENT, PAIR = 0, 1, 2
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of gaps and documents, largest first: pairs, and what is left of both with its rank."""
-    part = TaskContext.get().partitionId()
-    stack: list[tuple[int, int]] = []
-    rows: list[tuple] = []
-    waiting = 0
-    schema = arrow_schema(SWEPT)
-
-    def made() -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("kind", "key", "size"))
-        for kind, key, size in zip(*columns):
-            if kind == GAP:
-                stack.append((key, size))
-            elif stack:
-                mate, gap = stack.pop()
-                rows.append((part, PAIR, 0, key, size, mate, gap))
-            else:
-                rows.append((part, DOCUMENT, waiting, key, size, None, None))
-                waiting += 1
-        yield made()
-        rows.clear()
-    rows += [(part, GAP, i, key, size, None, None) for i, (key, size) in enumerate(stack)]
-    yield made()
+PLACE = [field("sequence_id", "long"), field("offset", "long")]
+NUMBER = [field("_part", "int"), field("_number", "long")]
 
 
-def _carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Matches across ranges: (part of the documents, first rank, end, part of the gaps, sum of both ranks).
+def numbered(items: DataFrame, rows: int) -> DataFrame:
+    """Range-sort by ``length``, largest first; add the partition and the number within partition and length."""
+    ship(items.sparkSession)
+    schema = T.StructType([*items.schema.fields, *NUMBER])
+    arrow = arrow_schema(schema.fields)
 
-    ``left`` has (part, documents, gaps) in order of size; a document takes the gap passed last.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size, seen = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column("length").to_numpy()
+            places = np.arange(len(lengths))
+            starts = np.flatnonzero(np.diff(lengths, prepend=size))
+            since = np.zeros(len(lengths), dtype=np.int64)
+            since[starts] = starts
+            numbers = places - np.maximum.accumulate(since)
+            numbers[: starts[0] if len(starts) else len(lengths)] += seen  # goes on from the batch before
+            size, seen = int(lengths[-1]), int(numbers[-1]) + 1
+            columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow)]
+            where = pa.array(np.full(len(lengths), part, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*columns, where, pa.array(numbers)], schema=arrow)
+
+    order = [F.col("length").desc(), F.col("_key").asc()]
+    dealt = items.repartitionByRange(max(1, math.ceil(rows / ROWS_PER_TASK)), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, schema)
+
+
+Match = tuple[int, int, int, int, int]  # length, first number, count, first sequence, offset
+
+
+def _sweep(counts: dict[int, int], given: dict[int, int], gaps: list[tuple[int, int, int]], limit: int):
+    """One round: matches, and the gaps (size, first sequence, count) after it. ``given`` counts what has a place."""
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for size, first, n in gaps:
+        by_size.setdefault(size, []).append((first, n))
     stack: list[list[int]] = []
-    found = []
-    for part, documents, gaps in sorted(left):
-        at = 0
-        while at < documents and stack:
-            owner, free = stack[-1]
-            n = min(free, documents - at)
-            found.append((part, at, at + n, owner, at + free - 1))
-            at += n
+    made: list[Match] = []
+    after: list[tuple[int, int, int]] = []
+    for size in sorted({*by_size, *(s for s, n in counts.items() if n > given.get(s, 0))}, reverse=True):
+        stack += [[size, first, n] for first, n in by_size.get(size, [])]
+        while stack and counts.get(size, 0) > given.get(size, 0):
+            gap, first, free = stack[-1]
+            n = min(free, counts[size] - given.get(size, 0))
+            made.append((size, given.get(size, 0), n, first, limit - gap))
+            given[size] = given.get(size, 0) + n
+            after.append((gap - size, first, n))
             if n == free:
                 stack.pop()
             else:
-                stack[-1][1] -= n
-        if gaps:
-            stack.append([part, gaps])
-    return found
+                stack[-1][1:] = [first + n, free - n]
+    return made, after + [tuple(run) for run in stack]
+
+
+def plan(counts: dict[int, int], limit: int) -> list[Match]:
+    """Matches that give every document of ``counts`` (length to number of documents) its place."""
+    given: dict[int, int] = {}
+    gaps: list[tuple[int, int, int]] = []
+    made: list[Match] = []
+    opened = 0
+    waiting = sum(counts.values())
+    tokens = sum(s * n for s, n in counts.items())
+    todo = max(sum(n for s, n in counts.items() if 2 * s > limit), math.ceil(tokens / limit))  # no packing has fewer
+    while waiting:
+        for size in sorted(counts, reverse=True):  # the largest documents open sequences
+            n = min(todo, counts[size] - given.get(size, 0))
+            if n > 0:
+                made.append((size, given.get(size, 0), n, opened, 0))
+                gaps.append((limit - size, opened, n))
+                given[size] = given.get(size, 0) + n
+                opened, todo, waiting = opened + n, todo - n, waiting - n
+        while waiting:
+            least = min(s for s, n in counts.items() if n > given.get(s, 0))
+            found, gaps = _sweep(counts, given, [g for g in gaps if g[0] >= least], limit)
+            made += found
+            waiting -= sum(m[2] for m in found)
+            if not found:
+                break
+        left = sum(s * (n - given.get(s, 0)) for s, n in counts.items())
+        todo = math.ceil(left / limit)
+    return made
 
 
-def _round(gaps: DataFrame, items: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (key, size, mate, gap) of one sweep and the rows left over (part, kind, rank, key, size)."""
+def placed(items: DataFrame, rows: int, limit: int) -> DataFrame:
+    """``items`` (``length`` < ``limit``, ``_key``) with their sequence and offset."""
     spark = items.sparkSession
-    both = gaps.select(F.lit(GAP).alias("kind"), "key", "size").unionByName(
-        items.select(F.lit(DOCUMENT).alias("kind"), "key", "size")
-    )
-    order = [F.col("size").desc(), F.col("kind").asc(), F.col("key").asc()]
-    dealt = both.repartitionByRange(math.ceil(rows / ROWS_PER_TASK), *order).sortWithinPartitions(*order)
-    swept = written(dealt.mapInArrow(_sweep, T.StructType(SWEPT)), "packing-sweep")
-    left = swept.filter(F.col("kind") != PAIR)
-    counted = left.groupBy("part").agg(
-        F.count_if(F.col("kind") == DOCUMENT).alias("documents"), F.count_if(F.col("kind") == GAP).alias("gaps")
-    )
-    found = _carried([tuple(r) for r in counted.collect()])  # two counts per partition
-    pairs = swept.filter(F.col("kind") == PAIR).select("key", "size", "mate", "gap")
-    if not found:
-        return pairs, left
-    spans = spark.createDataFrame(found, "part int, low long, high long, owner int, both long").coalesce(1)
-    documents = left.filter(F.col("kind") == DOCUMENT).select("part", "rank", "key", "size")
-    passed = left.filter(F.col("kind") == GAP).select(
-        F.col("part").alias("owner"), F.col("rank").alias("place"), F.col("key").alias("mate"), F.col("size").alias("gap")
-    )
-    across = (
-        documents.join(spans, "part")
-        .filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-        .withColumn("place", F.col("both") - F.col("rank"))
-        .join(passed, ["owner", "place"])
-        .select("key", "size", "mate", "gap")
-    )
-    return pairs.unionByName(across), left
-
-
-def place(items: DataFrame, limit: int) -> DataFrame:
-    """Place items (``key``, ``size`` < ``limit``): rows (``key``, ``sequence``, ``offset``)."""
-    total = items.agg(
-        F.count(F.lit(1)), F.sum("size"), F.count_if(F.col("size") * 2 > limit), F.min("size")
-    ).first()
-    count, tokens, large, least = (x or 0 for x in total)
-    ship(items.sparkSession)
-    spark = items.sparkSession
-    empty = spark.createDataFrame([], "key long, size long")
-    gaps, placed, opened, open_count = empty, [], 0, 0
-    todo = max(large, math.ceil(tokens / limit))  # no packing has fewer sequences
-    while count:
-        if todo:  # the largest items open sequences: their rank is their place in a sweep without gaps
-            _, left = _round(empty, items, count)
-            parts = sorted((r[0], r[1]) for r in left.groupBy("part").count().collect())
-            before, base = [], 0
-            for part, n in parts:
-                before.append((part, base))
-                base += n
-            ahead = spark.createDataFrame(before, "part int, ahead long").coalesce(1)
-            ranked = left.join(ahead, "part").withColumn("place", F.col("ahead") + F.col("rank"))
-            first = ranked.filter(F.col("place") < todo).withColumn("sequence", F.col("place") + opened)
-            placed.append(first.select("key", "sequence", F.lit(0).cast("long").alias("offset")))
-            gaps = gaps.unionByName(
-                first.select(F.col("sequence").alias("key"), (F.lit(limit) - F.col("size")).alias("size"))
-            )
-            items = ranked.filter(F.col("place") >= todo).select("key", "size")
-            opened, open_count, count, todo = opened + todo, open_count + todo, count - min(todo, count), 0
-            if not count:
-                break
-        pairs, left = _round(gaps.filter(F.col("size") >= least), items, open_count + count)
-        pairs = written(pairs, "packing-pairs")
-        done = pairs.count()
-        if done:
-            placed.append(
-                pairs.select("key", F.col("mate").alias("sequence"), (F.lit(limit) - F.col("gap")).alias("offset"))
-            )
-            waiting = left.filter(F.col("kind") == DOCUMENT).select("key", "size")
-            unused = left.filter(F.col("kind") == GAP).select("key", "size")
-            items = written(waiting.join(pairs.select("key"), "key", "left_anti"), "packing-items")
-            taken = pairs.select(F.col("mate").alias("key"), (F.col("gap") - F.col("size")).alias("size"))
-            gaps = written(
-                unused.join(taken.select("key"), "key", "left_anti").unionByName(taken).filter(F.col("size") >= least),
-                "packing-gaps",
-            )
-            count -= done
-        if count and not done:
-            todo = math.ceil(items.agg(F.sum("size")).first()[0] / limit)
-    out = spark.createDataFrame([], "key long, sequence long, offset long")
-    for part in placed:
-        out = out.unionByName(part)
-    return out
+    listed = written(numbered(items, rows), "packing-numbers")
+    # one row per length, and one more for each further partition that a length reaches into
+    parts = listed.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[int, int] = {}
+    ahead: dict[tuple[int, int], int] = {}
+    for part, length, n in sorted(tuple(r) for r in parts):
+        ahead[part, length] = counts.get(length, 0)
+        counts[length] = counts.get(length, 0) + n
+    matches = np.array(sorted(plan(counts, limit)), dtype=np.int64).reshape(-1, 5)
+    sent = spark.sparkContext.broadcast((ahead, matches))
+    keep = [f for f in items.schema.fields if f.name != "_key"]
+    schema = T.StructType([*keep, *PLACE])
+    arrow = arrow_schema(schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, ranges = sent.value
+        starts = ranges[:, 0] * (1 << 44) + ranges[:, 1]
+        for batch in batches:
+            lengths = batch.column("length").to_numpy()
+            base = [before[k] for k in zip(batch.column("_part").to_pylist(), lengths.tolist())]
+            number = batch.column("_number").to_numpy() + np.array(base, dtype=np.int64)
+            at = np.searchsorted(starts, lengths * (1 << 44) + number, side="right") - 1
+            sequence = ranges[at, 3] + number - ranges[at, 1]
+            columns = [batch.column(f.name).cast(arrow.field(f.name).type) for f in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(ranges[at, 4])], schema=arrow)
+
+    return listed.mapInArrow(run, schema)
 
 
 def pack(
     df: DataFrame, path: str, limit: int = 2048, end_id: int = 0, text: str = "text", keep: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset`` in sequences of at most ``limit`` tokens."""
-    cut = written(token_pieces(df, path, limit, end_id, text, keep, max(1, limit // 32)), "packing-pieces")
-    full = F.col("_size") == limit
-    items = cut.filter(~full & (F.col("_inner") == 0)).select(F.col("_item").alias("key"), F.col("_size").alias("size"))
-    spots = place(items, limit).withColumnRenamed("key", "_item")
-    shown = [c for c in cut.columns if not c.startswith("_")]
-    alone = cut.filter(full).select(
-        *shown, (F.lit(-1) - F.col("_item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    shared = cut.filter(~full).join(spots, "_item").select(
-        *shown, F.col("sequence").alias("sequence_id"), (F.col("offset") + F.col("_inner")).alias("offset")
-    )
-    return alone.unionByName(shared)
+    cut = written(token_pieces(df, path, limit, end_id, text, keep), "packing-pieces")
+    full = F.col("length") == limit
+    alone = cut.filter(full).withColumns({"sequence_id": F.lit(-1) - F.col("_key"), "offset": F.lit(0).cast("long")})
+    items = cut.filter(~full)
+    return alone.drop("_key").unionByName(placed(items, items.count(), limit))
