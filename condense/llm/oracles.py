@@ -48,5 +48,25 @@ reach AS (
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id
+""",
+    "op9_chat": """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text, '(<<|<|\\[)(\\\\*)(/?SYS>>|/?s>|/?INST\\]|/?ROLE\\]|/TURN\\]|NEXT\\])', '\\1\\\\\\2\\3', 'g')) AS n,
+         lag(role) OVER w IS NOT DISTINCT FROM role AS goes_on, lead(role) OVER w IS NOT DISTINCT FROM role AS more
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, n + CASE WHEN goes_on THEN 6 WHEN role = 'user' THEN 10 WHEN role = 'assistant' THEN 1 WHEN role = 'system' THEN 8 ELSE 13 + length(role) END
+              + CASE WHEN more THEN 0 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 4 WHEN role = 'system' THEN 11 ELSE 7 END AS chars
+  FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
 """,
 }
