@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.llm import bpe, chat, chosen_path, itq, oracles, packing, rules, toxicity, warc
+from condense.llm import bpe, chat, chosen_path, itq, oracles, packing, pii, rules, toxicity, warc
 from condense.session import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("learned", "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = pii.find(documents, pii.fit(documents), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
