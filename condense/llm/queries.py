@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.llm import bpe, chat, chosen_path, itq, oracles, packing, pii, rules, toxicity, warc
+from condense.llm import bpe, chat, chosen_path, itq, licenses, oracles, packing, pii, rules, toxicity, warc
 from condense.session import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,15 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
     )
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: a hundred of a source and language lie in one directory, the first as its licence file."""
+    documents = read(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("long"))
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    files = documents.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    return licenses.inherit(licenses.scan(files, keep=["doc_id"])).select(
+        "doc_id", "own", "cosine", "licence", "licence_from"
+    )
