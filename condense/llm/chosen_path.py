@@ -40,7 +40,7 @@ WORDS = 5
 POSITIONS = 64
 TREES = 10
 DEPTH = 4
-NODE = 1000
+NODE = 4000
 
 #: Least equal positions of two sketches for a proposal; a pair at the threshold has 48 on average, below 35 once in 6,000.
 AGREE = 35
@@ -141,10 +141,19 @@ def _links(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _near(sketch: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Which ``others`` may be as similar to ``i`` as the threshold asks."""
-    low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-    return ((sketch[others] == sketch[i]).sum(axis=1) >= AGREE) & (100 * low >= 75 * high)
+class _Left:
+    """Documents of a node or group that no component has reached yet."""
+
+    def __init__(self, sketch: np.ndarray, size: np.ndarray):
+        self.at, self.sketch, self.size = np.arange(len(size)), sketch, size
+
+    def keep(self, chosen) -> None:
+        self.at, self.sketch, self.size = self.at[chosen], self.sketch[chosen], self.size[chosen]
+
+    def near(self, sketch: np.ndarray, size: int) -> np.ndarray:
+        """Which may be as similar to a document as the threshold asks."""
+        low, high = np.minimum(self.size, size), np.maximum(self.size, size)
+        return ((self.sketch == sketch).sum(axis=1) >= AGREE) & (100 * low >= 75 * high)
 
 
 def _propose(table: pa.Table) -> Iterable[pa.Table]:
@@ -153,16 +162,18 @@ def _propose(table: pa.Table) -> Iterable[pa.Table]:
     docs = table.column("doc").to_numpy()
     found: list[tuple[int, int]] = []
     for start, end in runs(table, ["node", "i", "j"]):
-        left = np.arange(start, end)
-        while len(left) > 1:
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
+        left = _Left(sketch[start:end], size[start:end])
+        while len(left.at) > 1:
+            queue = [start + int(left.at[0])]
+            left.keep(slice(1, None))
+            while queue and len(left.at):
                 i = queue.pop()
-                hit = _near(sketch, size, i, left)
+                hit = left.near(sketch[i], size[i])
                 if hit.any():
-                    found += [(int(docs[i]), int(docs[k])) for k in left[hit]]
-                    queue += left[hit].tolist()
-                    left = left[~hit]
+                    reached = (start + left.at[hit]).tolist()
+                    found += [(int(docs[i]), int(docs[k])) for k in reached]
+                    queue += reached
+                    left.keep(~hit)
     yield _links(found)
 
 
@@ -178,22 +189,25 @@ def _confirm(table: pa.Table) -> Iterable[pa.Table]:
         ends = np.cumsum(size)
         own = [dense[e - n : e] for e, n in zip(ends, size)]
         mark = np.zeros(len(codes), dtype=bool)
-        left = np.arange(len(docs))
-        while len(left) > 1:
-            queue, left = [int(left[0])], left[1:]
-            while queue and len(left):
+        left = _Left(sketch, size)
+        while len(left.at) > 1:
+            queue = [int(left.at[0])]
+            left.keep(slice(1, None))
+            while queue and len(left.at):
                 i = queue.pop()
-                near = left[_near(sketch, size, i, left)]
+                near = np.flatnonzero(left.near(sketch[i], size[i]))
                 if not len(near):
                     continue
+                others, sizes = left.at[near], left.size[near]
                 mark[own[i]] = True
-                shared = np.add.reduceat(mark[np.concatenate([own[k] for k in near])], np.cumsum(size[near]) - size[near], dtype=np.int64)
+                hits = mark[np.concatenate([own[k] for k in others])]
+                shared = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
                 mark[own[i]] = False
-                linked = near[100 * shared >= 75 * (size[near] + size[i] - shared)]
-                if len(linked):
-                    found += [(int(docs[i]), int(docs[k])) for k in linked]
-                    queue += linked.tolist()
-                    left = left[~np.isin(left, linked)]
+                linked = 100 * shared >= 75 * (sizes + size[i] - shared)
+                if linked.any():
+                    found += [(int(docs[i]), int(docs[k])) for k in others[linked]]
+                    queue += others[linked].tolist()
+                    left.keep(np.delete(np.arange(len(left.at)), near[linked]))
     yield _links(found)
 
 
