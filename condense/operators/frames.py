@@ -17,7 +17,7 @@ FILE = ["file_id"]
 FRAME_CHUNK = 1_024  # frames are large: shorter chunks than for scalar series
 
 
-def frame_changes(frames: DataFrame, chunk_rows: int | None = FRAME_CHUNK) -> DataFrame:
+def frame_changes(frames: DataFrame, chunk_rows: int = FRAME_CHUNK) -> DataFrame:
     """``luma`` of every frame and, from the second frame on, its difference to the previous and to the first frame.
 
     ``d`` is the larger of the two differences. The rows carry their ``_chunk``.
@@ -46,7 +46,7 @@ def roi_energies(
     width: int,
     height: int,
     roi: tuple[float, float, float, float] = (0.1, 0.12, 0.8, 0.85),
-    chunk_rows: int | None = FRAME_CHUNK,
+    chunk_rows: int = FRAME_CHUNK,
 ) -> DataFrame:
     """Motion energy of every neighbouring pair of gray frames: ``file_id``, ``k``, ``energy``."""
     box = px.roi_box(width, height, roi)
@@ -68,7 +68,7 @@ def with_threshold(changes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def checked_pairs(changes: DataFrame, threshold: float, chunk_rows: int | None = FRAME_CHUNK) -> DataFrame:
+def checked_pairs(changes: DataFrame, threshold: float, chunk_rows: int = FRAME_CHUNK) -> DataFrame:
     """Rows up to the first change over its threshold: what is looked at before the early stop."""
     judged = with_threshold(changes, threshold)
     stops = judged.groupBy(*FILE).agg(

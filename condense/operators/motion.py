@@ -25,7 +25,7 @@ FILE = ["file_id"]
 
 
 def early_end(
-    energies: DataFrame, window: int = 20, threshold: float = 2.5, chunk_rows: int | None = CHUNK_ROWS
+    energies: DataFrame, window: int = 20, threshold: float = 2.5, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Per file: ``last_k`` and ``stop_k``, the first k whose last ``window`` energies all stay below ``threshold``."""
     haloed = with_halo(energies.select(*FILE, "k", "energy"), FILE, "k", before=window - 1, chunk_rows=chunk_rows)
@@ -39,7 +39,7 @@ def cut_quiet_tail(
     energies: DataFrame,
     window: int = 20,
     threshold: float = 2.5,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Drop energies after the early end and append one 0.0 to each ended file.
 
@@ -57,7 +57,7 @@ def cut_quiet_tail(
     return kept.unionByName(closing)
 
 
-def running_median(energies: DataFrame, window: int = 7, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def running_median(energies: DataFrame, window: int = 7, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Replace ``energy`` by its centred median; the edge values are repeated outside the series."""
     if window < 3:
         return energies
@@ -91,26 +91,24 @@ def noise_threshold(energies: DataFrame, sensitivity: float = 1.0, bin_width: fl
 
 
 def raw_labels(
-    energies: DataFrame, thresholds: DataFrame, chunk_rows: int | None = CHUNK_ROWS, carry: tuple[str, ...] = ()
+    energies: DataFrame, thresholds: DataFrame, chunk_rows: int = CHUNK_ROWS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Labels ``i`` = k + 1 with energy > threshold, after a leading False label at i = 0.
 
-    With chunks the labels carry their ``_chunk``: threshold join and run windows
-    then share one exchange of the rows.
+    The labels carry their ``_chunk``, so threshold join and run windows share one
+    exchange of the rows.
     """
     usable = thresholds.where("analysis_status = 'ANALYZED'").select(*FILE, "n", "threshold")
     rows = energies.select(*FILE, (F.col("k") + 1).alias("i"), "energy", *carry)
-    chunk = []
-    if chunk_rows is not None:
-        rows, chunk = rows.withColumn("_chunk", div(F.col("i"), chunk_rows)), ["_chunk"]
+    rows = rows.withColumn("_chunk", div(F.col("i"), chunk_rows))
     rows = attach(rows, usable, FILE, "i", F.col("n"), chunk_rows)
     label = lambda i, moving, energy: F.struct(
         i.cast("long").alias("i"), moving.alias("is_motion"), energy.alias("energy")
     )
     own = label(F.col("i"), F.col("energy") > F.col("threshold"), F.col("energy"))
     leading = F.when(F.col("i") == 1, label(F.lit(0), F.lit(False), F.lit(0.0)))
-    return rows.select(*FILE, *chunk, F.explode(F.array_compact(F.array(leading, own))).alias("_l"), *carry).select(
-        *FILE, "_l.*", *carry, *chunk
+    return rows.select(*FILE, "_chunk", F.explode(F.array_compact(F.array(leading, own))).alias("_l"), *carry).select(
+        *FILE, "_l.*", *carry, "_chunk"
     )
 
 
@@ -119,7 +117,7 @@ def label_runs(
     min_motion: int = 3,
     min_static: int = 5,
     noise_suppress: int = 2,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
     smooth: bool = True,
 ) -> DataFrame:
     """Runs of equal labels, smoothed: ``first_i``, ``last_i``, ``labels``, ``is_motion``, ``max_energy``, and
@@ -160,30 +158,17 @@ def smooth_labels(
     min_motion: int = 3,
     min_static: int = 5,
     noise_suppress: int = 2,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The labels after smoothing, one row per label.
 
-    Series known to fit a task are smoothed in windows that all share one
-    exchange; longer ones through their runs, which are then looked up per row.
+    Their runs are smoothed and then looked up per row.
     """
-    if chunk_rows is not None:
-        plain = labels.drop("time") if "time" in labels.columns else labels
-        runs = label_runs(plain, min_motion, min_static, noise_suppress, chunk_rows)
-        return runs_to_rows(
-            labels.drop("is_motion"), runs, FILE, "i", "first_i", "last_i", {"is_motion": "is_motion"}, chunk_rows
-        ).select(*[c for c in labels.columns if c != "_chunk"])
-
-    def with_length(df):
-        order = W.partitionBy(*FILE).orderBy("i")
-        changed = F.coalesce(F.lag("is_motion").over(order) != F.col("is_motion"), F.lit(True))
-        numbered = df.withColumn("_new", changed.cast("int")).withColumn("_run", F.sum("_new").over(order))
-        return numbered.withColumn("_len", F.count(F.lit(1)).over(W.partitionBy(*FILE, "_run")))
-
-    moving, length = F.col("is_motion"), F.col("_len")
-    first, second = _by_raw_length(moving, length, min_motion, noise_suppress), moving | (length < min_static)
-    once = with_length(labels).withColumn("is_motion", first).select(*labels.columns)
-    return with_length(once).withColumn("is_motion", second).select(*labels.columns)
+    plain = labels.drop("time") if "time" in labels.columns else labels
+    runs = label_runs(plain, min_motion, min_static, noise_suppress, chunk_rows)
+    return runs_to_rows(
+        labels.drop("is_motion"), runs, FILE, "i", "first_i", "last_i", {"is_motion": "is_motion"}, chunk_rows
+    ).select(*[c for c in labels.columns if c != "_chunk"])
 
 
 def _by_raw_length(moving: Column, length: Column, min_motion: int, noise_suppress: int) -> Column:
@@ -262,7 +247,7 @@ def analyze(
     noise_suppress: int = 2,
     files: DataFrame | None = None,
     axis: str = "compat",
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """The whole chain from energies to smoothed runs with times.

@@ -17,10 +17,20 @@ def insert_new(registry: DataFrame, found: DataFrame) -> DataFrame:
     return registry.unionByName(new_clips(found, registry), allowMissingColumns=True)
 
 
-def latest(changes: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The newest change per key; pre-aggregated, so many changes of one key do not meet in one task."""
-    others = [c for c in changes.columns if c not in keys]
-    newest = F.max_by(F.struct(*others), at).alias("_c")
+def latest(changes: DataFrame, keys: list[str], at: str, rank: str | None = None) -> DataFrame:
+    """The newest change per key; pre-aggregated, so many changes of one key do not meet in one task.
+
+    A change without a time is older than any with one. Of equally old ones the
+    higher ``rank`` column wins (it is dropped), then a hash of the row decides.
+    """
+    others = [c for c in changes.columns if c not in keys and c != rank]
+    order = F.struct(
+        F.col(at).isNotNull().alias("timed"),
+        F.col(at).alias("at"),
+        (F.col(rank) if rank else F.lit(0)).alias("rank"),
+        F.xxhash64(*others).alias("row"),
+    )
+    newest = F.max_by(F.struct(*others), order).alias("_c")
     return changes.groupBy(*keys).agg(newest).select(*keys, "_c.*")
 
 
@@ -38,8 +48,9 @@ def update(registry: DataFrame, changes: DataFrame, keys: list[str] = ["path"])
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str] = DAY, at: str = "updated_at") -> DataFrame:
-    """Insert or overwrite by key: of the old row and all changes the newest stays."""
-    return latest(table.unionByName(changes), keys, at).select(*table.columns)
+    """Insert or overwrite by key: of the old row and all changes the newest stays, a change if both are as old."""
+    both = table.withColumn("_rank", F.lit(0)).unionByName(changes.withColumn("_rank", F.lit(1)))
+    return latest(both, keys, at, "_rank").select(*table.columns)
 
 
 def of_day(table: DataFrame, date: str | None = None, cam: int | None = None) -> DataFrame:

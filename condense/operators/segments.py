@@ -51,7 +51,7 @@ def merge_segments(
     keys: Sequence[str] = DAY,
     seq: str = "seq",
     tolerance: float = 0.5,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Merge neighbours of equal state at most ``tolerance`` apart.
 
@@ -106,7 +106,7 @@ def absorb_short(
     min_motion: float = 2.0,
     min_static: float = 30.0,
     tolerance: float = 0.5,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """Absorb short segments into their neighbours until stable.
@@ -119,14 +119,13 @@ def absorb_short(
     An anchor takes part in both its stretches and is put together again by the
     same merge rule, as two halves that touch.
 
-    With chunks, what the steps read twice is handed to ``keep``, which may store it.
+    What the steps read twice is handed to ``keep``, which may store it.
     """
     keys = list(keys)
     cols = list(SEGMENT_COLUMNS)
     merged = merge_segments(segments, keys, seq, tolerance, chunk_rows)
-    chunk = None if chunk_rows is None else div(F.col(seq), chunk_rows)
-    if chunk_rows is not None:
-        merged = keep(merged, "merged")
+    chunk = div(F.col(seq), chunk_rows)
+    merged = keep(merged, "merged")
     later = running(merged, keys, [seq], chunk, {"_later_end": ("min", F.col("end_time"))}, reverse=True)
     long_enough = F.col("end_time") - F.col("start_time") >= F.when(
         F.col("state") == "DYNAMIC", F.lit(float(min_motion))
@@ -134,8 +133,7 @@ def absorb_short(
     anchored = later.withColumn(
         "_anchor", long_enough & (F.col("_later_end").isNull() | (F.col("_later_end") >= F.col("end_time")))
     )
-    if chunk_rows is not None:
-        anchored = keep(anchored, "anchored")
+    anchored = keep(anchored, "anchored")
     placed = running(
         anchored, keys, [seq], chunk, {"_before": ("max", F.when(F.col("_anchor"), F.col(seq)))}
     ).withColumn("_before", F.coalesce("_before", F.lit(-1).cast("long")))
@@ -186,21 +184,18 @@ def absorb_short(
         .sortWithinPartitions(*keys, "_stretch", seq)
         .mapInPandas(fold, schema)
     )
-    whole = merge_segments(pieces, keys, seq, tolerance, chunk_rows and 2 * chunk_rows)
+    whole = merge_segments(pieces, keys, seq, tolerance, 2 * chunk_rows)
     return whole.withColumn(seq, div(F.col(seq), 2))
 
 
-def segments_to_json(segments: DataFrame, keys: Sequence[str], seq: str = "seq", per_part: int = 10_000) -> DataFrame:
-    """JSON lists of the segments of each key, in order, in ``analysis_segments``.
+def segments_to_json(segments: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
+    """One JSON list per key with its segments in the order of ``seq``, in ``analysis_segments``.
 
-    ``seq`` counts the segments of a key from 0. A list longer than ``per_part``
-    goes into several rows, ``part`` 0, 1, ..., so no cell grows without bound.
+    The list is one value of the clip's registry row, so a key is a clip, not a day.
     """
     item = F.struct(*SEGMENT_COLUMNS)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq), item.alias("s")))), lambda x: x["s"])
-    return segments.groupBy(*keys, div(F.col(seq), per_part).alias("part")).agg(
-        F.to_json(ordered).alias("analysis_segments")
-    )
+    return segments.groupBy(*keys).agg(F.to_json(ordered).alias("analysis_segments"))
 
 
 def segments_from_json(clips: DataFrame, column: str = "analysis_segments") -> DataFrame:

@@ -6,9 +6,8 @@ any column that never falls along the order of the series. Windows run inside
 (key, chunk); what has to cross a chunk border travels as one summary row or
 at most two border rows per chunk.
 
-Where the longest series has been counted and fits one task (``chunking``),
-every function takes ``None`` for the chunks and then opens plain windows per
-key, which share one exchange. Keys are never NULL.
+The plan is the same for every size: a short series simply has one chunk. Keys
+may be NULL, which is a key like any other, and joins on keys treat it so.
 
 Three patterns cover the library:
 
@@ -33,26 +32,24 @@ def div(a: Column, n: int) -> Column:
     return F.floor(a / F.lit(n)).cast("long") if n != 1 else a.cast("long")
 
 
-def chunking(df: DataFrame, keys: Sequence[str], limit: int = CHUNK_ROWS) -> int | None:
-    """``None`` if a count shows that no series is longer than ``limit`` rows, else ``limit``.
-
-    Runs a job: one aggregate over the key columns, one number to the driver.
-    """
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return None if (longest or 0) <= limit else limit
-
-
 def _join_folds(how: str, a: Column, b: Column) -> Column:
     if how == "sum":
         return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
     return F.greatest(a, b) if how == "max" else F.least(a, b)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys appear once, as the left side has them."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None,
+    chunk: Column,
     values: dict[str, tuple[str, Column]],
     reverse: bool = False,
 ) -> DataFrame:
@@ -64,15 +61,6 @@ def running(
     """
     keys = list(keys)
     way = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    if chunk is None:
-        window = W.partitionBy(*keys).orderBy(*[way(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            *[
-                _join_folds(how, _FOLD[how](v).over(window), F.lit(None)).alias(n)
-                for n, (how, v) in values.items()
-            ],
-        )
     # rows without an order value come first, in a chunk of their own
     rows = df.withColumn("_chunk", F.coalesce(chunk.cast("long"), F.lit(-(2**62))))
     rows = rows.select("*", *[v.alias(f"_in_{n}") for n, (_, v) in values.items()])
@@ -93,7 +81,7 @@ def running(
     local = rows.select(
         "*", *[_FOLD[how](f"_in_{n}").over(inside).alias(f"_at_{n}") for n, (how, _) in values.items()]
     )
-    return local.join(carried, [*keys, "_chunk"]).select(
+    return join_on(local, carried, [*keys, "_chunk"]).select(
         *df.columns,
         *[
             _join_folds(how, F.col(f"_at_{n}"), F.col(f"_to_{n}")).alias(n)
@@ -103,22 +91,20 @@ def running(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, name: str = "k"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "k"
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... along ``order`` (which must be total)."""
     return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("long"))})
 
 
 def with_halo(
-    df: DataFrame, keys: Sequence[str], idx: str, before: int = 0, after: int = 0, chunk_rows: int | None = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], idx: str, before: int = 0, after: int = 0, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Copy border rows so that frames of ``before``/``after`` rows fit in one chunk.
 
     ``idx`` must be gapless per key. Adds ``_chunk`` and ``_own``: windows run
     over (keys, ``_chunk``), then rows with ``_own`` = false are dropped.
     """
-    if chunk_rows is None:
-        return df.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_own", F.lit(True))
     if max(before, after) > chunk_rows:
         raise ValueError("the frame is longer than a chunk")
     own, at = div(F.col(idx), chunk_rows), F.pmod(F.col(idx), F.lit(chunk_rows))
@@ -154,7 +140,7 @@ def attach(
     keys: Sequence[str],
     idx: str,
     last_idx: Column,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
     how: str = "inner",
 ) -> DataFrame:
     """Join per-key values to the rows of a gapless series, chunk by chunk.
@@ -162,12 +148,10 @@ def attach(
     Rows that carry their ``_chunk`` keep it, and with it the partitioning that
     later windows over the same chunks need.
     """
-    if chunk_rows is None:
-        return rows.join(per_key, list(keys), how)
     side = spread(per_key, last_idx, chunk_rows)
     if "_chunk" in rows.columns:
-        return rows.join(side, [*keys, "_chunk"], how)
-    return rows.withColumn("_chunk", div(F.col(idx), chunk_rows)).join(side, [*keys, "_chunk"], how).drop("_chunk")
+        return join_on(rows, side, [*keys, "_chunk"], how)
+    return join_on(rows.withColumn("_chunk", div(F.col(idx), chunk_rows)), side, [*keys, "_chunk"], how).drop("_chunk")
 
 
 def coalesce_runs(
@@ -176,7 +160,7 @@ def coalesce_runs(
     order: str,
     columns: dict[str, str],
     starts_run: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Join neighbouring rows into runs; the result has the columns of the input.
 
@@ -206,14 +190,6 @@ def coalesce_runs(
     def prev(window):
         return lambda c: F.lag(c).over(window)
 
-    if chunk_rows is None:
-        whole = W.partitionBy(*keys).orderBy(order)
-        rows = df.select(*keys, order, *columns)
-        rows = rows.withColumn("_new", F.coalesce(starts_run(prev(whole), F.col), F.lit(True)).cast("int"))
-        rows = rows.withColumn("_run", F.sum("_new").over(whole))
-        group, made = folded([*keys, "_run", *same])
-        return rows.groupBy(*group).agg(*made).select(*keys, order, *columns)
-
     within = W.partitionBy(*keys, "_chunk").orderBy(order)
     chunk = F.col("_chunk") if "_chunk" in df.columns else div(F.col(order), chunk_rows)
     marked = df.select(*keys, order, *columns, chunk.alias("_chunk"))
@@ -245,7 +221,7 @@ def runs_to_rows(
     first: str,
     last: str,
     take: dict[str, str],
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Give every row values of the run [``first``, ``last``] it lies in.
 
@@ -254,18 +230,14 @@ def runs_to_rows(
     stays linear in rows + runs.
     """
     keys = list(keys)
-    none = F.lit(0).cast("long")
-    if chunk_rows is None:
-        heads = runs.withColumn("_chunk", none).withColumn("_at", F.col(first))
-    else:
-        lo, hi = div(F.col(first), chunk_rows), div(F.col(last), chunk_rows)
-        heads = runs.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn(
-            "_at", F.greatest(F.col(first), F.col("_chunk") * chunk_rows)
-        )
+    lo, hi = div(F.col(first), chunk_rows), div(F.col(last), chunk_rows)
+    heads = runs.withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn(
+        "_at", F.greatest(F.col(first), F.col("_chunk") * chunk_rows)
+    )
     heads = heads.select(*keys, "_chunk", "_at", F.lit(0).alias("_kind"), F.struct(*[F.col(c).alias(n) for n, c in take.items()]).alias("_val"))
     body = rows.select(
         *keys,
-        (none if chunk_rows is None else div(F.col(idx), chunk_rows)).alias("_chunk"),
+        div(F.col(idx), chunk_rows).alias("_chunk"),
         F.col(idx).alias("_at"),
         F.lit(1).alias("_kind"),
         F.struct(*[c for c in rows.columns if c not in keys]).alias("_row"),

@@ -45,10 +45,9 @@ def day_segments(static: DataFrame, analysed: DataFrame) -> DataFrame:
     return static.select(*cols).unionByName(analysed.select(*cols))
 
 
-def in_order(segments: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def in_order(segments: DataFrame) -> DataFrame:
     """Number the segments of a day by start time; equal starts follow clip order."""
-    slot = None if chunk_rows is None else F.floor(F.col("start_time") / ORDER_SLOT)
-    return with_position(segments, DAY, ORDER, slot, "seq")
+    return with_position(segments, DAY, ORDER, F.floor(F.col("start_time") / ORDER_SLOT), "seq")
 
 
 def build_timeline(
@@ -58,7 +57,7 @@ def build_timeline(
     min_static: float = 30.0,
     min_length: float = 0.1,
     absorb: bool = True,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """Merge, absorb and place the ordered segments of each day.
@@ -137,7 +136,7 @@ def edit_list(
     keyframe_interval: float = 30.0,
     keyframe_display: float = 0.5,
     min_display: float = 1.5,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Source range, speed, shown length, sound and output position of every part of a day.
 
@@ -152,8 +151,7 @@ def edit_list(
         .withColumn("audio", audio_choice(F.col("state"), F.col("has_audio")))
         .drop("has_audio")
     )
-    chunk = None if chunk_rows is None else div(F.col("seq"), chunk_rows)
-    return running(rows, DAY, ["seq"], chunk, {"output_start": ("sum", F.col("shown"))})
+    return running(rows, DAY, ["seq"], div(F.col("seq"), chunk_rows), {"output_start": ("sum", F.col("shown"))})
 
 
 def batches_by_file(timeline: DataFrame, max_files: int = 4) -> DataFrame:
@@ -161,7 +159,7 @@ def batches_by_file(timeline: DataFrame, max_files: int = 4) -> DataFrame:
     return with_input_index(timeline).withColumn("batch_idx", div(F.col("input_index"), max_files))
 
 
-def batches(timeline: DataFrame, max_files: int = 4, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def batches(timeline: DataFrame, max_files: int = 4, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Cut each day into chronological batches of at most ``max_files`` distinct files; exact for interleaved files too.
 
     A batch ends where the next file would be one too many, which only shows when
@@ -202,9 +200,9 @@ def batches(timeline: DataFrame, max_files: int = 4, chunk_rows: int | None = CH
     return runs_to_rows(timeline, numbered, DAY, "seq", "seq", "last_seq", {"batch_idx": "batch_idx"}, chunk_rows)
 
 
-def batches_by_completion(done: DataFrame, order: list[str], per_batch: int = 4, chunk: Column | None = None) -> DataFrame:
-    """Finished clips of a day in order of completion, ``per_batch`` to a batch."""
-    return with_position(done, DAY, order, chunk, "_pos").withColumn("batch_idx", div(F.col("_pos"), per_batch)).drop("_pos")
+def batches_by_completion(done: DataFrame, order: list[str], per_batch: int = 4) -> DataFrame:
+    """Finished clips of a day in order of completion (``order``, first a whole number), ``per_batch`` to a batch."""
+    return with_position(done, DAY, order, div(F.col(order[0]), CHUNK_ROWS), "_pos").withColumn("batch_idx", div(F.col("_pos"), per_batch)).drop("_pos")
 
 
 def in_batch(timeline: DataFrame, batch_files: DataFrame) -> DataFrame:

@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from condense.operators.frames import FRAME_CHUNK
+from condense.operators.series import CHUNK_ROWS
+
+#: Rows per chunk of the queries' series and frames; the tests make them tiny.
+SIZES = {"series": CHUNK_ROWS, "frames": FRAME_CHUNK}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}

@@ -11,23 +11,40 @@ from condense.session import shared_dir
 from condense.sources.tables import write_metrics_json
 
 DAY = ["date", "cam_index"]
-DAYS_SHOWN = 60.0
+RATE, OFFSET, EVERY = 2.0, 3_600.0, 3
+BORDERS = (0.0, 20.0, 45.0, 60.0)
 
 
 def order_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order is a segment of 60 days from its date, at one frame per day."""
+    """An order is a file of 60 days that starts at OFFSET and has three segments."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
-    return o.select(
-        F.col("o_orderkey").alias("file_id"),
-        F.col("o_orderkey").alias("segment_id"),
-        F.lit(0.0).alias("start_time"),
-        F.lit(DAYS_SHOWN).alias("end_time"),
-        F.when(F.col("o_orderstatus") == "F", "STATIC").otherwise("DYNAMIC").alias("state"),
-        F.lit(0.0).alias("file_start_offset"),
-        (F.col("o_totalprice") / 50_000).alias("max_energy"),
+    parts = [
+        F.struct(F.lit(n).alias("segment_id"), F.lit(OFFSET + a).alias("start_time"), F.lit(OFFSET + b).alias("end_time"))
+        for n, (a, b) in enumerate(zip(BORDERS, BORDERS[1:]))
+    ]
+    still = (F.col("o_orderstatus") == "F") & (F.col("segment_id") != 1)
+    return (
+        o.withColumn("part", F.explode(F.array(*parts)))
+        .select("*", "part.*")
+        .select(
+            F.col("o_orderkey").alias("file_id"),
+            "segment_id",
+            "start_time",
+            "end_time",
+            F.when(still, "STATIC").otherwise("DYNAMIC").alias("state"),
+            F.lit(OFFSET).alias("file_start_offset"),
+            (F.col("o_totalprice") / 50_000).alias("max_energy"),
+        )
     )
 
 
+def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames the detector looked at: every third of the two frames per day, whether it saw something or not."""
+    o = table(spark, sf_dir, "orders", "o_orderkey")
+    frames = F.sequence(F.lit(0).cast("long"), F.lit(int(BORDERS[-1] * RATE)).cast("long"), F.lit(EVERY).cast("long"))
+    return o.select(F.col("o_orderkey").alias("file_id"), F.explode(frames).alias("frame_idx"))
+
+
 def line_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item is a detection on the day it is shipped, counted from the date of its order."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_shipdate")
@@ -35,33 +52,41 @@ def line_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines.join(o, lines.l_orderkey == o.o_orderkey)
     return joined.select(
         F.col("l_orderkey").alias("file_id"),
-        F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")).cast("long").alias("frame_idx"),
+        (F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")) * int(RATE)).cast("long").alias("frame_idx"),
         F.col("l_linenumber").alias("class_id"),
         (F.col("l_discount") * 10).alias("conf"),
     ).where("frame_idx >= 0")
 
 
 _DETECTIONS = """
-dt AS (SELECT l_orderkey AS file_id, date_diff('day', o_orderdate, l_shipdate) AS frame_idx, l_linenumber AS class_id, l_discount * 10 AS conf
+dt AS (SELECT l_orderkey AS file_id, 2 * date_diff('day', o_orderdate, l_shipdate) AS frame_idx, l_linenumber AS class_id, l_discount * 10 AS conf
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE date_diff('day', o_orderdate, l_shipdate) >= 0),
-ft AS (SELECT file_id, frame_idx, bool_or(class_id IN (0, 1, 2, 3, 15, 16) AND conf >= 0.3::DOUBLE) AS hit FROM dt GROUP BY file_id, frame_idx)"""
+lk AS (SELECT o_orderkey AS file_id, unnest(range(0, 121, 3)) AS frame_idx FROM orders),
+ft AS (SELECT lk.file_id, lk.frame_idx, coalesce(bool_or(class_id IN (0, 1, 2, 3, 15, 16) AND conf >= 0.3::DOUBLE), false) AS hit
+       FROM lk LEFT JOIN dt ON lk.file_id = dt.file_id AND lk.frame_idx = dt.frame_idx GROUP BY lk.file_id, lk.frame_idx)"""
+
+_SEGMENTS = """
+sg AS (SELECT o_orderkey AS file_id, CAST(s AS INTEGER) AS segment_id, [0, 40, 90][s + 1] AS lo, [40, 90, 120][s + 1] AS hi,
+              CASE WHEN o_orderstatus = 'F' AND s <> 1 THEN 'STATIC' ELSE 'DYNAMIC' END AS state, o_totalprice / 50000 AS energy
+       FROM orders, range(0, 3) r(s))"""
 
 
 def _verified(aligned: bool) -> str:
-    step = "AND frame_idx % 2 = 0" if aligned else ""
-    return f"""{_DETECTIONS},
-sn AS (SELECT file_id, count(*) AS frames_checked, bool_or(hit) AS hit FROM ft JOIN orders ON file_id = o_orderkey
-       WHERE frame_idx BETWEEN 0 AND 60 {step} AND o_orderstatus <> 'F' AND o_totalprice / 50000 < 8 GROUP BY file_id),
-vs AS (SELECT o_orderkey AS file_id, o_orderkey AS segment_id, coalesce(frames_checked, 0) AS frames_checked,
-              coalesce(NOT hit, false) AS flipped,
-              CASE WHEN o_orderstatus = 'F' OR coalesce(NOT hit, false) THEN 'STATIC' ELSE 'DYNAMIC' END AS state
-       FROM orders LEFT JOIN sn ON file_id = o_orderkey)"""
+    step = "AND (frame_idx - lo) % 4 = 0" if aligned else ""
+    return f"""{_DETECTIONS},{_SEGMENTS},
+sn AS (SELECT sg.file_id, segment_id, count(*) AS frames_checked, bool_or(hit) AS hit FROM ft JOIN sg ON ft.file_id = sg.file_id
+       WHERE frame_idx BETWEEN lo AND hi {step} AND state = 'DYNAMIC' AND energy < 8 GROUP BY ALL),
+vs AS (SELECT sg.file_id, sg.segment_id, coalesce(frames_checked, 0) AS frames_checked, coalesce(NOT hit, false) AS flipped,
+              CASE WHEN state = 'STATIC' OR coalesce(NOT hit, false) THEN 'STATIC' ELSE 'DYNAMIC' END AS state
+       FROM sg LEFT JOIN sn ON sg.file_id = sn.file_id AND sg.segment_id = sn.segment_id)"""
+
+
+def seen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vf.sampled_hits(order_frames(spark, sf_dir), line_detections(spark, sf_dir))
 
 
 def verified(spark: SparkSession, sf_dir: str, align: str) -> DataFrame:
-    detections = line_detections(spark, sf_dir)
-    frames = vf.sampled_hits(detections, detections)
-    return vf.verify_segments(order_segments(spark, sf_dir), frames, F.lit(1.0), 0.5, 8.0, align)
+    return vf.verify_segments(order_segments(spark, sf_dir), seen_frames(spark, sf_dir), F.lit(RATE), 0.5, 8.0, align)
 
 
 @bound("verify_segments", f"WITH {_verified(False)} SELECT * FROM vs")
@@ -76,18 +101,16 @@ def verify_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bound("detection_hits", f"WITH {_DETECTIONS} SELECT file_id, frame_idx, hit FROM ft")
 def detection_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detections = line_detections(spark, sf_dir)
-    return vf.sampled_hits(detections, detections)
+    return seen_frames(spark, sf_dir)
 
 
 @bound(
     "segment_frames",
-    f"""WITH {_DETECTIONS} SELECT file_id, o_orderkey AS segment_id, frame_idx, hit FROM ft JOIN orders ON file_id = o_orderkey
-    WHERE frame_idx BETWEEN 0 AND 60""",
+    f"""WITH {_DETECTIONS},{_SEGMENTS} SELECT ft.file_id, segment_id, frame_idx, hit FROM ft JOIN sg ON ft.file_id = sg.file_id
+    WHERE frame_idx BETWEEN lo AND hi""",
 )
 def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detections = line_detections(spark, sf_dir)
-    return vf.segment_frames(order_segments(spark, sf_dir), vf.sampled_hits(detections, detections), F.lit(1.0))
+    return vf.segment_frames(order_segments(spark, sf_dir), seen_frames(spark, sf_dir), F.lit(RATE))
 
 
 @bound(

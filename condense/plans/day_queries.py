@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from condense.functions.clock import epoch_micros
 from condense.operators import segments as seg, timeline as tl
-from condense.operators.series import chunking, div, with_position
+from condense.operators.series import div, with_position
 from condense.operators.registry import in_clip_order
-from condense.plans.bound import bound, table
+from condense.plans.bound import SIZES, bound, table
 from condense.session import shared_dir, written
 from condense.sources.listing import list_files as list_folder
 from condense.sources.tables import read_days, write_days
@@ -61,24 +61,23 @@ def event_clips(segments: DataFrame) -> DataFrame:
     )
 
 
-def merged_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+def merged_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     segments = event_segments(spark, sf_dir)
-    chunks = chunking(segments, DAY)
-    return seg.merge_segments(tl.in_order(segments, chunks), chunk_rows=chunks), chunks
+    chunks = SIZES["series"]
+    return seg.merge_segments(tl.in_order(segments), chunk_rows=chunks), chunks
 
 
-def clip_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int | None]:
+def clip_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     """Ordered segments of all days with static clips as whole-clip segments, the clips, and the chunking."""
     segments = written(event_segments(spark, sf_dir), "segments")  # read for the clips and for the days
     clips = event_clips(segments)
-    chunks = chunking(segments, DAY)
     busy = clips.where("prescreen_status = 'SUSPICIOUS'").select(*DAY, F.col("path").alias("source_file"))
     analysed = segments.join(busy, [*DAY, "source_file"], "left_semi")
     days = tl.day_segments(tl.static_segments(clips), analysed)
-    return tl.in_order(days, chunks), clips, chunks
+    return tl.in_order(days), clips, SIZES["series"]
 
 
-def merged_timeline(spark: SparkSession, sf_dir: str, store: bool = False) -> tuple[DataFrame, DataFrame, int | None]:
+def merged_timeline(spark: SparkSession, sf_dir: str, store: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """The timeline of merged segments; ``store`` writes it first, for queries that read it more than once."""
     ordered, clips, chunks = clip_days(spark, sf_dir)
     timeline = tl.build_timeline(ordered, absorb=False, chunk_rows=chunks)
@@ -137,8 +136,7 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bound("segment_absorb")
 def segment_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = event_segments(spark, sf_dir)
-    chunks = chunking(segments, DAY)
-    return seg.absorb_short(tl.in_order(segments, chunks), chunk_rows=chunks, keep=written)
+    return seg.absorb_short(tl.in_order(segments), chunk_rows=SIZES["series"], keep=written)
 
 
 @bound("day_timeline", f"WITH {_TIMELINE} SELECT date, cam_index, seq, filepath, start_in_file, end_in_file, state, duration, input_index FROM ba")
@@ -232,6 +230,16 @@ def batch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.in_batch(timeline, files).select(*DAY, "seq", "filepath", "state", "duration")
 
 
+@bound(
+    "batch_files",
+    f"WITH {_TIMELINE} SELECT date, cam_index, batch_idx, seq, filepath, state, duration FROM ba",
+)
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of every batch, by the fold that is exact for interleaved clips too."""
+    timeline, _, chunks = merged_timeline(spark, sf_dir, store=True)
+    return tl.batches(timeline, 4, chunks).select(*DAY, "batch_idx", "seq", "filepath", "state", "duration")
+
+
 def part_path(batch: Column) -> Column:
     return F.format_string("_batch%d_%s_cam%d.mp4", batch, F.col("date"), F.col("cam_index"))
 
@@ -280,16 +288,14 @@ def segment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: encode the segments of each clip, decode them again."""
     segments = event_segments(spark, sf_dir)
     keys = [*DAY, "source_file"]
-    chunks = chunking(segments, keys)
-    slot = None if chunks is None else F.floor(F.col("start_time"))
+    slot = F.floor(F.col("start_time") / tl.ORDER_SLOT)
     numbered = with_position(segments, keys, ["start_time", "seq_in_file"], slot, "seq")
-    per_part = 10_000
-    encoded = seg.segments_to_json(numbered.withColumn("clip", F.col("source_file")), [*DAY, "clip"], "seq", per_part)
+    encoded = seg.segments_to_json(numbered.withColumn("clip", F.col("source_file")), [*DAY, "clip"], "seq")
     decoded = seg.segments_from_json(encoded)
     return decoded.select(
         *DAY,
         "source_file",
-        (F.col("part") * per_part + F.col("seq")).alias("seq"),
+        "seq",
         "start_time",
         "end_time",
         "state",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from condense.functions import pixels as px
 from condense.operators import frames as fr
-from condense.operators.series import chunk_window, chunking, div, with_halo, with_position
-from condense.plans.bound import bound, table
+from condense.operators.series import chunk_window, div, with_halo, with_position
+from condense.plans.bound import SIZES, bound, table
 from condense.plans.full_run import full_run
 from condense.schemas import PRESCREEN_DETAIL
 from condense.session import ship, written
@@ -20,7 +20,7 @@ FRAME_SECONDS = 0.5
 SEGMENTS = 20
 
 
-def embedding_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+def embedding_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Frames with gapless ``i`` and whole pixel values around 50, so that bright and dark pictures occur."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("long").alias("file_id"),
@@ -29,9 +29,8 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int |
             "embedding", lambda x: F.greatest(F.floor((x.cast("double") + 0.5) * 100), F.lit(0)).cast("int")
         ).alias("pixels"),
     )
-    chunks = chunking(rows, FILE, fr.FRAME_CHUNK)
-    slot = None if chunks is None else div(F.col("vec_id"), fr.FRAME_CHUNK)
-    return with_position(rows, FILE, ["vec_id"], slot, "i"), chunks
+    chunks = SIZES["frames"]
+    return with_position(rows, FILE, ["vec_id"], div(F.col("vec_id"), chunks), "i"), chunks
 
 
 _FRAMES = """

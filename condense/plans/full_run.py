@@ -24,12 +24,13 @@ Keep = Callable[[DataFrame, str], DataFrame]
 
 @dataclass
 class Tables:
-    """The tables of a run."""
+    """The tables of a run; ``registry`` has the state of every clip after it."""
 
     verdicts: DataFrame
-    segments: DataFrame
+    registry: DataFrame
     timeline: DataFrame
     edits: DataFrame
+    segments: DataFrame
 
 
 def analyse_clips(
@@ -41,16 +42,17 @@ def analyse_clips(
     sampled: DataFrame | None = None,
     roi: tuple[float, float, float, float] = (0.1, 0.12, 0.8, 0.85),
     skip_energy: float = 12.0,
-    chunk_rows: int | None = CHUNK_ROWS,
-    frame_chunk: int | None = fr.FRAME_CHUNK,
+    chunk_rows: int = CHUNK_ROWS,
+    frame_chunk: int = fr.FRAME_CHUNK,
     keep: Keep = lambda df, label: df,
     **options,
 ) -> DataFrame:
     """Segments of the given clips; DYNAMIC ones are checked if there are ``detections``.
 
     ``frames`` has ``file_id``, ``i`` and gray ``pixels``, ``clips`` ``path``, the day,
-    stamps and ``file_duration``. ``sampled`` lists the frames the detector saw;
-    without it those with a detection.
+    stamps and ``file_duration``. ``sampled`` (``file_id``, ``frame_idx``) lists all
+    frames the detector looked at, also those in which it saw nothing; by default it
+    looked at every frame of a segment that is a multiple of the step from its start.
     """
     files = clips.select(
         F.col("path").alias("file_id"),
@@ -63,12 +65,14 @@ def analyse_clips(
     parts = seg.runs_to_segments(rows, offset=F.col("offset"))
     if detections is None:
         return parts
-    hits = vf.sampled_hits(detections if sampled is None else sampled, detections)
+    looked = frames.select("file_id", F.col("i").alias("frame_idx")) if sampled is None else sampled
+    hits = vf.sampled_hits(looked, detections)
     rated = parts.withColumn("segment_id", F.col("seq")).join(
         files.select("file_id", motion.sampling_rate(F.col("duration")).alias("_rate")), "file_id"
     )
-    checked = vf.verify_segments(rated, hits, F.col("_rate"), skip_energy=skip_energy)
-    return seg.merge_segments(checked.select(*parts.columns), ["file_id"], chunk_rows=chunk_rows)
+    align = "segment" if sampled is None else "any"
+    checked = vf.verify_segments(rated, hits, F.col("_rate"), skip_energy=skip_energy, align=align)
+    return checked.select(*parts.columns)
 
 
 def full_run(
@@ -79,15 +83,17 @@ def full_run(
     detections: DataFrame | None = None,
     threshold: float = 6.0,
     mode: str = "stream_fps",
-    chunk_rows: int | None = CHUNK_ROWS,
-    frame_chunk: int | None = fr.FRAME_CHUNK,
+    chunk_rows: int = CHUNK_ROWS,
+    frame_chunk: int = fr.FRAME_CHUNK,
     keep: Keep = lambda df, label: df,
     **options,
 ) -> Tables:
     """Screen, analyse, check, lay out and cut all days of ``clips``."""
     changes = fr.frame_changes(frames, frame_chunk)
     verdicts = keep(fr.prescreen(changes, threshold, mode), "verdicts")
-    judged = clips.join(verdicts.select(F.col("file_id").alias("path"), F.col("status").alias("prescreen_status")), "path")
+    judged = clips.join(
+        verdicts.select(F.col("file_id").alias("path"), F.col("status").alias("prescreen_status")), "path", "left"
+    ).withColumn("prescreen_status", F.coalesce("prescreen_status", F.lit("FAILED")))  # no frame could be read
     busy = judged.where("prescreen_status = 'SUSPICIOUS'")
     segments = keep(
         analyse_clips(
@@ -98,30 +104,50 @@ def full_run(
     placed = segments.join(busy.select(F.col("path").alias("file_id"), *DAY, "file_start_time"), "file_id")
     analysed = placed.withColumn("seq_in_file", F.col("seq"))
     days = tl.day_segments(tl.static_segments(judged), analysed)
-    timeline = keep(tl.build_timeline(tl.in_order(days, chunk_rows), chunk_rows=chunk_rows, keep=keep), "timeline")
-    return Tables(verdicts, segments, timeline, tl.edit_list(timeline, clips, chunk_rows=chunk_rows))
+    timeline = keep(tl.build_timeline(tl.in_order(days), chunk_rows=chunk_rows, keep=keep), "timeline")
+    return Tables(verdicts, clip_states(judged, segments), timeline, tl.edit_list(timeline, clips, chunk_rows=chunk_rows), segments)
+
+
+def clip_states(judged: DataFrame, segments: DataFrame) -> DataFrame:
+    """Registry rows after a run: ``analysis_status`` and the stored segments of every clip.
+
+    A clip to analyse that has no segments (fewer than two energies) has FAILED;
+    one that needed no analysis stays PENDING.
+    """
+    stored = seg.segments_to_json(segments, ["file_id"]).withColumnRenamed("file_id", "path")
+    busy, found = F.col("prescreen_status") == "SUSPICIOUS", F.col("analysis_segments").isNotNull()
+    return judged.drop("analysis_status", "analysis_segments").join(stored, "path", "left").withColumn(
+        "analysis_status", F.when(busy & found, "ANALYZED").when(busy, "FAILED").otherwise("PENDING")
+    )
 
 
 def inspect(
     energies: DataFrame,
     files: DataFrame,
     detections: DataFrame | None = None,
+    sampled: DataFrame | None = None,
     min_motion: float = 2.0,
     min_static: float = 30.0,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
     keep: Keep = lambda df, label: df,
     **options,
 ) -> dict[str, DataFrame]:
-    """What one looks at to judge the detection: statistics, segments before and after the check, changes of label."""
+    """What one looks at to judge the detection: statistics, segments before and after the check, changes of label.
+
+    ``detections`` come with ``sampled``, all frames the detector looked at: one in
+    which it saw nothing has no detection, but it is what the check is for.
+    """
+    if detections is not None and sampled is None:
+        raise ValueError("detections need the sampled frames they were made from")
     runs = keep(motion.analyze(energies, files=files, chunk_rows=chunk_rows, keep=keep, **options), "runs")
     raw = seg.runs_to_segments(runs)
     absorb = lambda df: seg.absorb_short(df, ["file_id"], "seq", min_motion, min_static, chunk_rows=chunk_rows, keep=keep)
-    found = {"statistics": motion.motion_ratio(runs), "segments": absorb(raw), "transitions": seg.transitions(runs, 40)}
+    found = {"statistics": motion.motion_ratio(runs), "segments": absorb(raw), "transitions": seg.transitions(runs)}
     if detections is not None:
         rated = raw.withColumn("segment_id", F.col("seq")).join(
             files.select("file_id", motion.sampling_rate(F.col("duration")).alias("_rate")), "file_id"
         )
-        checked = vf.verify_segments(rated, vf.sampled_hits(detections, detections), F.col("_rate"))
+        checked = vf.verify_segments(rated, vf.sampled_hits(sampled, detections), F.col("_rate"))
         found["verified"] = absorb(checked.select(*raw.columns))
     found["midpoints"] = seg.midpoints(found.get("verified", found["segments"]))
     return found

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from condense.functions.clock import epoch_micros
 from condense.operators import motion, segments as seg
-from condense.operators.series import attach, chunking, div, with_position
-from condense.plans.bound import bound, table
+from condense.operators.series import attach, div, with_position
+from condense.plans.bound import SIZES, bound, table
 from condense.session import shared_dir, written
 from condense.sources.tables import LABEL_CSV, write_label_csv
 
@@ -16,17 +16,15 @@ HOUR = 3_600_000_000  # microseconds per chunk while events are being numbered
 NATIVE_FPS, SECONDS_PER_FRAME = 30.0, 10.0
 
 
-def event_energies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int | None]:
+def event_energies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """The energy series and how its files are to be chunked."""
     rows = table(spark, sf_dir, "events", "user_id", "ts", "event_id", "value").select(
         F.col("user_id").alias("file_id"), epoch_micros(F.col("ts")).alias("us"), "event_id", F.col("value").alias("energy")
     )
-    chunks = chunking(rows, FILE)
-    slot = None if chunks is None else div(F.col("us"), HOUR)
-    return with_position(rows, FILE, ["us", "event_id"], slot), chunks
+    return with_position(rows, FILE, ["us", "event_id"], div(F.col("us"), HOUR)), SIZES["series"]
 
 
-def labels_of(energies: DataFrame, chunks: int | None) -> DataFrame:
+def labels_of(energies: DataFrame, chunks: int) -> DataFrame:
     thresholds = motion.noise_threshold(energies, sensitivity=1.0)
     return motion.raw_labels(energies, thresholds, chunks, carry=("us",)).withColumnRenamed("us", "time")
 
@@ -185,6 +183,17 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.transitions(raw_runs, first=40)
 
 
+@bound(
+    "all_transitions",
+    f"""WITH {_SERIES},{_THRESHOLDS},{_LABELS},
+    t AS (SELECT *, lag(m) OVER (PARTITION BY file_id ORDER BY i) AS pm FROM s0)
+    SELECT file_id, i, us AS time, CASE WHEN m THEN 'MOTION_START' ELSE 'MOTION_END' END AS direction FROM t WHERE m <> pm""",
+)
+def all_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    energies, chunks = event_energies(spark, sf_dir)
+    return seg.transitions(motion.label_runs(labels_of(energies, chunks), chunk_rows=chunks, smooth=False))
+
+
 @bound(
     "label_axis",
     f"""WITH {_SERIES},{_EARLY},

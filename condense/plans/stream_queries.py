@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from condense.operators import timeline as tl
-from condense.operators.series import chunking
+from condense.operators.series import CHUNK_ROWS, div
 from condense.plans import day_queries as dq, frame_queries as fq, registry_queries as rq
 from condense.plans.bound import bound
 from condense.session import shared_dir
@@ -81,14 +81,14 @@ def stream_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bound("stream_merge", f"WITH {dq._DAYS},{dq._merged('d')} SELECT * FROM mg")
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = dq.event_segments(spark, sf_dir)
-    ordered = with_total(tl.in_order(segments, chunking(segments, DAY)), DAY, "segments")
+    ordered = with_total(tl.in_order(segments), DAY, "segments")
     return finished(folds.merge_stream(arriving(ordered, "segments", *DAY, "seq")), "merged")
 
 
 @bound("stream_batches", dq.COMPLETION)
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = dq.event_clips(dq.event_segments(spark, sf_dir)).select(*DAY, "path", "done_at")
-    placed = tl.with_position(clips, DAY, ["done_at", "path"], None, "pos")
+    placed = tl.with_position(clips, DAY, ["done_at", "path"], div(F.col("done_at"), CHUNK_ROWS), "pos")
     stream = arriving(with_total(placed, DAY, "clips").drop("done_at"), "done", "path")
     return finished(folds.batch_stream(stream), "batches")
 

@@ -67,15 +67,17 @@ def classify(
     readable = F.col("file_duration").isNotNull()
     age = (as_of.cast("timestamp").cast("double") - F.col("modificationTime").cast("timestamp").cast("double")) / 60
     rows = clips.withColumn("_age", age)
+    near = F.coalesce(F.lit(freeze_minutes > 0) & (F.col("_age") < freeze_minutes + STABLE_MINUTES), F.lit(False))
     moved = F.lit(False)
     if second_look is not None and not skip_today and freeze_minutes > 0:
-        # only young files are looked at twice, so both sides of this join are small slices
+        # only the slice of young files is looked at twice; all others pass by the join
         again = second_look.select("path", F.col("length").alias("_length2"))
-        rows = rows.join(again, "path", "left")
-        moved = F.col("_length2").isNull() | (F.col("_length2") != F.col("length"))
-        rows = rows.withColumn("_moved", moved)
+        young = rows.where(near).join(again, "path", "left")
+        changed = F.col("_length2").isNull() | (F.col("_length2") != F.col("length"))
+        rows = rows.where(~near).withColumn("_moved", F.lit(False)).unionByName(
+            young.withColumn("_moved", F.coalesce(changed, F.lit(True))).drop("_length2")
+        )
         moved = F.col("_moved")
-    near = F.lit(freeze_minutes > 0) & (F.col("_age") < freeze_minutes + STABLE_MINUTES)
     frozen = F.lit(False) if skip_today else (F.col("_age") < freeze_minutes) | (near & moved)
     today = F.lit(skip_today) & (F.col("date") == F.date_format(as_of, "yyyyMMdd"))
     rate = kbps(F.col("length"), F.col("file_duration"))

@@ -13,7 +13,6 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from condense.operators import registry as reg, timeline as tl
-from condense.operators.series import chunking
 from condense.session import path_exists, written
 from condense.sources import listing as ls
 from condense.sources.tables import write_days
@@ -30,8 +29,9 @@ def intake_job(
     as_of: Callable[[int], Column] = lambda batch: F.current_timestamp(),
     freeze_minutes: float = 10.0,
     min_kbps: float = 0.0,
+    quarantine: str | None = None,
 ) -> DataStreamWriter:
-    """Register listed clips once they have settled.
+    """Register listed clips once they have settled; clips whose stamps are no time go to ``quarantine``.
 
     Too young clips go into the ``held`` table and are judged again with every
     later batch. Known paths are ignored. The registry is a log by batch here;
@@ -47,6 +47,8 @@ def intake_job(
         newest = reg.latest(found, ["path"], "modificationTime").select(*LISTED)
         judged = ls.classify(ls.clip_names(newest), as_of(number), freeze_minutes=freeze_minutes, min_kbps=min_kbps)
         judged.where("intake = 'frozen'").select(*LISTED).write.mode("overwrite").parquet(f"{held}/{number}")
+        if quarantine is not None:
+            judged.where("intake = 'quarantined'").select(*LISTED).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         accepted = judged.where("intake = 'added'").drop("intake").withColumn("analysis_status", F.lit("PENDING"))
         if path_exists(spark, registry):
             known = spark.read.schema("path string, batch long").parquet(registry).where(F.col("batch") < number)
@@ -78,8 +80,7 @@ def reopen_job(
         kept = spark.read.schema(schema).parquet(store)
         touched = spark.read.schema(schema).parquet(f"{store}/batch={number}").select(*DAY).distinct()
         days = kept.join(touched, DAY, "left_semi")
-        chunks = chunking(days, DAY)
-        timeline = tl.build_timeline(tl.in_order(days, chunks), chunk_rows=chunks, keep=written, **options)
+        timeline = tl.build_timeline(tl.in_order(days), keep=written, **options)
         write_days(timeline, timelines, "overwrite")
 
     return segments.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -37,7 +37,7 @@ def verdict(frames, base, mode):
     return ("SUSPICIOUS" if max(seen) > final else "STATIC"), len(seen), False
 
 
-@pytest.mark.parametrize("chunk", [None, 2, 5])
+@pytest.mark.parametrize("chunk", [2, 5, 1024])
 @pytest.mark.parametrize("mode", ["legacy_seek", "stream_fps"])
 def test_verdicts(spark, chunk, mode):
     data = clips()
@@ -50,17 +50,17 @@ def test_verdicts(spark, chunk, mode):
 def test_dark_last_frame_counts_only_when_seeking(spark):
     # a change below the bright threshold, then a dark picture with a small change
     data = {"x": [[52] * 16, [56] * 16, [49] * 16]}
-    changes = fr.frame_changes(table(spark, data), None).withColumn("d", F.when(F.col("i") == 2, 1.0).otherwise(F.col("d")))
+    changes = fr.frame_changes(table(spark, data)).withColumn("d", F.when(F.col("i") == 2, 1.0).otherwise(F.col("d")))
     modes = {m: fr.prescreen(changes, 5.0, m).first()["status"] for m in ("legacy_seek", "stream_fps")}
     assert modes == {"legacy_seek": "SUSPICIOUS", "stream_fps": "STATIC"}
 
 
 def test_difference_equal_to_the_threshold_is_not_exceeded(spark):
-    changes = fr.frame_changes(table(spark, {"x": [[100] * 16, [104] * 16]}), None)
+    changes = fr.frame_changes(table(spark, {"x": [[100] * 16, [104] * 16]}))
     assert fr.prescreen(changes, 4.0).first()["status"] == "STATIC"
 
 
-@pytest.mark.parametrize("chunk", [None, 3])
+@pytest.mark.parametrize("chunk", [3, 1024])
 def test_roi_energy_and_kernels(spark, chunk):
     data = clips(2, 10)
     roi = (0.25, 0.25, 0.5, 0.75)
@@ -79,7 +79,7 @@ def test_roi_energy_and_kernels(spark, chunk):
 
 def test_roi_wider_than_the_picture_keeps_the_nominal_area(spark):
     data = {"x": [[0] * 16, [8] * 16]}
-    assert fr.roi_energies(table(spark, data), 4, 4, (0.5, 0.5, 1.0, 1.0), None).first()["energy"] == 8 * 4 / 16
+    assert fr.roi_energies(table(spark, data), 4, 4, (0.5, 0.5, 1.0, 1.0)).first()["energy"] == 8 * 4 / 16
 
 
 def test_sampled_detail(spark):
@@ -87,7 +87,7 @@ def test_sampled_detail(spark):
     frames = table(spark, data).withColumn("offset_s", F.col("i") * 1.0)
     files = spark.createDataFrame([("calm", 30.0), ("busy", 30.0)], "file_id string, duration double")
     samples = fr.sample_stream(frames, files, 10)
-    detail = {r["file_id"]: r for r in fr.prescreen_detail(fr.frame_changes(samples, None), samples, files, 6.0, segments=10).collect()}
+    detail = {r["file_id"]: r for r in fr.prescreen_detail(fr.frame_changes(samples), samples, files, 6.0, segments=10).collect()}
     assert detail["calm"]["prescreen_status"] == "STATIC" and detail["busy"]["prescreen_status"] == "SUSPICIOUS"
     calm = json.loads(detail["calm"]["prescreen_result"])
     assert calm["sample_ts"] == [3.0 * i for i in range(11)] and "mean_luma" not in calm and len(calm["diffs"]) == 10

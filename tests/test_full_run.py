@@ -28,7 +28,7 @@ def tables(spark):
     )
 
 
-@pytest.mark.parametrize("chunk", [None, 16])
+@pytest.mark.parametrize("chunk", [16, 1024])
 def test_day_with_one_moving_clip(spark, chunk):
     frames, clips = tables(spark)
     run = full_run(frames, clips, SIDE, SIDE, chunk_rows=chunk, frame_chunk=chunk, early_window=None, roi=(0, 0, 1, 1), keep=written)
@@ -40,17 +40,30 @@ def test_day_with_one_moving_clip(spark, chunk):
     # the short static rest of the clip is absorbed into the motion before it
     assert 15 < moving["start_in_file"] < 22 and 35 < moving["duration"] < 40
     assert parts[2]["output_start"] == pytest.approx(parts[0]["shown"] + moving["duration"])
+    states = {r["path"]: (r["prescreen_status"], r["analysis_status"]) for r in run.registry.collect()}
+    assert states == {"/a": ("STATIC", "PENDING"), "/b": ("SUSPICIOUS", "ANALYZED"), "/c": ("STATIC", "PENDING")}
+
+
+def test_a_clip_without_frames_has_failed(spark):
+    frames, clips = tables(spark)
+    run = full_run(frames.where("file_id <> '/a'"), clips, SIDE, SIDE, early_window=None, roi=(0, 0, 1, 1))
+    states = {r["path"]: (r["prescreen_status"], r["analysis_status"]) for r in run.registry.collect()}
+    assert states["/a"] == ("FAILED", "PENDING") and len(states) == 3
 
 
 def test_detections_turn_the_moving_part_static(spark):
     frames, clips = tables(spark)
     # 60 s at 5 frames per second: index 150 lies in the moving third; class 7 is no target
     seen = spark.createDataFrame([("/b", i, 7, 0.9) for i in range(0, 300, 10)], "file_id string, frame_idx long, class_id int, conf double")
-    options = dict(chunk_rows=None, frame_chunk=None, early_window=None, roi=(0, 0, 1, 1), skip_energy=1000.0)
-    run = full_run(frames, clips, SIDE, SIDE, detections=seen, **options)
+    options = dict(early_window=None, roi=(0, 0, 1, 1), skip_energy=1000.0)
+    run = full_run(frames, clips, SIDE, SIDE, detections=seen, sampled=seen.select("file_id", "frame_idx"), **options)
     assert {r["state"] for r in run.edits.collect()} == {"STATIC"}
     person = seen.withColumn("class_id", F.lit(0))
-    run = full_run(frames, clips, SIDE, SIDE, detections=person, **options)
+    run = full_run(frames, clips, SIDE, SIDE, detections=person, sampled=seen.select("file_id", "frame_idx"), **options)
+    assert {r["state"] for r in run.edits.collect()} == {"STATIC", "DYNAMIC"}
+    # frames were looked at and nothing was seen: the case the check is for
+    nothing = full_run(frames, clips, SIDE, SIDE, detections=seen.limit(0), sampled=seen.select("file_id", "frame_idx"), **options)
+    assert {r["state"] for r in nothing.edits.collect()} == {"STATIC"}
     assert {r["state"] for r in run.edits.collect()} == {"STATIC", "DYNAMIC"}
 
 
@@ -59,7 +72,7 @@ def test_inspection(spark):
     energies = spark.createDataFrame(rows, "file_id string, k long, energy double")
     files = spark.createDataFrame([("x", 301.0, 0.0)], "file_id string, duration double, offset double")
     seen = spark.createDataFrame([("x", 0, 7, 0.9)], "file_id string, frame_idx long, class_id int, conf double")
-    found = inspect(energies, files, seen, early_window=None, chunk_rows=64)
+    found = inspect(energies, files, seen, seen.select("file_id", "frame_idx"), early_window=None, chunk_rows=64)
     assert [r["direction"] for r in found["transitions"].orderBy("i").collect()] == ["MOTION_START", "MOTION_END"]
     assert [r["state"] for r in found["segments"].orderBy("seq").collect()] == ["STATIC", "DYNAMIC", "STATIC"]
     assert found["midpoints"].count() == 3

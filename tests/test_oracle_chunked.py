@@ -4,7 +4,7 @@ import pytest
 from check_queries import compare, duck
 
 import __spark_entry__ as contract
-from condense.operators import series
+from condense.plans import bound, day_queries, frame_queries, motion_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
@@ -22,13 +22,7 @@ def con():
 
 @pytest.mark.parametrize("name", CHUNKED)
 def test_query_in_chunks(spark, con, monkeypatch, name):
-    used = []
-
-    def tiny(df, keys, limit=0):
-        used.append(keys)
-        return 7
-
-    for module in ("motion_queries", "day_queries", "frame_queries"):
-        monkeypatch.setattr(f"condense.plans.{module}.chunking", tiny)
+    monkeypatch.setattr(bound, "SIZES", {"series": 7, "frames": 7})
+    for module in (motion_queries, day_queries, frame_queries):
+        monkeypatch.setattr(module, "SIZES", {"series": 7, "frames": 7})
     assert compare(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
-    assert used and series.CHUNK_ROWS > 7

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from condense.operators import motion
 from condense.operators.ranks import percentiles, pick_ranks
-from condense.operators.series import chunking, div, running, with_position
+from condense.operators.series import attach, div, running, with_position
 
-CHUNKS = [None, 3, 8]
+CHUNKS = [3, 8, 65_536]
 
 
 def series(seed, cases=60, longest=40, values=None):
@@ -35,7 +35,7 @@ def by_file(rows, *cols):
 def test_position_and_running(spark, chunk):
     data = series(1)
     df = energies(spark, data)
-    slot = None if chunk is None else div(F.col("k"), chunk)
+    slot = div(F.col("k"), chunk)
     numbered = with_position(df, ["file_id"], ["k"], slot, "pos").collect()
     assert all(r["pos"] == r["k"] for r in numbered)
     got = running(df, ["file_id"], ["k"], slot, {"top": ("max", F.col("energy"))}, reverse=True).collect()
@@ -44,10 +44,10 @@ def test_position_and_running(spark, chunk):
         assert r["top"] == (max(later) if later else None)
 
 
-@pytest.mark.parametrize("chunk", [None, 3])
+@pytest.mark.parametrize("chunk", [3, 65_536])
 def test_rows_without_an_order_value_are_kept(spark, chunk):
     df = spark.createDataFrame([("a", None), ("a", 9), ("a", 1)], "file_id string, t long")
-    slot = None if chunk is None else div(F.col("t"), chunk)
+    slot = div(F.col("t"), chunk)
     got = {r["t"]: r["pos"] for r in with_position(df, ["file_id"], ["t"], slot, "pos").collect()}
     assert got == {None: 0, 1: 1, 9: 2}
 
@@ -55,7 +55,7 @@ def test_rows_without_an_order_value_are_kept(spark, chunk):
 @pytest.mark.parametrize("chunk", CHUNKS)
 def test_running_median(spark, chunk):
     data = series(2)
-    got = by_file(motion.running_median(energies(spark, data), 7, chunk and max(chunk, 3)).collect(), "k", "energy")
+    got = by_file(motion.running_median(energies(spark, data), 7, chunk).collect(), "k", "energy")
     assert got == {f: plain.median(xs, 7) for f, xs in data.items()}
 
 
@@ -64,7 +64,7 @@ def test_even_median_window_is_refused(spark):
         motion.running_median(energies(spark, {"a": [1.0]}), 4)
 
 
-@pytest.mark.parametrize("chunk", [None, 5, 8])
+@pytest.mark.parametrize("chunk", [5, 8, 65_536])
 def test_early_end(spark, chunk):
     data = series(3)
     data["exact"] = [1.0] * 4  # the window is reached at the last energy
@@ -150,7 +150,11 @@ def test_rates_and_strides(spark):
     assert [tuple(r) for r in rows] == [(5.0, 5), (5.0, 5), (2.0, 15), (1.0, 30)]
 
 
-def test_chunking_counts_the_longest_series(spark):
-    df = energies(spark, {"a": [1.0] * 10, "b": [1.0] * 3})
-    assert chunking(df, ["file_id"], 10) is None
-    assert chunking(df, ["file_id"], 9) == 9
+@pytest.mark.parametrize("chunk", [2, 65_536])
+def test_a_null_key_is_a_key(spark, chunk):
+    rows = spark.createDataFrame([("a", 0), ("a", 1), (None, 0), (None, 1), (None, 2)], "file_id string, k long")
+    ones = {"before": ("sum", F.lit(1))}
+    got = running(rows, ["file_id"], ["k"], div(F.col("k"), chunk), ones).collect()
+    assert sorted((r["file_id"] or "", r["before"]) for r in got) == [("", 0), ("", 1), ("", 2), ("a", 0), ("a", 1)]
+    last = spark.createDataFrame([("a", 1), (None, 2)], "file_id string, last_k long")
+    assert attach(rows, last, ["file_id"], "k", F.col("last_k"), chunk).count() == 5
