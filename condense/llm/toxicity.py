@@ -37,6 +37,9 @@ MAX_FEATURES = 20_000
 LEAST_CHI2 = 15.0
 SMOOTH = 1.0
 
+#: Bytes of text hashed at once, which bounds the arrays of a task, and training rows per task.
+PIECE_CHARS, ROWS_PER_TASK = 400_000, 2_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -95,11 +98,12 @@ def _counts(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 << BITS), dtype=np.int32)
         for batch in batches:
-            for part in pieces(batch, "text", 500_000):
+            for part in pieces(batch, "text", PIECE_CHARS):
                 toxic = np.array(part.column("toxic").to_pylist(), dtype=np.int64)
                 text, bucket = present([t or "" for t in part.column("text").to_pylist()], None)
                 for c in (0, 1):
-                    held[c] += np.bincount(bucket[toxic[text] == c], minlength=1 << BITS).astype(np.int32)
+                    once, n = np.unique(bucket[toxic[text] == c], return_counts=True)
+                    held[c, once] += n.astype(np.int32)
         seen = np.flatnonzero(held.any(axis=0)).astype(np.int32)
         for at in range(0, len(seen), 100_000):
             b = seen[at : at + 100_000]
@@ -135,7 +139,9 @@ def fit(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: flo
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(max_rows)
     )
-    train = written(df.select("doc_id", "text").join(wanted, "doc_id").select("text", "toxic"), "toxicity-train")
+    # at most max_rows small rows: a bounded broadcast, so the texts aren't shuffled
+    train = df.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "toxic")
+    train = written(train.repartition(max(1, max_rows // ROWS_PER_TASK)), "toxicity-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     nothing = (np.empty(0, dtype=np.int32), np.empty(0))
@@ -162,7 +168,7 @@ def fit(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: flo
 
     size = len(buckets)
     vector = F.udf(lambda slots: SparseVector(size, slots, ratios[slots]), VectorUDT())
-    lit = map_texts(train, "text", ["toxic"], [field("slots", "array_int")], make, 500_000)
+    lit = written(map_texts(train, "text", ["toxic"], [field("slots", "array_int")], make, PIECE_CHARS), "toxicity-slots")
     rows = lit.select(vector("slots").alias("features"), F.col("toxic").cast("double").alias("label"))
     learned = LogisticRegression(maxIter=60, regParam=penalty, standardization=False).fit(written(rows, "toxicity-rows"))
     return Model(buckets, ratios * learned.coefficients.toArray(), float(learned.intercept))
@@ -181,4 +187,4 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] |
 
         return scores
 
-    return map_texts(df, text, df.columns if keep is None else keep, [field("score", "double")], make)
+    return map_texts(df, text, df.columns if keep is None else keep, [field("score", "double")], make, PIECE_CHARS)
