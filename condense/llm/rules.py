@@ -220,7 +220,7 @@ def training_rows(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id", "__quality")
         .limit(max_rows)
     )
-    chosen = statistics(df.select("doc_id", "text").join(wanted, "doc_id"), keep=["doc_id", "__quality"])
+    chosen = statistics(df.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), keep=["doc_id", "__quality"])
     return chosen.filter(~base_failed()).select("doc_id", "__quality", *[feature(n).alias(n) for n in FEATURES])
 
 
