@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -61,42 +62,64 @@ def merge_segments(
     return coalesce_runs(segments, keys, seq, SEGMENT_COLUMNS, _new_segment(tolerance), chunk_rows)
 
 
-def absorb_in_order(parts: list[list], min_motion: float, min_static: float, tolerance: float) -> list[list]:
-    """Absorb short segments of one stretch until nothing changes.
+#: Rows of a frame handed back.
+OUT_ROWS = 10_000
 
-    Each item is a list [start, end, state, energy, tag]. A short segment goes
-    into the segment before it if that has the other state, else into the one
-    after it; equal neighbours are joined after every pass.
-    """
+#: Passes that run through a stretch at once; a stretch that needs more gets another round.
+PASSES = 6
+
+
+def _sweep(parts: Iterator[list], limits: tuple[float, float], moved: list[bool], at: int) -> Iterator[list]:
+    """One pass over a stretch: only the last kept and the next segment are held.
 
-    def short(p):
-        return p[1] - p[0] < (min_motion if p[2] == "DYNAMIC" else min_static)
-
-    while True:
-        kept: list[list] = []
-        moved = False
-        todo = parts[::-1]
-        while todo:
-            part = todo.pop()
-            if short(part) and kept and kept[-1][2] != part[2]:
-                kept[-1][1] = part[1]
-                kept[-1][3] = max(kept[-1][3], part[3])
-                moved = True
-            elif short(part) and todo and todo[-1][2] != part[2]:
-                todo[-1][0] = part[0]
-                todo[-1][3] = max(todo[-1][3], part[3])
-                moved = True
-            else:
-                kept.append(part)
-        if not moved:
-            return kept
-        parts = []
-        for part in kept:
-            if parts and parts[-1][2] == part[2] and part[0] - parts[-1][1] <= tolerance:
-                parts[-1][1] = part[1]
-                parts[-1][3] = max(parts[-1][3], part[3])
-            else:
-                parts.append(part)
+    A short segment goes into the segment before it if that has the other state,
+    else into the one after it. ``moved[at]`` tells whether any did.
+    """
+    kept, part = None, next(parts, None)
+    while part is not None:
+        after = next(parts, None)
+        short = part[1] - part[0] < limits[part[2] != "DYNAMIC"]
+        if short and kept is not None and kept[2] != part[2]:
+            kept[1], kept[3], moved[at] = part[1], max(kept[3], part[3]), True
+        elif short and after is not None and after[2] != part[2]:
+            after[0], after[3], moved[at] = part[0], max(after[3], part[3]), True
+        else:
+            if kept is not None:
+                yield kept
+            kept = part
+        part = after
+    if kept is not None:
+        yield kept
+
+
+def _joined(parts: Iterator[list], tolerance: float) -> Iterator[list]:
+    """Neighbours of equal state at most ``tolerance`` apart as one segment."""
+    last = None
+    for part in parts:
+        if last is not None and last[2] == part[2] and part[0] - last[1] <= tolerance:
+            last[1], last[3] = part[1], max(last[3], part[3])
+        else:
+            if last is not None:
+                yield last
+            last = part
+    if last is not None:
+        yield last
+
+
+def absorb_in_order(
+    parts: Iterable[list], min_motion: float, min_static: float, tolerance: float, moved: list[bool] | None = None
+) -> Iterator[list]:
+    """Absorb short segments of one stretch in ``PASSES`` passes, each fed by the one before.
+
+    Each item is a list [start, end, state, energy, tag]; memory holds two of them
+    per pass. Once exhausted, ``moved[-1]`` tells whether the last pass still changed anything.
+    """
+    moved = [] if moved is None else moved
+    moved[:] = [False] * PASSES
+    stream = iter(parts)
+    for at in range(PASSES):
+        stream = _joined(_sweep(stream, (min_motion, min_static), moved, at), tolerance)
+    return stream
 
 
 def absorb_short(
@@ -115,7 +138,9 @@ def absorb_short(
     segments is folded in order. A segment that is long enough and that no later
     segment ends before can never become short: it separates what lies left of it
     from what lies right of it. The series is therefore cut at every such anchor
-    and the stretches are folded independently, each streaming through its task.
+    and the stretches are folded independently, each streaming through its task;
+    a task holds a few segments at a time. In the rare case that ``PASSES`` passes
+    don't settle a stretch, the result is absorbed again (this runs a job).
     An anchor takes part in both its stretches and is put together again by the
     same merge rule, as two halves that touch.
 
@@ -142,50 +167,44 @@ def absorb_short(
         F.explode(F.when(F.col("_anchor"), F.array("_before", seq)).otherwise(F.array("_before"))),
     ).select(*keys, "_stretch", seq, *cols, "_anchor")
 
+    names = [*keys, seq, *cols, "_unsettled"]
+    first = len(keys) + 2  # rows: (*keys, stretch, seq, *cols, anchor)
+    at = {c: first + i for i, c in enumerate(cols)}
+
+    def settled(group: Iterator[tuple]) -> Iterator[tuple]:
+        parts = ([row[at["start_time"]], row[at["end_time"]], row[at["state"]], row[at["max_energy"]], row] for row in group)
+        moved: list[bool] = []
+        stream = absorb_in_order(parts, min_motion, min_static, tolerance, moved)
+        part = next(stream, None)
+        while part is not None:
+            start, end, _, energy, row = part
+            part = next(stream, None)
+            left_side = row[-1] and row[len(keys)] == row[len(keys) + 1]
+            values = list(row[first:-1])
+            values[cols.index("start_time")] = row[at["end_time"]] if left_side else start
+            values[cols.index("end_time")] = end
+            values[cols.index("max_energy")] = energy
+            yield (*row[: len(keys)], row[len(keys) + 1] * 2 + bool(left_side), *values, part is None and moved[-1])
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, seq, *cols]
-
-        def finish(group: list[tuple]) -> list[tuple]:
-            # group rows: (*keys, stretch, seq, *cols, anchor)
-            first = len(keys) + 2
-            at = {c: first + i for i, c in enumerate(cols)}
-            parts = [
-                [row[at["start_time"]], row[at["end_time"]], row[at["state"]], row[at["max_energy"]], row]
-                for row in group
-            ]
-            out = []
-            for start, end, _, energy, row in absorb_in_order(parts, min_motion, min_static, tolerance):
-                left_side = row[-1] and row[len(keys)] == row[len(keys) + 1]
-                record = list(row[: len(keys)]) + [row[len(keys) + 1] * 2 + (1 if left_side else 0)]
-                values = list(row[first:-1])
-                values[cols.index("start_time")] = row[at["end_time"]] if left_side else start
-                values[cols.index("end_time")] = end
-                values[cols.index("max_energy")] = energy
-                out.append(tuple(record + values))
-            return out
-
-        group: list[tuple] = []
-        for pdf in batches:
-            done: list[tuple] = []
-            for row in pdf.itertuples(index=False, name=None):
-                if group and group[-1][: len(keys) + 1] != row[: len(keys) + 1]:
-                    done.extend(finish(group))
-                    group = []
-                group.append(row)
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if group:
-            yield pd.DataFrame(finish(group), columns=names)
+        rows = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+        made = (r for _, group in groupby(rows, key=lambda row: row[: len(keys) + 1]) for r in settled(group))
+        while done := list(islice(made, OUT_ROWS)):
+            yield pd.DataFrame(done, columns=names)
 
     ship(stretches.sparkSession)
-    schema = stretches.select(*keys, seq, *cols).schema
-    pieces = (
+    schema = stretches.select(*keys, seq, *cols, F.lit(True).alias("_unsettled")).schema
+    pieces = keep(
         stretches.repartition(*keys, "_stretch")
         .sortWithinPartitions(*keys, "_stretch", seq)
-        .mapInPandas(fold, schema)
+        .mapInPandas(fold, schema),
+        "absorbed",
     )
     whole = merge_segments(pieces, keys, seq, tolerance, 2 * chunk_rows)
-    return whole.withColumn(seq, div(F.col(seq), 2))
+    whole = whole.withColumn(seq, div(F.col(seq), 2))
+    if pieces.where("_unsettled").isEmpty():
+        return whole
+    return absorb_short(whole, keys, seq, min_motion, min_static, tolerance, chunk_rows, keep)
 
 
 def segments_to_json(segments: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:

@@ -67,3 +67,32 @@ def pack(files, limit):
         open_files.add(f)
         out.append(batch)
     return out
+
+
+def absorb(parts, min_motion, min_static, tolerance):
+    """Short parts go into the left neighbour of the other state, else into the right one, until nothing changes."""
+
+    def least(p):
+        return min_motion if p["state"] == "DYNAMIC" else min_static
+
+    now = [dict(p) for p in parts]
+    while True:
+        i, changed = 0, False
+        while i < len(now):
+            p = now[i]
+            if p["end_time"] - p["start_time"] < least(p):
+                if i > 0 and now[i - 1]["state"] != p["state"]:
+                    into, new = now[i - 1], {"end_time": p["end_time"]}
+                elif i + 1 < len(now) and now[i + 1]["state"] != p["state"]:
+                    into, new = now[i + 1], {"start_time": p["start_time"]}
+                else:
+                    i += 1
+                    continue
+                into.update(new, max_energy=max(into["max_energy"], p["max_energy"]))
+                del now[i]
+                changed = True
+            else:
+                i += 1
+        if not changed:
+            return now
+        now = merge(now, tolerance)

@@ -58,13 +58,8 @@ def test_merge(spark, chunk, overlaps):
 
 
 def absorbed_whole(parts):
-    """The uncut day through the ordered fold."""
-    merged = plain.merge(parts, 0.5)
-    items = [[p["start_time"], p["end_time"], p["state"], p["max_energy"], p] for p in merged]
-    kept = seg.absorb_in_order(items, 2.0, 30.0, 0.5)
-    return in_schema_order(
-        [p | {"start_time": a, "end_time": b, "state": s, "max_energy": e} for a, b, s, e, p in kept]
-    )
+    """The uncut day by the plain statement of the rule."""
+    return in_schema_order(plain.absorb(plain.merge(parts, 0.5), 2.0, 30.0, 0.5))
 
 
 @pytest.mark.parametrize("chunk", CHUNKS)
@@ -77,6 +72,27 @@ def test_absorb_cut_at_anchors_equals_the_uncut_day(spark, chunk, overlaps):
     assert got == want
 
 
+def test_more_passes_than_one_round(spark, monkeypatch):
+    monkeypatch.setattr(seg, "PASSES", 1)
+    data = days(4, 300, False)
+    assert collected(seg.absorb_short(frame(spark, data))) == {d: absorbed_whole(parts) for d, parts in data.items()}
+
+
+def test_a_long_stretch_is_streamed():
+    short = ([float(i), i + 1.0, "DYNAMIC" if i % 2 else "STATIC", 1.0, i] for i in range(300_000))
+    held = []
+
+    def counted():
+        for part in short:
+            held.append(None)
+            yield part
+
+    made = seg.absorb_in_order(counted(), 0.5, 0.5, 0.1)
+    next(made)
+    assert len(held) < 100  # the first result is there after a few segments
+    assert sum(1 for _ in made) == 299_999
+
+
 def fold(*parts):
     items = [[a, b, s, e, None] for a, b, s, e in parts]
     return [tuple(p[:4]) for p in seg.absorb_in_order(items, 2.0, 30.0, 0.5)]
