@@ -6,8 +6,9 @@ any column that never falls along the order of the series. Windows run inside
 (key, chunk); what has to cross a chunk border travels as one summary row or
 at most two border rows per chunk.
 
-The plan is the same for every size: a short series simply has one chunk. Keys
-may be NULL, which is a key like any other, and joins on keys treat it so.
+The plan is the same for every size: a short series simply has one chunk. Numbering
+or folding a series with a NULL in its key fails, at any size; ``attach`` finds no
+partner for such a row.
 
 Three patterns cover the library:
 
@@ -38,13 +39,6 @@ def _join_folds(how: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if how == "max" else F.least(a, b)
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys, NULL being equal to NULL; the keys appear once, as the left side has them."""
-    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -81,12 +75,16 @@ def running(
     local = rows.select(
         "*", *[_FOLD[how](f"_in_{n}").over(inside).alias(f"_at_{n}") for n, (how, _) in values.items()]
     )
-    return join_on(local, carried, [*keys, "_chunk"]).select(
-        *df.columns,
-        *[
-            _join_folds(how, F.col(f"_at_{n}"), F.col(f"_to_{n}")).alias(n)
-            for n, (how, _) in values.items()
-        ],
+    carried = carried.withColumn("_found", F.lit(True))
+    lost = F.raise_error(f"a series has a NULL in its key ({', '.join(keys)})")
+
+    def whole(name: str, how: str) -> Column:
+        value = _join_folds(how, F.col(f"_at_{name}"), F.col(f"_to_{name}"))
+        return F.when(F.col("_found").isNull(), lost.cast(local.schema[f"_at_{name}"].dataType)).otherwise(value)
+
+    # an outer join, so that a row with a NULL key meets the error instead of vanishing
+    return local.join(carried, [*keys, "_chunk"], "left").select(
+        *df.columns, *[whole(n, how).alias(n) for n, (how, _) in values.items()]
     )
 
 
@@ -150,8 +148,8 @@ def attach(
     """
     side = spread(per_key, last_idx, chunk_rows)
     if "_chunk" in rows.columns:
-        return join_on(rows, side, [*keys, "_chunk"], how)
-    return join_on(rows.withColumn("_chunk", div(F.col(idx), chunk_rows)), side, [*keys, "_chunk"], how).drop("_chunk")
+        return rows.join(side, [*keys, "_chunk"], how)
+    return rows.withColumn("_chunk", div(F.col(idx), chunk_rows)).join(side, [*keys, "_chunk"], how).drop("_chunk")
 
 
 def coalesce_runs(

@@ -156,7 +156,7 @@ def sampled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def prescreen_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a low-rate decode, judged, written as JSON and read back."""
     samples, files = sampled(spark, sf_dir)
-    changes = fr.frame_changes(samples, None)
+    changes = fr.frame_changes(samples)
     stored = fr.prescreen_detail(changes, samples, files, LIMIT, "stream_fps", SEGMENTS)
     back = fr.read_detail(stored).withColumn("_d", F.from_json("prescreen_result", PRESCREEN_DETAIL))
     return back.select(
