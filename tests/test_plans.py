@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from condense.operators import frames as fr, motion, segments as seg, verify as vf
+from condense.plans import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -26,7 +27,7 @@ def unaided(spark):
         spark.conf.set(k, v)
 
 
-PLANNED = [n for n in contract.queries() if not n.startswith("stream_")]
+PLANNED = [n for n in catalogue.QUERIES if not n.startswith("stream_")]
 
 
 @pytest.mark.parametrize("name", PLANNED)
