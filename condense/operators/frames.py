@@ -180,7 +180,7 @@ def prescreen_detail(
     sampling rule, so the ordered lists fit a cell. ``samples`` has
     ``sample_ts`` for each ``i``, ``files`` has ``duration``.
     """
-    seen = checked_pairs(changes.drop("_chunk"), threshold, None).join(samples.select(*FILE, "i", "sample_ts"), [*FILE, "i"])
+    seen = checked_pairs(changes, threshold).join(samples.select(*FILE, "i", "sample_ts"), [*FILE, "i"])
     ordered = F.array_sort(F.collect_list(F.struct("i", "sample_ts", "d", "luma", "limit")))
     lists = seen.groupBy(*FILE).agg(
         ordered.alias("_s"), F.bool_or("over").alias("stopped"), F.count("d").alias("pairs"), F.max("d").alias("max_diff")
