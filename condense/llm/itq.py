@@ -1,17 +1,21 @@
 """Near-duplicate vectors: balanced binary codes, multi-index Hamming tables, exact rerank.
 
-Iterative quantisation learns a rotation of the centred, whitened vectors that brings
-them close to the corners of a cube, so each bit splits the vectors in halves. A
-code has ``TABLES`` parts of ``PART_BITS`` bits; each part is the key of one table. Two
-vectors meet in a table if they agree in that part, so a pair that differs in fewer
-bits than there are tables is always found, and a pair with ten differing bits out of
-64 in more than 97 of 100 cases. In a bucket, vectors are compared by their cosine
-in double precision; a pair counts in the first table in which it meets, so it counts
-once. Only counts and a spanning forest of the links leave a bucket, never its pairs.
+Iterative quantisation learns rotations of the centred, whitened vectors that bring
+them close to the corners of a cube, so each bit splits the vectors in halves. Every
+rotation gives ``TABLES`` parts of ``PART_BITS`` bits; each part is the key of one table,
+and two vectors meet in a table if they agree in that part. How many rotations are
+needed depends on the vectors: the more they have in common, the further a linked pair
+is apart once the mean is taken off. So the fitted sample decides: its own pairs just
+over the threshold, and pairs planted exactly at it around its vectors, must meet in at
+least ``RECALL`` of the cases. Where ``ROTATIONS`` rotations don't reach that, and where
+there are at most ``BLOCK`` vectors, all vectors of a label are compared with each other.
+In a bucket, vectors are compared by their cosine in double precision; a pair counts
+in the first table in which it meets, so it counts once. Only counts and a spanning
+forest of the links leave a bucket, never its pairs.
 
 Buckets larger than ``BLOCK`` are compared in pairs of blocks, each a unit of its own.
 
-The rotation is fitted on at most ``SAMPLE`` vectors, chosen by a hash of the id; every
+The rotations are fitted on at most ``SAMPLE`` vectors, chosen by a hash of the row; every
 vector is indexed.
 
 Defined results: vectors that are NULL, zero, of another length than most, or hold
@@ -34,7 +38,9 @@ from condense.session import ship, written
 
 SAMPLE = 10_000
 ROUNDS = 30
-TABLES, PART_BITS = 8, 8
+TABLES, PART_BITS = 8, 8  # of one rotation
+ROTATIONS = 8
+RECALL = 0.995
 BLOCK = 2_000
 
 
@@ -57,10 +63,15 @@ def fit_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int
     return mean, axes @ rotation
 
 
+def _lists(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as a matrix."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of equal length as vectors of length 1 in double precision."""
-    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    rows = _lists(column).astype(np.float64)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -73,19 +84,27 @@ def usable(vector: str, label: str, size: int) -> Column:
     return F.coalesce(right & fine & some, F.lit(False))
 
 
+def coded(units: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Codes of vectors of length 1, a table's part per byte; one part for all without a projection."""
+    if not projection.shape[1]:
+        return np.zeros((len(units), 1), dtype=np.uint8)
+    return np.packbits((units - mean) @ projection >= 0, axis=1)
+
+
 def _coded(rows: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
-    """Add ``code``: the bits of a vector as one long, a table's part per byte."""
+    """Add ``code``, the keys of a vector in the tables."""
     ship(rows.sparkSession)
-    schema = T.StructType([*rows.schema.fields, field("code", "long")])
+    schema = T.StructType([*rows.schema.fields, field("code", "array<tinyint>")])
     arrow = arrow_schema(schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bits = ((_matrix(batch.column("vector")) - mean) @ projection >= 0).astype(np.uint8)
-                code = np.packbits(bits, axis=1).view(">u8").astype(np.int64).ravel()
+                code = coded(_matrix(batch.column("vector")), mean, projection).view(np.int8)
+                ends = np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]
                 columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(code)], schema=arrow)
+                code = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.ravel())).cast(arrow.field("code").type)
+                yield pa.RecordBatch.from_arrays([*columns, code], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -97,7 +116,7 @@ UNIT = ["label", "part", "key", "i", "j"]
 def _compare(threshold: float):
     def work(table: pa.Table) -> Iterable[pa.Table]:
         rows, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
-        codes, blocks = table.column("code").to_numpy().view(np.uint64), table.column("block").to_numpy()
+        codes, blocks = _lists(table.column("code")), table.column("block").to_numpy()
         parts, lows, highs = (table.column(c).to_numpy() for c in ("part", "i", "j"))
         units = _matrix(table.column("vector"))
         found: list[tuple[int, int, int, int]] = []
@@ -116,10 +135,10 @@ def _compare(threshold: float):
                 a, b = np.nonzero(x[at : at + 256] @ x[at:].T >= threshold)
                 a, b = a[a < b] + at, b[a < b] + at
                 keep = block[a] != block[b] if across else np.ones(len(a), dtype=bool)
-                differ = code[a] ^ code[b]
-                for earlier in range(parts[start]):  # a pair counts in the first table it meets in
-                    keep &= (differ >> np.uint64(56 - 8 * earlier)) & np.uint64(255) != 0
                 a, b = a[keep], b[keep]
+                for earlier in range(parts[start]):  # a pair counts in the first table it meets in
+                    first = code[a, earlier] != code[b, earlier]
+                    a, b = a[first], b[first]
                 counts += np.bincount(a, minlength=end - start) + np.bincount(b, minlength=end - start)
                 for p, q in zip(a.tolist(), b.tolist()):
                     p, q = top(p), top(q)
@@ -133,10 +152,51 @@ def _compare(threshold: float):
     return work
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation from at most ``sample`` usable rows (``row``, ``vector``)."""
+def border_pairs(sample: np.ndarray, threshold: float, most: int = 5_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sets of pairs that are hard to find: the sample's own just over the threshold, and pairs planted at it.
+
+    A planted partner lies off its vector in a random direction, or in the direction in
+    which two vectors of the sample differ.
+    """
+    dice = np.random.default_rng(17)
+    n, size = sample.shape
+    x = sample[dice.permutation(n)[:most]] if n >= most else sample[dice.integers(n, size=most)]
+    out = []
+    for aside in (dice.normal(size=x.shape), sample[dice.integers(n, size=most)] - sample[dice.integers(n, size=most)]):
+        aside = aside - (aside * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(aside, axis=1)
+        some = length > 1e-9
+        aside = aside[some] / length[some, None]
+        out.append((x[some], threshold * x[some] + np.sqrt(max(0.0, 1 - threshold**2)) * aside))
+    own: list[np.ndarray] = []
+    for at in range(0, n, 256):
+        cosines = sample[at : at + 256] @ sample[at:].T
+        a, b = np.nonzero((cosines >= threshold) & (cosines < threshold + 0.02))
+        pairs = np.stack([a + at, b + at], axis=1)[a < b]
+        own.append(pairs[dice.permutation(len(pairs))[: 1 + most * 256 // n]])
+    a, b = np.concatenate(own).T
+    return [(p, q) for p, q in [*out, (sample[a], sample[b])] if len(p) >= 100]
+
+
+def fit(vectors: DataFrame, threshold: float, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and projection from at most ``sample`` usable rows (``row``, ``vector``); no columns where no tables are worth it."""
     chosen = vectors.orderBy(F.xxhash64("row"), "row").limit(sample).select("vector").toPandas()["vector"]
-    return fit_rotation(_matrix(pa.array(chosen.tolist())), TABLES * PART_BITS)
+    units = _matrix(pa.array(chosen.tolist()))
+    return fit_tables(units, threshold)
+
+
+def fit_tables(units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """As many rotations as the pairs at the border need to meet; none if ``ROTATIONS`` don't do."""
+    pairs = border_pairs(units, threshold)
+    met = [np.zeros(len(p), dtype=bool) for p, _ in pairs]
+    projections: list[np.ndarray] = []
+    for k in range(ROTATIONS):
+        mean, projection = fit_rotation(units, TABLES * PART_BITS, seed=11 + k)
+        projections.append(projection)
+        met = [m | (coded(p, mean, projection) == coded(q, mean, projection)).any(axis=1) for m, (p, q) in zip(met, pairs)]
+        if all(m.mean() >= RECALL for m in met):
+            return mean, np.hstack(projections)
+    return mean, np.zeros((units.shape[1], 0))
 
 
 def near_duplicates(
@@ -157,14 +217,10 @@ def near_duplicates(
         counted = rows.select("row", F.lit(0).cast("long").alias("n")).limit(0)
         joined = rows.select("id", F.col("id").alias("component_id")).limit(0)
     else:
-        coded = _coded(fine, *fit(fine))
-        keys = F.array(
-            *[
-                F.struct(F.lit(t).alias("part"), F.shiftrightunsigned("code", 56 - 8 * t).bitwiseAND(F.lit(255)).alias("key"))
-                for t in range(TABLES)
-            ]
-        )
-        spread = written(coded, "itq-codes").select("*", F.explode(keys).alias("at")).select("*", "at.*").drop("at")
+        few = fine.limit(BLOCK + 1).count() <= BLOCK
+        tables = (np.zeros(size["size"]), np.zeros((size["size"], 0))) if few else fit(fine, threshold)
+        codes = written(_coded(fine, *tables), "itq-codes")
+        spread = codes.select("*", F.posexplode("code").alias("part", "key"))
         buckets = spread.groupBy("label", "part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         sized = spread.join(buckets, ["label", "part", "key"])
         count = F.ceil(F.col("n") / BLOCK)

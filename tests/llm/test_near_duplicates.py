@@ -139,6 +139,34 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert sum(r["component_id"] != groups.find(i) for i, r in got.items()) <= 2
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_recall_of_pairs_at_the_threshold(spark, monkeypatch, common):
+    """Vectors with a common direction, and partners of 400 of them just over the threshold."""
+    monkeypatch.setattr(itq, "BLOCK", 100)
+    dice = np.random.default_rng(4)
+    x = dice.normal(size=(1200, 64)) * np.sqrt((1 - common) / 64)
+    x[:, 0] += np.sqrt(common)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = dice.normal(size=(400, 64))
+    aside -= (aside * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    near = 0.932 * x[:400] + np.sqrt(1 - 0.932**2) * aside
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, near]))]
+    want = sum(cosine_groups(rows)[0].values())
+    got = sum(r["n_links"] for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert want >= 800 and 0.99 * want <= got <= want
+
+
+def test_tables_follow_the_vectors():
+    dice = np.random.default_rng(7)
+    sizes = []
+    for common in (0.0, 0.8, 0.95):
+        x = dice.normal(size=(3000, 64)) * np.sqrt((1 - common) / 64)
+        x[:, 0] += np.sqrt(common)
+        sizes.append(itq.fit_tables(x / np.linalg.norm(x, axis=1, keepdims=True), 0.93)[1].shape[1])
+    assert 64 <= sizes[0] < sizes[1] <= 64 * itq.ROTATIONS and sizes[2] == 0  # no tables: compared with each other
+
+
 def test_odd_vectors(spark):
     one = [1.0] + [0.5] * 7
     nan, inf = float("nan"), float("inf")
