@@ -9,6 +9,7 @@ is apart once the mean is taken off. So the fitted sample decides: its own pairs
 over the threshold, and pairs planted exactly at it around its vectors, must meet in at
 least ``RECALL`` of the cases. Where ``ROTATIONS`` rotations don't reach that, and where
 there are at most ``BLOCK`` vectors, all vectors of a label are compared with each other.
+Vectors of each length have rotations and tables of their own.
 In a bucket, vectors are compared by their cosine in double precision; a pair counts
 in the first table in which it meets, so it counts once. Only counts and a spanning
 forest of the links leave a bucket, never its pairs.
@@ -18,10 +19,11 @@ Buckets larger than ``BLOCK`` are compared in pairs of blocks, each a unit of it
 The rotations are fitted on at most ``SAMPLE`` vectors, chosen by a hash of the row; every
 vector is indexed.
 
-Defined results: vectors that are NULL, zero, of another length than most, or hold
-NULL or non-finite components, and vectors without label or id, link with nothing and
-are their own component. Equal vectors are linked like others. Repeated ids are one
-vector for components, and each row has its own count. An empty table gives no rows.
+Defined results: vectors that are NULL, empty, zero, or hold NULL or non-finite
+components, and vectors without label or id, link with nothing and are their own
+component. Vectors of different lengths never link, equal ones are linked like others.
+Repeated ids are one vector for components, and each row has its own count. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,33 +78,34 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def usable(vector: str, label: str, size: int) -> Column:
+def usable(vector: str, label: str) -> Column:
     """Whether a row may link with any other."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(vector, lambda x: x != 0)
-    right = F.col(label).isNotNull() & (F.size(vector) == size)
-    return F.coalesce(right & fine & some, F.lit(False))
+    return F.coalesce(F.col(label).isNotNull() & fine & some, F.lit(False))
 
 
 def coded(units: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Codes of vectors of length 1, a table's part per byte; one part for all without a projection."""
-    if not projection.shape[1]:
-        return np.zeros((len(units), 1), dtype=np.uint8)
+    """Codes of vectors of length 1, a table's part per byte."""
     return np.packbits((units - mean) @ projection >= 0, axis=1)
 
 
-def _coded(rows: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
-    """Add ``code``, the keys of a vector in the tables."""
+def _coded(rows: DataFrame, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Add ``code``, the keys of a vector in the tables of its length; one key for all where a length has none."""
     ship(rows.sparkSession)
     schema = T.StructType([*rows.schema.fields, field("code", "array<tinyint>")])
     arrow = arrow_schema(schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                code = coded(_matrix(batch.column("vector")), mean, projection).view(np.int8)
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == size))
+                code = np.zeros((own.num_rows, 1), dtype=np.int8)
+                if size in tables:
+                    code = coded(_matrix(own.column("vector")), *tables[size]).view(np.int8)
                 ends = np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]
-                columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow)]
+                columns = [c.cast(f.type) for c, f in zip(own.columns, arrow)]
                 code = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.ravel())).cast(arrow.field("code").type)
                 yield pa.RecordBatch.from_arrays([*columns, code], schema=arrow)
 
@@ -110,18 +113,18 @@ def _coded(rows: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFra
 
 
 FOUND = [field("row", "long"), field("id", "long"), field("n", "long"), field("root", "long")]
-UNIT = ["label", "part", "key", "i", "j"]
+UNIT = ["label", "size", "part", "key", "i", "j"]
 
 
 def _compare(threshold: float):
     def work(table: pa.Table) -> Iterable[pa.Table]:
         rows, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
-        codes, blocks = _lists(table.column("code")), table.column("block").to_numpy()
+        blocks = table.column("block").to_numpy()
         parts, lows, highs = (table.column(c).to_numpy() for c in ("part", "i", "j"))
-        units = _matrix(table.column("vector"))
         found: list[tuple[int, int, int, int]] = []
         for start, end in runs(table, UNIT):
-            x, code, block = units[start:end], codes[start:end], blocks[start:end]
+            x, code = _matrix(table.column("vector").slice(start, end - start)), _lists(table.column("code").slice(start, end - start))
+            block = blocks[start:end]
             across = lows[start] != highs[start]
             counts, root = np.zeros(end - start, dtype=np.int64), list(range(end - start))
 
@@ -211,18 +214,17 @@ def near_duplicates(
         F.col(id_column).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector")
     )
     rows = written(named.withColumn("row", F.monotonically_increasing_id()), "itq-rows")
-    size = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    fine = rows.filter(F.col("id").isNotNull() & usable("vector", "label", size["size"] if size else 0))
+    fine = rows.filter(F.col("id").isNotNull() & usable("vector", "label")).withColumn("size", F.size("vector"))
     if fine.isEmpty():
         counted = rows.select("row", F.lit(0).cast("long").alias("n")).limit(0)
         joined = rows.select("id", F.col("id").alias("component_id")).limit(0)
     else:
-        few = fine.limit(BLOCK + 1).count() <= BLOCK
-        tables = (np.zeros(size["size"]), np.zeros((size["size"], 0))) if few else fit(fine, threshold)
-        codes = written(_coded(fine, *tables), "itq-codes")
+        many = fine.groupBy("size").count().filter(F.col("count") > BLOCK).collect()
+        tables = {r["size"]: fit(fine.filter(F.col("size") == r["size"]), threshold) for r in many}
+        codes = written(_coded(fine, {n: t for n, t in tables.items() if t[1].shape[1]}), "itq-codes")
         spread = codes.select("*", F.posexplode("code").alias("part", "key"))
-        buckets = spread.groupBy("label", "part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        sized = spread.join(buckets, ["label", "part", "key"])
+        buckets = spread.groupBy("label", "size", "part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        sized = spread.join(buckets, ["label", "size", "part", "key"])
         count = F.ceil(F.col("n") / BLOCK)
         units = pairs_of_blocks(sized, count, "row", alone=True).drop("n")
         found = written(map_runs(units, UNIT, ["row"], FOUND, _compare(threshold)), "itq-links")

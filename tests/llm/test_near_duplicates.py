@@ -167,6 +167,19 @@ def test_tables_follow_the_vectors():
     assert 64 <= sizes[0] < sizes[1] <= 64 * itq.ROTATIONS and sizes[2] == 0  # no tables: compared with each other
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_every_length_links_its_own_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(itq, "BLOCK", block)
+    rows = [(1, [1.0] * 8, 1), (2, [1.0] * 8, 1), (3, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (5, [1.0, 2.0], 2), (6, [3.0], 1)]
+    rows += [(i, None, 1) for i in range(10, 20)] + [(i, [], 1) for i in range(20, 40)]
+    rows += [(40 + i, [2.0 + i, 1.0, -1.0], 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_duplicates(df).collect()}
+    links = {i: g for i, g in got.items() if g[0] and i < 40}
+    assert len(got) == len(rows) and links == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
+    assert {i: g for i, g in got.items() if i >= 40} == {i: (3, 40) for i in range(40, 44)}
+
+
 def test_odd_vectors(spark):
     one = [1.0] + [0.5] * 7
     nan, inf = float("nan"), float("inf")
