@@ -137,13 +137,36 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STATEMENT = r"(?i)licen[sc]ed? under|under the .{0,60}licen[sc]e|released under|all rights reserved|public domain|permission is hereby"
+
+
+def placed(documents: DataFrame) -> DataFrame:
+    """The documents have no paths; a tree that is made from their rows gives them some.
+
+    A source has directories of two levels; about a tenth of all files lies in one
+    directory, an eighth in loose directories outside the sources. A document that
+    says something of a licence is the licence file of its leaf, of the directory above or
+    of the source, or a file as others.
+    """
+    dice = F.xxhash64("doc_id")
+    block = lambda n: (F.col("doc_id") / n).cast("long").cast("string")
+    top, middle, leaf = F.coalesce("source", F.lit("none")), F.concat(F.lit("m"), block(2000)), F.concat(F.lit("l"), block(200))
+    hot, loose = F.pmod(dice, F.lit(10)) == 0, F.pmod(dice, F.lit(8)) == 1
+    level = F.when(F.col("text").rlike(STATEMENT), F.pmod(F.shiftright(dice, 8), F.lit(16)))
+    folder = (
+        F.when(loose, F.concat_ws("/", F.lit("loose"), leaf))
+        .when(level == 0, top)
+        .when(level < 4, F.concat_ws("/", top, middle))
+        .when(hot, F.lit("shared/all"))
+        .otherwise(F.concat_ws("/", top, middle, leaf))
+    )
+    name = F.when(level < 8, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    return documents.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+
+
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths: a hundred of a source and language lie in one directory, the first as its licence file."""
-    documents = read(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("long"))
-    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat("doc_id", F.lit(".txt")))
-    files = documents.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    files = placed(read(spark, sf_dir, "documents"))
     return licenses.inherit(licenses.scan(files, keep=["doc_id"])).select(
         "doc_id", "own", "cosine", "licence", "licence_from"
     )

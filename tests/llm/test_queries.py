@@ -53,3 +53,10 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF_DIR)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.collect()}
     assert corpus_pipeline.run(spark, SF_DIR).count() == pieces.count()
+
+
+def test_licences_are_inherited_from_several_levels(spark):
+    rows = QUERIES["op8_licenses"](spark, SF_DIR.replace("sf0.001", "sf0.01")).collect()
+    taken = [r for r in rows if r["own"] is None and r["licence"]]
+    levels = {r["licence_from"].count("/") for r in taken}
+    assert len(taken) > 0.2 * len(rows) and len(levels) > 1, (len(taken), len(rows), levels)
