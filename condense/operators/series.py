@@ -28,8 +28,16 @@ CHUNK_ROWS = 65_536
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def chunk_size(n: int) -> int:
+    """``n`` if it is a whole number of at least 1; a NULL chunk would put a whole series into one task."""
+    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+        raise ValueError(f"a chunk needs a whole number of rows, at least 1, not {n!r}")
+    return n
+
+
 def div(a: Column, n: int) -> Column:
-    """Whole-number division, rounding down."""
+    """Whole-number division by ``n`` >= 1, rounding down."""
+    chunk_size(n)
     return F.floor(a / F.lit(n)).cast("long") if n != 1 else a.cast("long")
 
 
@@ -103,7 +111,7 @@ def with_halo(
     ``idx`` must be gapless per key. Adds ``_chunk`` and ``_own``: windows run
     over (keys, ``_chunk``), then rows with ``_own`` = false are dropped.
     """
-    if max(before, after) > chunk_rows:
+    if max(before, after) > chunk_size(chunk_rows):
         raise ValueError("the frame is longer than a chunk")
     own, at = div(F.col(idx), chunk_rows), F.pmod(F.col(idx), F.lit(chunk_rows))
     homes = [own]

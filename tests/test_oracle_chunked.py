@@ -11,7 +11,7 @@ QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 CHUNKED = [
     "motion_threshold", "motion_smooth", "motion_segments", "motion_ratio", "median_energy", "early_terminate", "transitions",
     "label_axis", "analyze_files", "segment_merge", "day_timeline", "edit_list", "render_batches", "timeline_split",
-    "segment_json", "frame_diff", "frame_energy", "frame_kernels", "prescreen_seek", "prescreen_stream",
+    "segment_json", "all_transitions", "batch_files", "label_csv", "sample_stride", "frame_diff", "frame_energy", "frame_kernels", "prescreen_seek", "prescreen_stream",
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from condense.operators import motion
 from condense.operators.ranks import percentiles, pick_ranks
-from condense.operators.series import attach, div, running, with_position
+from condense.operators.series import attach, div, running, with_halo, with_position
 
 CHUNKS = [3, 8, 65_536]
 
@@ -158,3 +158,12 @@ def test_a_null_key_is_refused(spark, chunk):
         running(rows, ["file_id"], ["k"], div(F.col("k"), chunk), ones).collect()
     last = spark.createDataFrame([("a", 1), (None, 2)], "file_id string, last_k long")
     assert attach(rows, last, ["file_id"], "k", F.col("last_k"), chunk).count() == 2
+
+
+@pytest.mark.parametrize("size", [None, 0, -3, 2.5, True])
+def test_chunks_need_a_whole_number_of_rows(spark, size):
+    rows = spark.range(3).withColumn("file_id", F.lit("a"))
+    with pytest.raises(ValueError):
+        div(F.col("id"), size)
+    with pytest.raises(ValueError):
+        with_halo(rows, ["file_id"], "id", before=1, chunk_rows=size)

@@ -39,7 +39,7 @@ def test_prescreen(spark, tmp_path):
     frames = spark.createDataFrame(rows, "file_id string, i long, frames long, pixels array<int>")
     stream = split_stream(spark, frames, f"{tmp_path}/in", 4)
     got = run(spark, folds.prescreen_stream(stream, 7.0), str(tmp_path))
-    want = fr.prescreen(fr.frame_changes(frames, None), 7.0, "stream_fps").select(got.columns)
+    want = fr.prescreen(fr.frame_changes(frames, 2), 7.0, "stream_fps").select(got.columns)
     assert repr(rows_of(got)) == repr(rows_of(want))
 
 
@@ -58,7 +58,7 @@ def test_merge(spark, tmp_path):
     )
     segments = spark.createDataFrame(rows, schema)
     got = run(spark, folds.merge_stream(split_stream(spark, segments, f"{tmp_path}/in", 3)), str(tmp_path))
-    assert rows_of(got) == rows_of(seg.merge_segments(segments, chunk_rows=None).select(got.columns))
+    assert rows_of(got) == rows_of(seg.merge_segments(segments, chunk_rows=2).select(got.columns))
 
 
 def test_batches(spark, tmp_path):
