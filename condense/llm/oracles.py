@@ -1,6 +1,66 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+#: CRC-32 of the text ``{0}``, with ``crc.t`` the table of its 256 remainders.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0}))),
+    lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"""
+_CRC_TABLE = """crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) AS t)"""
+
 ORACLES = {
+    "op12_resample": f"""
+WITH {_CRC_TABLE},
+w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)),
+f AS (
+  SELECT doc_id, f, count(*) AS n FROM (
+    SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w)
+  GROUP BY ALL),
+h AS (SELECT f, {_CRC.format("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM f), crc),
+c AS (
+  SELECT bucket, coalesce(sum(n) FILTER (doc_id >= 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (doc_id < 0), 0)::DOUBLE AS t
+  FROM f JOIN h USING (f) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS gain FROM c, a),
+m AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM f JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM documents LEFT JOIN m USING (doc_id)),
+r AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score,
+         n_features >= 39 AS able FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * total // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS total FROM r)
+""",
+    "op13_trie": f"""
+WITH {_CRC_TABLE},
+o AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT conv_id, turns, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM o, crc),
+c AS (
+  SELECT k.conv_id, list_concat(CASE WHEN b.conv_id IS NULL THEN [] ELSE b.turns[1:h] END, k.turns[h + 1:]) AS turns
+  FROM k LEFT JOIN o b ON b.conv_id = k.conv_id - k.conv_id % 100),
+p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM c),
+n AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(len(turns) = depth) AS leaf,
+         coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '') AS ends
+  FROM p GROUP BY ALL),
+s AS (
+  SELECT path, unnest(range(0, depth + 1)) AS above, leaf, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[-1][2]) END AS saved
+  FROM n),
+t AS (
+  SELECT path[1:above] AS path, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens,
+         count(*) FILTER (len(path) = above + 1) AS n_children
+  FROM s GROUP BY path[1:above])
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, t.n_children, t.n_leaves, t.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN t ON t.path = n.path LEFT JOIN n u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]
+""",
     "op5_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h,

@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condense.llm import bpe, chat, chosen_path, itq, licenses, oracles, packing, pii, rules, toxicity, warc
+from condense.llm import (
+    bpe,
+    chat,
+    chosen_path,
+    itq,
+    licenses,
+    oracles,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    resampling,
+    rules,
+    toxicity,
+    warc,
+)
 from condense.session import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +185,28 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.inherit(licenses.scan(files, keep=["doc_id"])).select(
         "doc_id", "own", "cosine", "licence", "licence_from"
     )
+
+
+GOOD_FROM = 0.7
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = read(spark, sf_dir, "labels").filter(~apart)
+    scored = quality.classify(read(spark, sf_dir, "documents"), labels, keep=["doc_id"])
+    return scored.select(
+        "doc_id", apart.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted")
+    )
+
+
+@query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+@query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = written(prefix_trie.conversations(read(spark, sf_dir, "conversations")), "conversations")
+    conv = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.graft(convs, conv - conv % 100, F.crc32(conv.cast("string")) % 6, 5))
