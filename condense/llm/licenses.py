@@ -172,7 +172,8 @@ def directory(path: str = "path"):
 def inherit(scanned: DataFrame) -> DataFrame:
     """Add ``licence`` and ``licence_from``: own, or that of the nearest directory above with a licence file."""
     base = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
-    files = scanned.withColumn("_dir", directory())
+    whole = F.struct(*[F.col(f"`{c}`") for c in scanned.columns]).alias("_row")
+    files = scanned.select(whole, "path", "own", "cosine", directory().alias("_dir"))
     given = files.filter(F.col("own").isNotNull() & base.rlike(LICENCE_FILE.pattern.replace(r"\Z", "$")))
     given = given.groupBy("_dir").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("p"), F.col("own").alias("o"))).alias("of")
@@ -188,7 +189,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
     )
     out = files.join(found, "_dir", "left")
     return out.select(
-        *[c for c in scanned.columns if c not in ("licence", "licence_from")],
+        *[F.col("_row")[c].alias(c) for c in scanned.columns if c not in ("licence", "licence_from")],
         F.coalesce("own", F.col("of.o")).alias("licence"),
         F.when(F.col("own").isNotNull(), F.col("path")).otherwise(F.col("of.p")).alias("licence_from"),
     )

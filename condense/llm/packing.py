@@ -16,13 +16,17 @@ the first piece is shorter; full pieces are sequences of their own.
 
 Defined results: a NULL or empty text is a document of the end token alone;
 repeated rows are documents of their own; an empty table gives no rows; other
-columns are carried only if named in ``keep``. Ties in size are ordered by row.
+columns are carried only if named in ``keep``, those with the name of a result give way.
+Ties in size are ordered by row. A very long text is encoded whole and cut into
+as many pieces as it needs; one with a run of more than ``BLANKS`` blanks goes through the
+encoder of ``bpe``, since the expression of tiktoken can't get through such a run.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -33,12 +37,15 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from condense.llm.bpe import PATTERN, byte_of_char, read_vocabulary
+from condense.llm.bpe import PATTERN, byte_of_char, read_vocabulary, vocabulary
 from condense.llm.rows import arrow_schema, field, pieces
 from condense.session import ship, written
 
 ROWS_PER_TASK = 100_000
 
+BLANKS = 2_000
+_LONG_BLANK = re.compile(r"\s{%d}" % BLANKS)
+
 PIECE = [
     field("piece", "int"),
     field("start", "long"),
@@ -58,6 +65,13 @@ def _encoding(source: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def ids_of(text: str, source: str) -> np.ndarray:
+    """Ids of a text in the vocabulary of ``source``."""
+    if len(text) >= BLANKS and _LONG_BLANK.search(text):
+        return np.frombuffer(vocabulary(source).encode(text), dtype="<u4")
+    return np.array(_encoding(source).encode(text, allowed_special="all"), dtype="<u4")
+
+
 def token_pieces(df: DataFrame, path: str, limit: int, end_id: int, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per piece with the checksum of its ids."""
     ship(df.sparkSession)
@@ -67,14 +81,13 @@ def token_pieces(df: DataFrame, path: str, limit: int, end_id: int, text: str, k
     schema = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(sent.value)
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in pieces(batch, "__text"):
                 made: list[tuple] = []
                 source: list[int] = []
                 for row, value in enumerate(part.column("__text").to_pylist()):
-                    ids = np.array(encoding.encode(value or "", allowed_special="all") + [end_id], dtype="<u4")
+                    ids = np.append(ids_of(value or "", sent.value), np.uint32(end_id)).astype("<u4")
                     first = (len(ids) - 1) % limit + 1
                     for n, start in enumerate([0, *range(first, len(ids), limit)]):
                         end = first if n == 0 else start + limit
@@ -90,6 +103,7 @@ def token_pieces(df: DataFrame, path: str, limit: int, end_id: int, text: str, k
 
 
 PLACE = [field("sequence_id", "long"), field("offset", "long")]
+RESULTS = [f.name for f in PIECE[:-1] + PLACE]
 NUMBER = [field("_part", "int"), field("_number", "long")]
 
 
@@ -212,8 +226,12 @@ def pack(
     df: DataFrame, path: str, limit: int = 2048, end_id: int = 0, text: str = "text", keep: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset`` in sequences of at most ``limit`` tokens."""
-    cut = written(token_pieces(df, path, limit, end_id, text, keep), "packing-pieces")
+    keep = [c for c in keep if c not in RESULTS]
+    names = {f"_k{i}": c for i, c in enumerate(keep)}
+    given = df.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()], F.col(f"`{text}`").alias("_text"))
+    cut = written(token_pieces(given, path, limit, end_id, "_text", list(names)), "packing-pieces")
     full = F.col("length") == limit
     alone = cut.filter(full).withColumns({"sequence_id": F.lit(-1) - F.col("_key"), "offset": F.lit(0).cast("long")})
     items = cut.filter(~full)
-    return alone.drop("_key").unionByName(placed(items, items.count(), limit))
+    both = alone.drop("_key").unionByName(placed(items, items.count(), limit))
+    return both.select(*[F.col(k).alias(c) for k, c in names.items()], *RESULTS)

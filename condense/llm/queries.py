@@ -99,7 +99,8 @@ def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
-    warc.write(read(spark, sf_dir, "pages"), path, least_bytes=0)
+    # small enough that most pages lie in several segments and chunks
+    warc.write(read(spark, sf_dir, "pages"), path, least_bytes=0, segment_bytes=1024, chunk_bytes=512)
     pages = warc.reassemble(warc.read_records(spark, path)).select(
         warc.page_of("record").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -122,7 +123,6 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]

@@ -6,6 +6,13 @@ import public_tokenizers
 LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(30_000))
 
 
+#: Names of results and of columns that operators use inside.
+CLASHES = [
+    "ids", "score", "spans", "kept", "component_id", "piece", "length", "label", "key", "n", "node", "sketch", "added", "of", "base",
+    "_part", "_number", "_key", "_row", "_spans", "_text", "_value", "_dir", "_k0", "_id", "pooled", "rank", "weight",
+]
+
+
 @pytest.fixture(scope="session")
 def vocabulary_path():
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -26,7 +33,7 @@ def odd_documents(spark):
         (8, "日本語 😀 <|endoftext|> é\x1c\x85 end"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("ids", "score", "spans", "kept", "component_id", "piece", "length", "label", "key", "n", "node", "sketch"):
+    for name in CLASHES:
         df = df.withColumn(name, F.lit("clash"))
     return df
 

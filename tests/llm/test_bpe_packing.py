@@ -82,6 +82,19 @@ def test_pack_odd_documents(odd_documents, no_documents):
     assert packing.pack(no_documents, PATH).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\u3000"])
+def test_long_runs_of_blanks(spark, blank):
+    texts = ["a" + blank * (2_000_000 // len(blank)) + "b c", blank * 3_000, "x " + blank * 1_999 + "y", "z" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(packing.pack(df, PATH).collect(), texts, 2048)
+
+
+def test_pack_carries_columns_with_inner_names(odd_documents):
+    names = ["doc_id", "_part", "_number", "_key", "_k0", "_text", "length"]
+    rows = packing.pack(odd_documents, PATH, keep=names).collect()
+    assert all(r["_part"] == r["_number"] == r["_key"] == r["_k0"] == "clash" and r["length"] != "clash" for r in rows)
+
+
 def test_pack_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_TASK", 25)
     dice = random.Random(4)
