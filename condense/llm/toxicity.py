@@ -38,7 +38,7 @@ LEAST_CHI2 = 15.0
 SMOOTH = 1.0
 
 #: Bytes of text hashed at once, which bounds the arrays of a task, and training rows per task.
-PIECE_CHARS, ROWS_PER_TASK = 400_000, 2_000
+PIECE_CHARS, ROWS_PER_TASK = 100_000, 2_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
