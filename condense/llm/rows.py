@@ -8,13 +8,24 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from condense.session import ship
 
 BATCH_CHARS = 2_000_000
 
+#: Bytes of a batch on its way to a Python worker; whole texts have no bound of their own.
+ARROW_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Spark sends to Python workers by bytes, unless the session says how large they may be."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 #: Characters besides the blanks \x20 and \x09-\x0D at which str.split() also cuts.
 _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

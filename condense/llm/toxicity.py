@@ -27,7 +27,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from condense.llm.rows import arrow_schema, field, map_texts, pieces
+from condense.llm.rows import arrow_schema, field, map_texts, pieces, small_batches
 from condense.session import ship, written
 
 MAX_ROWS = 24_000
@@ -133,6 +133,7 @@ def select_features(counted: DataFrame, toxic: int, other: int) -> tuple[np.ndar
 
 def fit(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: float = 1e-4) -> Model:
     """Learn from ``labels`` (``doc_id``, ``toxic``) and the texts of ``df`` (``doc_id``, ``text``)."""
+    small_batches(df.sparkSession)
     wanted = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -176,6 +177,7 @@ def fit(df: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: flo
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) and ``score``: the probability that a text is toxic."""
+    small_batches(df.sparkSession)
 
     def make():
         marked, values = model.table()
