@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from condense.operators import timeline as tl
-from condense.operators.series import CHUNK_ROWS, div
 from condense.plans import day_queries as dq, frame_queries as fq, registry_queries as rq
 from condense.plans.bound import bound
 from condense.session import shared_dir
 from condense.sources.tables import read_days
-from condense.streaming import folds, jobs
+from condense.streaming import folds, jobs, release
 
 DAY = ["date", "cam_index"]
 SPLITS = 3
@@ -25,6 +24,31 @@ def arriving(df: DataFrame, label: str, *scatter: str) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def arriving_in_time(df: DataFrame, label: str, event_time: str, identity: list[str]) -> DataFrame:
+    """The table as a stream of files in order of time, as a camera network delivers it.
+
+    A row is up to a day late, so rows of neighbouring files overlap. Some rows
+    come twice, some of these long after their time. A last file holds a single row of a much
+    later time, by which the watermark passes all others.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    low, high = df.agg(F.min(F.unix_micros(event_time)), F.max(F.unix_micros(event_time))).first()
+    day, dice = 86_400_000_000, F.xxhash64(*identity)
+    sent = F.unix_micros(event_time) + F.pmod(dice, F.lit(day))
+    place = F.floor((sent - low) * F.lit(SPLITS) / F.lit(max(1, high + day - low + 1))).cast("int")
+    again = F.when(F.pmod(dice, F.lit(20)) == 0, F.array(place, F.least(place + 1, F.lit(SPLITS - 1)), F.lit(SPLITS - 1)))
+    dealt = df.withColumn("_split", F.explode(F.coalesce(again, F.array(place))))
+    for k in range(SPLITS):
+        dealt.where(F.col("_split") == k).drop("_split").write.mode("append").parquet(path)
+    last = df.orderBy(F.col(event_time).desc()).limit(1)
+    later = {event_time: F.timestamp_micros(F.lit(high + 60 * day)), "date": F.lit("99991231")}
+    last.withColumns(later).select(*df.columns).write.mode("append").parquet(path)
+    # all part files of one write come together
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // (SPLITS + 1))).parquet(path)
+
+
 def finished(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream to its end into a table and read it."""
     spark = stream.sparkSession
@@ -80,17 +104,22 @@ def stream_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bound("stream_merge", f"WITH {dq._DAYS},{dq._merged('d')} SELECT * FROM mg")
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = dq.event_segments(spark, sf_dir)
-    ordered = with_total(tl.in_order(segments), DAY, "segments")
-    return finished(folds.merge_stream(arriving(ordered, "segments", *DAY, "seq")), "merged")
+    """Raw segments, some late, some repeated, merged as the watermark passes them."""
+    midnight = F.unix_micros(F.to_timestamp("date", "yyyyMMdd"))
+    starts = F.timestamp_micros(midnight + F.round(F.col("start_time") * 1e6).cast("long"))
+    segments = dq.event_segments(spark, sf_dir).withColumn("event_time", starts)
+    stream = arriving_in_time(segments, "segments", "event_time", ["source_file", "seq_in_file"])
+    return finished(release.merge_stream(stream), "merged")
 
 
 @bound("stream_batches", dq.COMPLETION)
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips as they are finished; what is left of a day goes out when nothing has joined it for a day."""
     clips = dq.event_clips(dq.event_segments(spark, sf_dir)).select(*DAY, "path", "done_at")
-    placed = tl.with_position(clips, DAY, ["done_at", "path"], div(F.col("done_at"), CHUNK_ROWS), "pos")
-    stream = arriving(with_total(placed, DAY, "clips").drop("done_at"), "done", "path")
-    return finished(folds.batch_stream(stream), "batches")
+    # a tick a clip: the order of completion is the number of its last event, spread over the table's month
+    timed = clips.withColumn("done_at", F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit("20260101"), "yyyyMMdd")) + F.col("done_at") * F.lit(1_000_000)))
+    stream = arriving_in_time(timed, "done", "done_at", ["path"])
+    return finished(release.batch_stream(stream, patience_hours=24.0 * 40), "batches")
 
 
 @bound(

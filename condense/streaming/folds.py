@@ -1,4 +1,4 @@
-"""Streaming forms of prescreening, segment merging and batching."""
+"""Streaming form of prescreening; merging and batching are in ``release``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from condense.functions.sampling import DARK_FACTOR, DARK_FLOOR, DARK_LUMA
-from condense.operators.segments import DAY, SEGMENT_COLUMNS
 from condense.streaming.ordered import ordered_fold
 
 VERDICT = T.StructType([
@@ -54,52 +53,3 @@ def prescreen_stream(
 
     output = _keyed(frames, ["file_id"], *VERDICT.fields)
     return ordered_fold(frames, ["file_id"], "i", "frames", lambda: None, step, output, forget_after_ms)
-
-
-def merge_stream(
-    segments: DataFrame, tolerance: float = 0.5, forget_after_ms: int | None = None
-) -> DataFrame:
-    """Merge neighbouring segments of a day as they arrive; a segment is given out when its successor does not join.
-
-    ``segments`` has the day, ``seq``, ``segments`` (how many the day has) and the
-    segment columns. Kept in state: the open segment.
-    """
-    names = list(SEGMENT_COLUMNS)
-
-    def given_out(part):
-        return (part["seq"], *[part[c] for c in names])
-
-    def step(memory, row, is_last):
-        part, made = {c: row[c] for c in ["seq", *names]}, []
-        if memory is None:
-            memory = part
-        elif memory["state"] == part["state"] and part["start_time"] - memory["end_time"] <= tolerance:
-            memory["end_time"] = part["end_time"]
-            memory["max_energy"] = max(memory["max_energy"], part["max_energy"])
-        else:
-            made.append(given_out(memory))
-            memory = part
-        if is_last:
-            made.append(given_out(memory))
-        return memory, made, is_last
-
-    output = _keyed(segments, DAY, *[segments.schema[c] for c in ["seq", *names]])
-    return ordered_fold(segments, DAY, "seq", "segments", lambda: None, step, output, forget_after_ms)
-
-
-def batch_stream(clips: DataFrame, per_batch: int = 4, forget_after_ms: int | None = None) -> DataFrame:
-    """Put finished clips of a day into batches of ``per_batch`` in order of completion; the last batch may be smaller.
-
-    ``clips`` has the day, ``path``, ``pos`` (order of completion) and ``clips``
-    (how many the day has). Kept in state: the open batch.
-    """
-
-    def step(memory, row, is_last):
-        number, waiting = memory
-        waiting.append(row["path"])
-        if len(waiting) < per_batch and not is_last:
-            return (number, waiting), [], False
-        return (number + 1, []), [(path, number) for path in waiting], is_last
-
-    output = _keyed(clips, DAY, clips.schema["path"], T.StructField("batch_idx", T.LongType()))
-    return ordered_fold(clips, DAY, "pos", "clips", lambda: (0, []), step, output, forget_after_ms)

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from condense.operators import frames as fr, segments as seg, timeline as tl
 from condense.sources.tables import read_days
-from condense.streaming import folds, jobs
+from condense.streaming import folds, jobs, release
 
 NOW = dt.datetime(2026, 3, 20, 12, 0, 0)
 
@@ -43,30 +44,92 @@ def test_prescreen(spark, tmp_path):
     assert repr(rows_of(got)) == repr(rows_of(want))
 
 
-def test_merge(spark, tmp_path):
-    rnd = random.Random(2)
-    rows = []
-    for d in range(6):
-        n, t = rnd.randint(1, 15), 0.0
-        for s in range(n):
+START = dt.datetime(2026, 1, 1)
+SEGMENTS = (
+    "date string, cam_index int, event_time timestamp, start_time double, end_time double, state string, source_file string, "
+    "file_start_time string, seq_in_file long, file_start_offset double, max_energy double"
+)
+
+
+def segments_of(days, seed, longest=15):
+    rnd, rows = random.Random(seed), []
+    for d in range(days):
+        t = 0.0
+        for n in range(rnd.randint(1, longest)):
             t += rnd.choice([0.0, 0.5, 2.0])
-            rows.append((f"d{d}", 0, s, n, t, t + 1, rnd.choice(["STATIC", "DYNAMIC"]), f"s{s}", 0.0, float(s)))
+            at = START + dt.timedelta(days=d, seconds=t)
+            rows.append((f"2026010{d + 1}", 0, at, t, t + 1, rnd.choice(["STATIC", "DYNAMIC"]), f"s{n // 4}", f"{n // 4}", n, 0.0, float(n)))
             t += 1
-    schema = (
-        "date string, cam_index int, seq long, segments long, start_time double, end_time double, state string, "
-        "source_file string, file_start_offset double, max_energy double"
-    )
-    segments = spark.createDataFrame(rows, schema)
-    got = run(spark, folds.merge_stream(split_stream(spark, segments, f"{tmp_path}/in", 3)), str(tmp_path))
-    assert rows_of(got) == rows_of(seg.merge_segments(segments, chunk_rows=2).select(got.columns))
+    return rows
+
+
+def later(row, days):
+    return ("99991231", 0, START + dt.timedelta(days=days), *row[3:])
 
 
-def test_batches(spark, tmp_path):
-    rows = [(f"d{d}", 0, f"/{d}/{p}", p, n) for d, n in enumerate([1, 4, 9]) for p in range(n)]
-    clips = spark.createDataFrame(rows, "date string, cam_index int, path string, pos long, clips long")
-    got = run(spark, folds.batch_stream(split_stream(spark, clips, f"{tmp_path}/in", 3), 4), str(tmp_path))
-    want = tl.batches_by_completion(clips, ["pos"], 4).select(got.columns)
-    assert rows_of(got) == rows_of(want)
+def arrive(spark, path, schema, *parts):
+    """One file per part, one after another."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def merged(spark, rows):
+    ordered = tl.in_order(spark.createDataFrame(rows, SEGMENTS))
+    return seg.merge_segments(ordered, chunk_rows=3)
+
+
+def test_merge_of_late_missing_and_repeated_rows(spark, tmp_path):
+    rows = segments_of(6, 2)
+    missing = rows.pop(len(rows) // 2)
+    assert missing not in rows
+    shuffled = rows[:]
+    random.Random(5).shuffle(shuffled)
+    first, second = shuffled[::2], shuffled[1::2] + shuffled[:6:2]  # within the delay in any order, three of them twice
+    close = [later(rows[0], 40)]
+    too_late = [rows[0], *segments_of(1, 77)[:1]]  # of a day long closed: a copy and a new one
+    stream = arrive(spark, f"{tmp_path}/in", SEGMENTS, first, second, close, too_late, [later(rows[0], 80)])
+    got = run(spark, release.merge_stream(stream, delay="10 days"), str(tmp_path))
+    want = merged(spark, rows).unionByName(merged(spark, close))
+    assert rows_of(got) == rows_of(want.select(got.columns))
+
+
+def test_merge_gives_out_as_soon_as_nothing_can_join_and_survives_restarts(spark, tmp_path):
+    path = str(tmp_path)
+    rows = segments_of(2, 9)
+    days = [[r for r in rows if r[0] == d] for d in ("20260101", "20260102")]
+    seen = []
+    for part in (days[0], days[1], [later(rows[0], 40)]):
+        stream = arrive(spark, f"{path}/in", SEGMENTS, part)
+        got = run(spark, release.merge_stream(stream, delay="1 hour"), path)
+        seen.append(got.count())
+    assert seen[1] == merged(spark, days[0]).count() <= seen[2] == merged(spark, rows).count()
+    assert 0 <= seen[0] < seen[1]
+    assert rows_of(got) == rows_of(merged(spark, rows).select(got.columns))
+
+
+CLIPS = "date string, cam_index int, path string, done_at timestamp"
+
+
+def test_batches_are_filled_and_the_rest_flushed(spark, tmp_path):
+    rows = [(f"d{d}", 0, f"/{d}/{p}", START + dt.timedelta(hours=p, minutes=d)) for d, n in enumerate([1, 4, 9]) for p in range(n)]
+    shuffled = rows[:]
+    random.Random(4).shuffle(shuffled)
+    end = lambda days: ("z", 0, "/end", START + dt.timedelta(days=days))
+    stream = arrive(spark, f"{tmp_path}/in", CLIPS, shuffled[::2], shuffled[1::2] + shuffled[:2], [end(3)], [end(30)])
+    got = run(spark, release.batch_stream(stream, delay="1 day", per_batch=4, patience_hours=30), str(tmp_path))
+    ordered = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], CLIPS + ", pos long")
+    want = tl.batches_by_completion(ordered, ["pos"], 4).select(got.columns)
+    assert rows_of(got.where("date <> 'z'")) == rows_of(want)
+
+
+def test_a_clip_after_the_patience_opens_a_batch_of_its_own(spark, tmp_path):
+    at = lambda hours: START + dt.timedelta(hours=hours)
+    rows = [("d", 0, f"/{h}", at(h)) for h in (0, 1, 60, 61)]
+    stream = arrive(spark, f"{tmp_path}/in", CLIPS, rows[:2], [("z", 0, "/z", at(50))], rows[2:], [("z", 0, "/y", at(400))])
+    got = run(spark, release.batch_stream(stream, delay="1 hour", per_batch=4, patience_hours=24), str(tmp_path))
+    assert {r["path"]: r["batch_idx"] for r in got.where("date = 'd'").collect()} == {"/0": 0, "/1": 0, "/60": 1, "/61": 1}
 
 
 def intake(spark, path):
