@@ -149,3 +149,78 @@ def stream_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
         "duration double"
     )
     return read_days(spark, timelines, schema)
+
+
+class Chain:
+    """Listing, verdict, segments and timeline of the clips behind the events, each a streaming job on the log of the one before."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.segments = dq.event_segments(spark, sf_dir)
+        self.clips = dq.event_clips(self.segments)
+        found = self.clips.select("path", F.lit(0).cast("timestamp").alias("modificationTime"), F.lit(1_000_000).cast("long").alias("length"))
+        self.listings = arriving(found, "listings", "path")
+        self.tables = {name: shared_dir(spark, name) for name in ("registry", "verdicts", "day-segments", "store", "timelines", "held")}
+        self.checkpoints = {name: shared_dir(spark, f"{name}-checkpoint") for name in ("intake", "verdict", "segment", "timeline")}
+        self.day_schema = tl.day_segments(tl.static_segments(self.clips), self.segments).schema
+
+    def intake(self):
+        return jobs.intake_job(self.listings, self.tables["registry"], self.tables["held"], self.checkpoints["intake"])
+
+    def verdict(self):
+        """Evidence of a clip is what its events show; the verdict of a clip reaches the log once."""
+        evidence = self.clips.select("path", "prescreen_status", "file_start_time", "file_end_time")
+        listed = jobs.changes_of(self.spark, self.tables["registry"], "path string, date string, cam_index int")
+        work = lambda new: new.join(evidence, "path").select(*DAY, "path", "prescreen_status", "file_start_time", "file_end_time")
+        return jobs.stage_job(listed, self.tables["verdicts"], self.checkpoints["verdict"], ["path"], work)
+
+    def segment(self):
+        """Static clips are one segment, suspicious ones those of their series."""
+        schema = "date string, cam_index int, path string, prescreen_status string, file_start_time string, file_end_time string"
+        judged = jobs.changes_of(self.spark, self.tables["verdicts"], schema)
+
+        def work(new: DataFrame) -> DataFrame:
+            busy = new.where("prescreen_status = 'SUSPICIOUS'").select(*DAY, F.col("path").alias("source_file"))
+            both = tl.day_segments(tl.static_segments(new), self.segments.join(busy, [*DAY, "source_file"], "left_semi"))
+            return both.withColumn("path", F.col("source_file"))
+
+        return jobs.stage_job(judged, self.tables["day-segments"], self.checkpoints["segment"], ["path"], work)
+
+    def timeline(self):
+        made = jobs.changes_of(self.spark, self.tables["day-segments"], self.day_schema)
+        identity = ["source_file", "seq_in_file"]
+        return jobs.reopen_job(
+            made, self.tables["store"], self.tables["timelines"], self.checkpoints["timeline"], self.day_schema, identity, absorb=False
+        )
+
+    def run(self, *names: str) -> None:
+        for name in names:
+            getattr(self, name)().start().awaitTermination()
+
+    def result(self) -> DataFrame:
+        return read_days(self.spark, self.tables["timelines"], TIMELINE)
+
+
+TIMELINE = (
+    "date string, cam_index int, seq long, filepath string, start_in_file double, end_in_file double, state string, "
+    "duration double"
+)
+STAGES = ("intake", "verdict", "segment", "timeline")
+_TIMELINE_SQL = f"WITH {dq._TIMELINE} SELECT date, cam_index, seq, filepath, start_in_file, end_in_file, state, duration FROM tm"
+
+
+@bound("stream_chain", _TIMELINE_SQL)
+def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From listings to timelines without a batch step between."""
+    chain = Chain(spark, sf_dir)
+    chain.run(*STAGES)
+    return chain.result()
+
+
+@bound("stream_resume", _TIMELINE_SQL)
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain is stopped after each stage and started anew from the first one: every clip goes on where it stands."""
+    chain = Chain(spark, sf_dir)
+    for stop in range(1, len(STAGES) + 1):
+        chain.run(*STAGES[:stop])
+    return chain.result()

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from condense.operators import registry as reg, timeline as tl
 from condense.session import path_exists, written
@@ -64,15 +64,47 @@ def without_duplicates(stream: DataFrame, keys: list[str], event_time: str, dela
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def stage_job(
+    changes: DataFrame, table: str, checkpoint: str, keys: list[str], work: Callable[[DataFrame], DataFrame]
+) -> DataStreamWriter:
+    """One stage of a chain: rows that the stage before has decided come in, ``work`` decides on them, ``table`` takes the result.
+
+    ``table`` is a log by batch: ``changes_of`` reads it as the stream of the next stage. A batch that
+    is tried again overwrites what its earlier try left. A key that comes again, because the stage before was
+    stopped in the middle of a batch, has been decided and is passed over, so a chain may be stopped anywhere
+    and goes on where each clip stands.
+    """
+
+    def decide(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(keys)
+        if number and path_exists(spark, table):
+            schema = StructType([batch.schema[k] for k in keys] + [StructField("batch", LongType())])
+            done = spark.read.schema(schema).parquet(table).where(F.col("batch") < number)
+            new = new.join(done, keys, "left_anti")
+        work(new).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return changes.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def changes_of(spark: SparkSession, table: str, schema: StructType | str) -> DataFrame:
+    """The rows of a stage's log as they come; the log may not exist yet."""
+    return spark.readStream.schema(schema).parquet(f"{table}/batch=*")
+
+
 def reopen_job(
     segments: DataFrame,
     store: str,
     timelines: str,
     checkpoint: str,
     schema: StructType,
+    identity: list[str] | None = None,
     **options,
 ) -> DataStreamWriter:
-    """Keep arriving segments and rebuild the timelines of the days they belong to; other days stay untouched."""
+    """Keep arriving segments and rebuild the timelines of the days they belong to; other days stay untouched.
+
+    With ``identity`` a segment that comes again counts once.
+    """
 
     def rebuild(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -80,6 +112,8 @@ def reopen_job(
         kept = spark.read.schema(schema).parquet(store)
         touched = spark.read.schema(schema).parquet(f"{store}/batch={number}").select(*DAY).distinct()
         days = kept.join(touched, DAY, "left_semi")
+        if identity is not None:
+            days = days.dropDuplicates([*DAY, *identity])
         timeline = tl.build_timeline(tl.in_order(days), keep=written, **options)
         write_days(timeline, timelines, "overwrite")
 

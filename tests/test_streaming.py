@@ -192,3 +192,34 @@ def test_reopened_days(spark, tmp_path):
     assert rebuild() == {("20260101", 0, "DYNAMIC"), ("20260102", 0, "DYNAMIC")}
     later.coalesce(1).write.mode("append").parquet(f"{path}/in")
     assert rebuild() == {("20260101", 0, "DYNAMIC"), ("20260101", 1, "STATIC"), ("20260102", 0, "DYNAMIC")}
+
+
+def test_a_stage_stopped_in_a_batch_decides_every_key_once(spark, tmp_path):
+    path = str(tmp_path)
+    schema = "path string, n long"
+
+    def go(fail=False):
+        def work(new):
+            if fail:
+                raise RuntimeError("stopped")
+            return new.withColumn("verdict", F.col("n") % 2)
+
+        stream = jobs.changes_of(spark, f"{path}/in", schema)
+        query = jobs.stage_job(stream, f"{path}/out", f"{path}/checkpoint", ["path"], work).start()
+        try:
+            query.awaitTermination()
+        except Exception:  # noqa: BLE001
+            assert fail
+
+    def arrive_as(batch, *rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/in/batch={batch}")
+
+    arrive_as(0, ("/a", 1), ("/b", 2))
+    go()
+    arrive_as(0, ("/a", 1), ("/b", 2))  # the stage before tries its batch again under other file names
+    arrive_as(1, ("/c", 3))
+    go(fail=True)
+    go()
+    go()
+    rows = spark.read.parquet(f"{path}/out").collect()
+    assert sorted((r["path"], r["verdict"]) for r in rows) == [("/a", 1), ("/b", 0), ("/c", 1)]
