@@ -9,7 +9,7 @@ from condense.plans import day_queries as dq, frame_queries as fq, registry_quer
 from condense.plans.bound import bound
 from condense.session import shared_dir
 from condense.sources.tables import read_days
-from condense.streaming import folds, jobs, release
+from condense.streaming import folds, jobs, release, settle
 
 DAY = ["date", "cam_index"]
 SPLITS = 3
@@ -151,6 +151,35 @@ def stream_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_days(spark, timelines, schema)
 
 
+@bound(
+    "stream_settle",
+    f"""WITH {rq._ORDERS}, k AS (SELECT path, age, o_custkey % 11 = 0 AS gone, o_custkey % 7 = 0 AS grown, length FROM l)
+    SELECT path, CASE WHEN grown AND age < 15 THEN length + 1 ELSE length END AS length,
+           CASE WHEN age >= 15 THEN 0 WHEN age = 14 OR (age >= 9 AND NOT grown) THEN 1 ELSE 15 - age END AS minutes
+    FROM k WHERE age >= 15 OR NOT gone""",
+)
+def stream_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scans: all files; a minute later some have grown and some are gone; an hour later an empty one."""
+    listed = rq.order_listing(spark, sf_dir)
+    first = listed.select(*jobs.LISTED, F.lit(0).alias("_minute"))
+    # only what isn't old enough is looked at again
+    young = listed.where(F.col("o_orderkey") % 30 < 15)
+    size = F.when(F.col("o_custkey") % 11 == 0, None).when(F.col("o_custkey") % 7 == 0, F.col("length") + 1).otherwise(F.col("length"))
+    second = young.select("path", "modificationTime", size.alias("length"), F.lit(1).alias("_minute"))
+    nothing = [F.lit(None).cast(first.schema[c].dataType).alias(c) for c in jobs.LISTED]
+    third = spark.range(1).select(*nothing, F.lit(60).alias("_minute"))
+    start = F.expr(f"timestamp_ntz'{rq.AS_OF}'").cast("timestamp")
+    path = shared_dir(spark, "sights")
+    for scan in (first, second, third):
+        seen = F.timestamp_micros(F.unix_micros(start) + F.col("_minute").cast("long") * settle.MINUTE)
+        scan.select(*jobs.LISTED, seen.alias("seen_at")).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    sights = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    done = finished(settle.settled_stream(sights), "settled")
+    minutes = ((F.unix_micros("settled_at") - F.unix_micros(start)) / settle.MINUTE).cast("long")
+    return done.select("path", "length", minutes.alias("minutes"))
+
+
 class Chain:
     """Listing, verdict, segments and timeline of the clips behind the events, each a streaming job on the log of the one before."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from condense.operators import frames as fr, segments as seg, timeline as tl
 from condense.sources.tables import read_days
-from condense.streaming import folds, jobs, release
+from condense.streaming import folds, jobs, release, settle
 
 NOW = dt.datetime(2026, 3, 20, 12, 0, 0)
 
@@ -223,3 +223,28 @@ def test_a_stage_stopped_in_a_batch_decides_every_key_once(spark, tmp_path):
     go()
     rows = spark.read.parquet(f"{path}/out").collect()
     assert sorted((r["path"], r["verdict"]) for r in rows) == [("/a", 1), ("/b", 0), ("/c", 1)]
+
+
+SIGHTS = "path string, modificationTime timestamp, length long, seen_at timestamp"
+
+
+def test_growing_vanished_and_settled_files_are_judged_without_news(spark, tmp_path):
+    path = str(tmp_path)
+    born = START - dt.timedelta(minutes=11)
+    at = lambda m: START + dt.timedelta(minutes=m)
+    old = ("/old", START - dt.timedelta(hours=2), 5, at(0))
+    first = [old, *[(p, born, 5, at(0)) for p in ("/grows", "/gone", "/settles", "/quiet")], ("/young", at(-1), 5, at(0))]
+    second = [old[:3] + (at(1),), ("/grows", at(1), 9, at(1)), ("/gone", born, None, at(1)), ("/settles", born, 5, at(1))]
+    empty = lambda m: [(None, None, None, at(m))]
+
+    def passed(*part):
+        got = run(spark, settle.settled_stream(arrive(spark, f"{path}/in", SIGHTS, *part)), path)
+        return {r["path"]: (r["length"], (r["settled_at"] - START).total_seconds() / 60) for r in got.collect()}, got.count()
+
+    assert passed(first)[0] == {"/old": (5, 0)}
+    settled = {"/old": (5, 0), "/settles": (5, 1)}
+    assert passed(second)[0] == settled
+    # restarted, and with scans that see nothing: timers judge what is held
+    assert passed(empty(6))[0] == settled | {"/quiet": (5, 4)}
+    got, n = passed(empty(40), [("/old", old[1], 5, at(41))])
+    assert got == settled | {"/quiet": (5, 4), "/young": (5, 14), "/grows": (9, 16)} and n == 5
