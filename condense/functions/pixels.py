@@ -40,6 +40,14 @@ def crop(pixels: Column, width: int, height: int, box: tuple[int, int, int, int]
     return F.concat(*[F.slice(pixels, r * width + x + 1, kept) for r in rows])
 
 
+def crop_binary(pixels: Column, width: int, height: int, box: tuple[int, int, int, int]) -> Column:
+    """The same for a BINARY frame: its bytes in the box, row by row."""
+    x, y, w, h = box
+    rows = range(y, min(y + h, height))
+    kept = max(0, min(w, width - x))
+    return F.concat(*[F.substring(pixels, r * width + x + 1, kept) for r in rows])
+
+
 def roi_energy(prev: Column, cur: Column, box: tuple[int, int, int, int]) -> Column:
     """Absolute difference of two cropped frames over the nominal area of the box."""
     return total_abs_diff(cur, prev) / F.lit(float(box[2] * box[3]))

@@ -6,10 +6,15 @@ frames in order) and hold ``pixels``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from condense.functions import pixels as px
 from condense.functions.sampling import luma_threshold, stream_frames, stream_point, stream_rate
+from condense.operators import binary_frames as bf
 from condense.operators.series import attach, chunk_window, with_halo
 from condense.session import ship
 
@@ -21,7 +26,13 @@ def frame_changes(frames: DataFrame, chunk_rows: int = FRAME_CHUNK) -> DataFrame
     """``luma`` of every frame and, from the second frame on, its difference to the previous and to the first frame.
 
     ``d`` is the larger of the two differences. The rows carry their ``_chunk``.
+    ``pixels`` may be an array of numbers or BINARY, one byte per value.
     """
+    if _is_binary(frames):
+        names = ["luma", "diff_prev", "diff_first"]
+        diffs = bf.measured(frames, names, bf.change, chunk_rows, with_first=True)
+        diffs = diffs.withColumn("diff_first", F.when(F.col("i") > 0, F.col("diff_first")))
+        return _with_larger(diffs.select(*FILE, "i", *names, "_chunk"))
     rows = frames.select(*FILE, "i", "pixels")
     first = rows.where("i = 0").select(*FILE, F.col("pixels").alias("_first"))
     size = rows.groupBy(*FILE).agg(F.max("i").alias("_last_i"))
@@ -38,9 +49,17 @@ def frame_changes(frames: DataFrame, chunk_rows: int = FRAME_CHUNK) -> DataFrame
         F.when(F.col("i") > 0, px.mean_abs_diff(F.col("pixels"), F.col("_first"))).alias("diff_first"),
         "_chunk",
     )
+    return _with_larger(diffs)
+
+
+def _with_larger(diffs: DataFrame) -> DataFrame:
     return diffs.withColumn("d", F.when(F.col("i") > 0, F.greatest("diff_prev", "diff_first")))
 
 
+def _is_binary(frames: DataFrame) -> bool:
+    return isinstance(frames.schema["pixels"].dataType, T.BinaryType)
+
+
 def roi_energies(
     frames: DataFrame,
     width: int,
@@ -48,8 +67,15 @@ def roi_energies(
     roi: tuple[float, float, float, float] = (0.1, 0.12, 0.8, 0.85),
     chunk_rows: int = FRAME_CHUNK,
 ) -> DataFrame:
-    """Motion energy of every neighbouring pair of gray frames: ``file_id``, ``k``, ``energy``."""
+    """Motion energy of every neighbouring pair of gray frames: ``file_id``, ``k``, ``energy``.
+
+    Frames are cropped before they are shuffled, arrays and BINARY alike.
+    """
     box = px.roi_box(width, height, roi)
+    if _is_binary(frames):
+        cropped = frames.select(*FILE, "i", px.crop_binary(F.col("pixels"), width, height, box).alias("pixels"))
+        pairs = bf.measured(cropped, ["energy"], bf.energy_over(box[2] * box[3]), chunk_rows).where("i > 0")
+        return pairs.select(*FILE, (F.col("i") - 1).alias("k"), "energy")
     cropped = frames.select(*FILE, "i", px.crop(F.col("pixels"), width, height, box).alias("_roi"))
     paired = (
         with_halo(cropped, FILE, "i", before=1, chunk_rows=chunk_rows)
@@ -236,3 +262,64 @@ def score_frames(frames: DataFrame, make_predict_fn, return_type, shape: list[in
         make_predict_fn, return_type=return_type, batch_size=batch_size, input_tensor_shapes=[shape]
     )
     return frames.withColumn("score", model("pixels"))
+
+
+DETECTIONS = "array<struct<class_id: int, conf: double>>"
+_DETECTION = pa.list_(pa.struct([("class_id", pa.int32()), ("conf", pa.float64())]))
+
+#: A batch of frames (a list of arrays) to a list of ``(class_id, conf)`` pairs for each of them.
+Detector = Callable[[list[np.ndarray]], list[list[tuple[int, float]]]]
+
+
+def detect_frames(
+    frames: DataFrame,
+    make_detector: Callable[[], Detector],
+    shape: tuple[int, ...],
+    batch_size: int = 32,
+    strict: bool = True,
+) -> DataFrame:
+    """What a user-given detector sees in each BINARY frame: adds ``detections``, drops ``pixels``.
+
+    ``make_detector`` loads the model once per task; it is then called with lists of
+    at most ``batch_size`` frames of the given ``shape``. A frame in which nothing is
+    seen has an empty list. A frame without pixels, and with ``strict=False`` each
+    frame of a batch on which the detector fails, has NULL: it could not be judged.
+    """
+    ship(frames.sparkSession)
+    if batch_size < 1:
+        raise ValueError("a batch holds at least one frame")
+    kept = [c for c in frames.columns if c != "pixels"]
+
+    def seen(detector: Detector, pictures: list[np.ndarray]) -> list:
+        try:
+            found = detector(pictures)
+            if len(found) != len(pictures):
+                raise ValueError(f"{len(found)} lists of detections for {len(pictures)} frames")
+            return [[{"class_id": int(c), "conf": float(p)} for c, p in frame] for frame in found]
+        except Exception:
+            if strict:
+                raise
+            return [None] * len(pictures)
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector = make_detector()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                raw = part.column("pixels")
+                there = [n for n in range(len(raw)) if raw[n].is_valid]
+                pictures = [np.frombuffer(raw[n].as_buffer(), np.uint8).reshape(shape) for n in there]
+                found = dict(zip(there, seen(detector, pictures))) if pictures else {}
+                lists = pa.array([found.get(n) for n in range(len(raw))], _DETECTION)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], names=[*kept, "detections"])
+
+    fields = [frames.schema[c] for c in kept]
+    return frames.select(*kept, "pixels").mapInArrow(
+        detect, T.StructType([*fields, T.StructField("detections", T.DataType.fromDDL(DETECTIONS))])
+    )
+
+
+def detection_rows(detected: DataFrame) -> DataFrame:
+    """One row per detection, ``class_id`` and ``conf``, with the other columns of its frame."""
+    kept = [c for c in detected.columns if c != "detections"]
+    return detected.select(*kept, F.inline("detections"))

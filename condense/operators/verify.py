@@ -43,6 +43,34 @@ def sampled_hits(
     )
 
 
+def detected_hits(detected: DataFrame, classes=TARGET_CLASSES, confidence: float = 0.3) -> DataFrame:
+    """The same from frames that carry their list of ``detections``: no join and no shuffle.
+
+    A frame that could not be judged (NULL) counts as a hit, so that its segment stays as it is.
+    """
+    shown = F.exists("detections", lambda d: is_target(d["class_id"], d["conf"], classes, confidence))
+    return detected.select("file_id", "frame_idx", F.coalesce(shown, F.lit(True)).alias("hit"))
+
+
+def doubtful_frames(
+    segments: DataFrame,
+    frames: DataFrame,
+    rate: Column,
+    sample_rate: float = 0.5,
+    skip_energy: float = 12.0,
+    align: str = "segment",
+    block: int = FRAME_BLOCK,
+) -> DataFrame:
+    """The frames the detector has to look at: those sampled in segments that need a check, each once.
+
+    ``frames`` has ``file_id``, ``frame_idx`` and what the detector wants; all other
+    frames are left out before any model runs.
+    """
+    places = frames.select("file_id", "frame_idx", F.lit(None).cast("boolean").alias("hit"))
+    wanted = segment_frames(segments.where(needs_check(skip_energy)), places, rate, sample_rate, align, block)
+    return frames.join(wanted.select("file_id", "frame_idx"), ["file_id", "frame_idx"], "left_semi")
+
+
 def segment_frames(
     segments: DataFrame,
     frames: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from condense.functions import pixels as px
-from condense.operators import frames as fr
+from condense.operators import frames as fr, verify as vf
 from condense.operators.series import chunk_window, div, with_halo, with_position
 from condense.plans.bound import SIZES, bound, table
 from condense.plans.full_run import full_run
@@ -194,6 +194,101 @@ def score_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*FILE, "i", "score", (F.col("score") > 104_000).alias("hit"))
 
 
+def byte_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    frames, chunks = embedding_frames(spark, sf_dir)
+    return _binary(frames), chunks
+
+
+@bound("frame_diff_binary", f"WITH {_FRAMES},{_changes('fr')} SELECT file_id, i, luma, diff_prev, diff_first, d FROM ch")
+def frame_diff_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, chunks = byte_frames(spark, sf_dir)
+    return fr.frame_changes(frames, chunks).drop("_chunk")
+
+
+@bound("frame_energy_binary", f"WITH {_FRAMES},{_ENERGY} SELECT file_id, k, energy FROM en")
+def frame_energy_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, chunks = byte_frames(spark, sf_dir)
+    return fr.roi_energies(frames, WIDTH, HEIGHT, ROI, chunks)
+
+
+@bound("prescreen_seek_binary", f"WITH {_FRAMES},{_changes('fr')},{_verdicts('last_limit')} SELECT * FROM ve")
+def prescreen_seek_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, chunks = byte_frames(spark, sf_dir)
+    return fr.prescreen(fr.frame_changes(frames, chunks), LIMIT, "legacy_seek")
+
+
+@bound("prescreen_stream_binary", PRESCREEN_STREAM)
+def prescreen_stream_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, chunks = byte_frames(spark, sf_dir)
+    return fr.prescreen(fr.frame_changes(frames, chunks), LIMIT, "stream_fps")
+
+
+def corner_detector():
+    """Stand-in detector: two objects a frame, classes and confidences from its sum and corner pixels."""
+
+    def detect(pictures):
+        return [
+            [(int(p.sum()) % 20, int(p[0, 0]) % 101 / 100), (int(p[1, 1]) % 20, int(p[0, 1]) % 101 / 100)]
+            for p in pictures
+        ]
+
+    return detect
+
+
+CHECK_FRAMES, SKIP_ENERGY = 16, 18.0
+
+_DETECTED = """
+sn AS (SELECT fr.file_id, i // 16 AS segment_id, min(i) AS lo, max(i) AS hi, max(energy) AS energy,
+              CASE WHEN i // 16 % 3 = 2 THEN 'STATIC' ELSE 'DYNAMIC' END AS state
+       FROM fr LEFT JOIN en ON fr.file_id = en.file_id AND fr.i = en.k + 1 GROUP BY fr.file_id, i // 16),
+ob AS (SELECT file_id, i, unnest([list_sum(px) % 20, px[10] % 20]) AS class_id, unnest([px[1] % 101 / 100, px[2] % 101 / 100]) AS conf FROM fr),
+lk AS (SELECT sn.file_id, segment_id, ob.i, bool_or(class_id IN (0, 1, 2, 3, 15, 16) AND conf >= 0.3::DOUBLE) AS hit
+       FROM sn JOIN ob ON ob.file_id = sn.file_id AND ob.i BETWEEN lo AND hi AND (ob.i - lo) % 2 = 0
+       WHERE state = 'DYNAMIC' AND hi > lo AND energy < 18 GROUP BY ALL)"""
+
+
+def _checked_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Segments of 16 frames (one a second) with their largest energy, and the frames the detector looked at."""
+    frames, chunks = byte_frames(spark, sf_dir)
+    energies = fr.roi_energies(frames, WIDTH, HEIGHT, ROI, chunks)
+    seconds = frames.select(*FILE, "i").join(energies.withColumn("i", F.col("k") + 1), [*FILE, "i"], "left")
+    number = div(F.col("i"), CHECK_FRAMES)
+    segments = (
+        seconds.groupBy(*FILE, number.alias("segment_id"))
+        .agg(F.min("i").cast("double").alias("start_time"), F.max("i").cast("double").alias("end_time"), F.max("energy").alias("max_energy"))
+        .withColumn("state", F.when(F.col("segment_id") % 3 == 2, "STATIC").otherwise("DYNAMIC"))
+        .withColumn("file_start_offset", F.lit(0.0))
+    )
+    pictures = frames.select(*FILE, F.col("i").alias("frame_idx"), "pixels")
+    doubtful = vf.doubtful_frames(segments, pictures, F.lit(1.0), skip_energy=SKIP_ENERGY)
+    return segments, fr.detect_frames(doubtful, corner_detector, (HEIGHT, WIDTH))
+
+
+@bound(
+    "frame_detections",
+    f"""WITH {_FRAMES},{_ENERGY},{_DETECTED} SELECT DISTINCT ob.file_id, ob.i AS frame_idx, ob.class_id, ob.conf
+    FROM ob JOIN lk ON lk.file_id = ob.file_id AND lk.i = ob.i""",
+)
+def frame_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels to detections of the frames in doubt."""
+    return fr.detection_rows(_checked_frames(spark, sf_dir)[1]).withColumn("class_id", F.col("class_id").cast("long")).distinct()
+
+
+@bound(
+    "score_to_verdict",
+    f"""WITH {_FRAMES},{_ENERGY},{_DETECTED},
+    ch AS (SELECT file_id, segment_id, count(*) AS frames_checked, bool_or(hit) AS hit FROM lk GROUP BY ALL)
+    SELECT sn.file_id, sn.segment_id, coalesce(frames_checked, 0) AS frames_checked, coalesce(NOT hit, false) AS flipped,
+           CASE WHEN coalesce(NOT hit, false) THEN 'STATIC' ELSE state END AS state
+    FROM sn LEFT JOIN ch ON sn.file_id = ch.file_id AND sn.segment_id = ch.segment_id""",
+)
+def score_to_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels to energies, segments, detections in the frames in doubt and the verdict on each segment."""
+    segments, detected = _checked_frames(spark, sf_dir)
+    checked = vf.verify_segments(segments, vf.detected_hits(detected), F.lit(1.0), skip_energy=SKIP_ENERGY, align="segment")
+    return checked.select(*FILE, "segment_id", "frames_checked", "flipped", "state")
+
+
 def embedding_clips(frames: DataFrame) -> DataFrame:
     """A clip per label, ten minutes apart on one day, each as long as its frames last."""
     stamp = lambda s: F.concat(F.lit("20240101"), F.date_format(F.timestamp_seconds(s), "HHmmss"))
