@@ -19,6 +19,7 @@ from condense.operators.series import attach, chunk_window, with_halo
 from condense.session import ship
 
 FILE = ["file_id"]
+TIME_BLOCK = 600.0  # seconds of a clip that meet its duration in one task
 FRAME_CHUNK = 1_024  # frames are large: shorter chunks than for scalar series
 
 
@@ -168,12 +169,18 @@ def sample_stream(frames: DataFrame, files: DataFrame, segments: int = 150) -> D
 
     ``frames`` has ``offset_s``, ``files`` has ``duration``. The points of a clip
     are at most ``segments`` + 1, so each one is joined to its frame through the
-    time slot it closes; rows of other frames are dropped before any window.
+    time slot it closes; rows of other frames are dropped before any window. Frames
+    meet the duration of their clip in blocks of time, so a long clip is split.
     """
     rate = stream_rate(F.col("duration"), segments)
     slot = F.ceil(F.col("offset_s") * rate).cast("long")
+    # beyond the block after the end a clip has no points
+    last_block = F.floor(F.greatest("duration", F.lit(1.0)) / TIME_BLOCK) + 1
+    lengths = files.select(*FILE, "duration", F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_block"))
+    block = F.greatest(F.floor(F.col("offset_s") / TIME_BLOCK), F.lit(0).cast("long"))
     slots = (
-        frames.join(files.select(*FILE, "duration"), FILE)
+        frames.withColumn("_block", F.when(F.col("offset_s").isNotNull(), block))
+        .join(lengths, [*FILE, "_block"])
         .withColumn("_slot", slot)
         .where(F.col("_slot") < stream_frames(segments))
         .groupBy(*FILE, "_slot", "duration")

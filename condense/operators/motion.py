@@ -40,10 +40,13 @@ def cut_quiet_tail(
     window: int = 20,
     threshold: float = 2.5,
     chunk_rows: int = CHUNK_ROWS,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Drop energies after the early end and append one 0.0 to each ended file.
 
-    Adds ``early`` (bool): whether the file of the row was ended early.
+    With ``files`` (``file_id``, ``duration``) only where the duration is known: the
+    zero stands for the end of the file, which has no place on the time axis
+    otherwise. Adds ``early`` (bool): whether the file of the row was ended early.
     """
     ends = early_end(energies, window, threshold, chunk_rows)
     kept = (
@@ -51,12 +54,19 @@ def cut_quiet_tail(
         .where(F.col("stop_k").isNull() | (F.col("k") <= F.col("stop_k")))
         .select(*FILE, "k", "energy", F.col("stop_k").isNotNull().alias("early"))
     )
-    closing = ends.where("stop_k IS NOT NULL").select(
+    ended = ends.where("stop_k IS NOT NULL")
+    if files is not None:
+        ended = ended.join(files.where(has_duration(F.col("duration"))).select(*FILE), FILE, "left_semi")
+    closing = ended.select(
         *FILE, (F.col("stop_k") + 1).alias("k"), F.lit(0.0).alias("energy"), F.lit(True).alias("early")
     )
     return kept.unionByName(closing)
 
 
+def has_duration(duration: Column) -> Column:
+    return F.coalesce(duration > 0, F.lit(False))
+
+
 def running_median(energies: DataFrame, window: int = 7, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Replace ``energy`` by its centred median; the edge values are repeated outside the series."""
     if window < 3:
@@ -252,12 +262,12 @@ def analyze(
 ) -> DataFrame:
     """The whole chain from energies to smoothed runs with times.
 
-    ``files`` has ``file_id``, ``duration`` and ``offset`` (seconds). ``keep``
-    may store the series between the steps, which read it several times.
+    ``files`` has ``file_id``, ``duration`` and ``offset`` (seconds); labels of a file
+    without a duration all lie at its offset. ``keep`` may store the series between the steps, which read it several times.
     """
     series = energies.select(*FILE, "k", "energy")
     if early_window:
-        series = keep(cut_quiet_tail(series, early_window, early_threshold, chunk_rows), "cut")
+        series = keep(cut_quiet_tail(series, early_window, early_threshold, chunk_rows, files), "cut")
     else:
         series = series.withColumn("early", F.lit(False))
     ended = series.groupBy(*FILE).agg(F.max("early").alias("early"), F.max("k").alias("last_k"))
@@ -267,12 +277,12 @@ def analyze(
         return label_runs(labels, min_motion, min_static, noise_suppress, chunk_rows)
     axes = ended.join(files, FILE).select(
         *FILE,
-        "duration",
+        F.coalesce("duration", F.lit(0.0)).alias("duration"),
         "offset",
         "early",
         (F.col("last_k") + 1).alias("_last_i"),
         # frames looked at: one more than the energies before the appended zero
-        (F.col("last_k") + F.when(F.col("early"), 1).otherwise(2)).alias("_frames"),
+        (F.col("last_k") + F.when(F.col("early") & has_duration(F.col("duration")), 1).otherwise(2)).alias("_frames"),
     )
     timed = attach(labels, axes, FILE, "i", F.col("_last_i"), chunk_rows).withColumn(
         "time",

@@ -8,7 +8,7 @@ from condense.functions import pixels as px
 from condense.operators import frames as fr, verify as vf
 from condense.operators.series import chunk_window, div, with_halo, with_position
 from condense.plans.bound import SIZES, bound, table
-from condense.plans.full_run import full_run
+from condense.plans.full_run import full_run, measured_frames, screen
 from condense.schemas import PRESCREEN_DETAIL
 from condense.session import ship, written
 
@@ -305,19 +305,56 @@ def embedding_clips(frames: DataFrame) -> DataFrame:
     )
 
 
+NATIVE_FPS = 10.0
+
+
+def _clips_and_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Frames with their time in the clip, and the clips; both keyed by text."""
+    frames, chunks = embedding_frames(spark, sf_dir)
+    timed = frames.select(F.col("file_id").cast("string").alias("file_id"), "i", (F.col("i") * FRAME_SECONDS).alias("offset_s"), "pixels")
+    return timed, embedding_clips(timed), chunks
+
+
+@bound(
+    "sampled_verdicts",
+    f"""WITH {_FRAMES},{_SAMPLED},{_changes("sm")},{_verdicts(f"{LIMIT}::DOUBLE")}
+    SELECT file_id::VARCHAR AS file_id, status, max_diff, checked_pairs, threshold, mean_luma, early_stop FROM ve""",
+)
+def sampled_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screening of the full run: 21 points of a clip."""
+    frames, clips, chunks = _clips_and_frames(spark, sf_dir)
+    return screen(frames, clips, LIMIT, segments=SEGMENTS, frame_chunk=chunks)
+
+
+@bound(
+    "strided_energies",
+    f"""WITH {_FRAMES},
+    sd AS (SELECT file_id, greatest(1, CAST(round_even({NATIVE_FPS} / CASE WHEN count(*) * {FRAME_SECONDS} <= 120 THEN 5
+                  WHEN count(*) * {FRAME_SECONDS} <= 600 THEN 2 ELSE 1 END, 0) AS BIGINT)) AS stride FROM fr GROUP BY file_id),
+    sf AS (SELECT fr.file_id, i // stride AS i, px FROM fr JOIN sd ON fr.file_id = sd.file_id WHERE i % stride = 0),
+    {_ENERGY.replace("FROM fr)", "FROM sf)")}
+    SELECT file_id::VARCHAR AS file_id, k, energy FROM en""",
+)
+def strided_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The energies of the full run: frames at the rate for the length of their clip."""
+    frames, clips, chunks = _clips_and_frames(spark, sf_dir)
+    return fr.roi_energies(measured_frames(frames, clips, NATIVE_FPS, chunks), WIDTH, HEIGHT, ROI, chunks)
+
+
 @bound("full_run")
 def full_run_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames to edit list: screening, motion analysis, segments, timeline, cut."""
-    frames, chunks = embedding_frames(spark, sf_dir)
-    frames = frames.select(F.col("file_id").cast("string").alias("file_id"), "i", "pixels")
+    """Frames to edit list: sampled screening, motion analysis at the clip's rate, segments, timeline, cut."""
+    frames, clips, chunks = _clips_and_frames(spark, sf_dir)
     tables = full_run(
         frames,
-        embedding_clips(frames),
+        clips,
         WIDTH,
         HEIGHT,
         threshold=LIMIT,
         chunk_rows=chunks,
         frame_chunk=chunks,
+        screen_segments=SEGMENTS,
+        native_fps=NATIVE_FPS,
         keep=written,
         early_window=5,
         early_threshold=12.0,

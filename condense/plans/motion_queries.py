@@ -152,6 +152,34 @@ def early_terminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.cut_quiet_tail(energies, 5, 20.0, chunks)
 
 
+@bound(
+    "early_known",
+    f"""WITH {_SERIES},{_EARLY} SELECT file_id, k, energy, early FROM kept JOIN ends USING (file_id)
+    WHERE file_id % 3 = 0 OR stop_k IS NULL OR k <= stop_k""",
+)
+def early_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closing zero only where the duration is known: two files in three have none or 0."""
+    energies, chunks = event_energies(spark, sf_dir)
+    known = F.when(F.col("file_id") % 3 == 0, 100.0).when(F.col("file_id") % 3 == 1, 0.0)
+    files = table(spark, sf_dir, "events", "user_id").select(F.col("user_id").alias("file_id")).distinct()
+    return motion.cut_quiet_tail(energies, 5, 20.0, chunks, files.withColumn("duration", known))
+
+
+@bound(
+    "label_axis_true",
+    f"""WITH {_SERIES},{_EARLY},
+    p AS (SELECT file_id, max(k) + 1 AS last_i, bool_or(early) AS early FROM kept GROUP BY file_id),
+    f AS (SELECT file_id, count(*) * 10.0::DOUBLE AS duration FROM e GROUP BY file_id),
+    l AS (SELECT file_id, k + 1 AS i FROM kept UNION ALL SELECT file_id, 0 FROM kept WHERE k = 0)
+    SELECT file_id, i, round(CASE WHEN early AND i = last_i THEN duration ELSE
+           least(i * (1.0::DOUBLE / CASE WHEN duration <= 120 THEN 5.0::DOUBLE WHEN duration <= 600 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), duration) END, 6) AS time
+    FROM l JOIN p USING (file_id) JOIN f USING (file_id)""",
+)
+def label_axis_true(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times by the sampling rate instead of spread over the clip."""
+    return _label_times(spark, sf_dir, "true")
+
+
 @bound(
     "sample_stride",
     f"""WITH {_SERIES},
@@ -206,6 +234,10 @@ def all_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM l JOIN p USING (file_id) JOIN f USING (file_id)""",
 )
 def label_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label_times(spark, sf_dir, "compat")
+
+
+def _label_times(spark: SparkSession, sf_dir: str, axis: str) -> DataFrame:
     energies, chunks = event_energies(spark, sf_dir)
     cut = motion.cut_quiet_tail(energies, 5, 20.0, chunks)
     files = energies.groupBy(*FILE).agg((F.count(F.lit(1)) * SECONDS_PER_FRAME).alias("duration"))
@@ -220,7 +252,7 @@ def label_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.explode(F.when(F.col("k") == 0, F.array(F.lit(0).cast("long"), F.col("k") + 1)).otherwise(F.array(F.col("k") + 1)))
     labels = cut.select(*FILE, steps.alias("i"))
     time = motion.label_time(
-        F.col("i"), F.col("last_i"), F.col("duration"), F.col("frames"), motion.sampling_rate(F.col("duration")), F.col("early")
+        F.col("i"), F.col("last_i"), F.col("duration"), F.col("frames"), motion.sampling_rate(F.col("duration")), F.col("early"), axis=axis
     )
     return attach(labels, axes, FILE, "i", F.col("last_i"), chunks).select(*FILE, "i", F.round(time, 6).alias("time"))
 

@@ -1,9 +1,13 @@
 """From frames to an edit list, with and without chunks and detections."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from condense.plans.full_run import full_run, inspect
+from condense.operators import motion
+from condense.plans.full_run import full_run, inspect, measured_frames, screen
 from condense.session import written
 
 SIDE = 4
@@ -77,3 +81,54 @@ def test_inspection(spark):
     assert [r["state"] for r in found["segments"].orderBy("seq").collect()] == ["STATIC", "DYNAMIC", "STATIC"]
     assert found["midpoints"].count() == 3
     assert found["statistics"].first()["motion_labels"] == 60
+
+
+CLIPS = "path string, date string, cam_index int, file_start_time string, file_end_time string, file_duration double, has_audio boolean"
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_sampling_by_the_plain_rule(spark, chunk):
+    rnd = random.Random(8)
+    lengths = {"/short": 100.0, "/medium": 300.0, "/long": 700.0, "/unknown": None, "/zero": 0.0}
+    data = {p: [[rnd.randint(60, 90)] * 16 for _ in range(rnd.randint(90, 130))] for p in lengths}
+    data["/other"] = data["/short"]  # frames without a clip are not measured
+    step = {p: (d or 300.0) / len(data[p]) for p, d in lengths.items()} | {"/other": 1.0}
+    rows = [(p, i, i * step[p], px) for p, ps in data.items() for i, px in enumerate(ps)]
+    frames = spark.createDataFrame(rows, "file_id string, i long, offset_s double, pixels array<int>")
+    clips = spark.createDataFrame([(p, "20240101", 0, "20240101000000", "20240101000100", d, True) for p, d in lengths.items()], CLIPS)
+    kept = {}
+    for r in measured_frames(frames, clips, 20.0, chunk).collect():
+        kept.setdefault(r["file_id"], {})[r["i"]] = r["pixels"]
+    stride = {"/short": 4, "/medium": 10, "/long": 20, "/unknown": 10, "/zero": 10}
+    assert kept == {p: dict(enumerate(data[p][::s])) for p, s in stride.items()}
+    # the i-th sample is the last frame at or before the i-th of 11 points
+    segments, verdicts = 10, {r["file_id"]: r for r in screen(frames, clips, 12.0, segments=10, frame_chunk=chunk).collect()}
+    for p, d in lengths.items():
+        d = d or 300.0
+        rate = segments / max(d, 1.0)
+        points = [max(j for j in range(len(data[p])) if math.ceil(j * step[p] * rate) <= i) for i in range(segments + 1)]
+        seen = [data[p][j][0] for j in points]
+        diffs = [max(abs(seen[i] - seen[i - 1]), abs(seen[i] - seen[0])) for i in range(1, len(seen))]
+        stop = next((n for n, x in enumerate(diffs) if x > 12.0), None)
+        assert verdicts[p]["checked_pairs"] == (segments if stop is None else stop + 1)
+        assert verdicts[p]["status"] == ("STATIC" if stop is None else "SUSPICIOUS")
+
+
+def test_run_over_samples(spark):
+    frames, clips = tables(spark)
+    timed = frames.withColumn("offset_s", F.col("i") * 1.0)
+    run = full_run(timed, clips, SIDE, SIDE, screen_segments=15, native_fps=10.0, early_window=None, roi=(0, 0, 1, 1), keep=written)
+    # samples lie 4 s apart and all see the dark frames of the moving clip: sampling misses it, as the rule says
+    assert {r["status"] for r in run.verdicts.collect()} == {"STATIC"}
+    run = full_run(timed, clips, SIDE, SIDE, screen_segments=60, native_fps=15.0, early_window=None, roi=(0, 0, 1, 1), keep=written)
+    assert {r["file_id"]: r["status"] for r in run.verdicts.collect()} == {"/a": "STATIC", "/b": "SUSPICIOUS", "/c": "STATIC"}
+    assert run.segments.count() > 0
+
+
+def test_a_zero_closes_only_clips_of_known_length(spark):
+    energies = spark.createDataFrame([(f, k, 1.0) for f in "abc" for k in range(9)], "file_id string, k long, energy double")
+    files = spark.createDataFrame([("a", 20.0), ("b", 0.0), ("c", None)], "file_id string, duration double")
+    cut = motion.cut_quiet_tail(energies, 4, 2.0, 4, files)
+    assert {r["file_id"]: r["n"] for r in cut.groupBy("file_id").agg(F.count("k").alias("n")).collect()} == {"a": 5, "b": 4, "c": 4}
+    runs = motion.analyze(energies, early_window=4, early_threshold=2.0, files=files.withColumn("offset", F.lit(5.0)), chunk_rows=4)
+    assert {r["file_id"]: (r["last_i"], r["end_time"]) for r in runs.collect()} == {"a": (5, 25.0), "b": (4, 5.0), "c": (4, 5.0)}

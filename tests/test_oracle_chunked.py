@@ -13,6 +13,7 @@ CHUNKED = [
     "label_axis", "analyze_files", "segment_merge", "day_timeline", "edit_list", "render_batches", "timeline_split",
     "segment_json", "all_transitions", "batch_files", "label_csv", "sample_stride", "frame_diff", "frame_energy", "frame_kernels", "prescreen_seek", "prescreen_stream",
     "frame_diff_binary", "frame_energy_binary", "prescreen_seek_binary", "prescreen_stream_binary", "score_to_verdict",
+    "sampled_verdicts", "strided_energies", "early_known", "label_axis_true",
 ]
 
 
