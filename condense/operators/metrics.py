@@ -86,3 +86,63 @@ def stage_resources(
 
 def total_duration(stages: DataFrame) -> DataFrame:
     return stages.agg(F.sum(F.col("end_ts") - F.col("start_ts")).alias("total_duration"))
+
+
+def _settled(column: str, digits: int) -> Column:
+    # the last bits of an average depend on the order of its sum: they are cut before they can tip the rounding
+    return F.bround(F.bround(column, 8), digits).alias(column)
+
+
+def _by_name(a: Column, b: Column) -> Column:
+    # maps have no order of their own, so stages are compared by name and length
+    later = (a["name"] > b["name"]) | ((a["name"] == b["name"]) & (a["duration"] > b["duration"]))
+    same = (a["name"] == b["name"]) & (a["duration"] == b["duration"])
+    return F.when(same, 0).when(later, 1).otherwise(-1)
+
+
+def run_documents(
+    records: DataFrame,
+    stages: DataFrame,
+    samples: DataFrame,
+    run: list[str],
+    averages: list[str],
+    peaks: list[str] = [],
+    records_path: str | None = None,
+    slot: float = 600.0,
+    bin_width: float = 1.0,
+) -> DataFrame:
+    """One nested row per run: its length, resources by stage and device, latencies by stage, and where its records are.
+
+    ``records`` has the run, ``stage`` and ``duration``; ``stages`` and ``samples`` are
+    those of ``stage_resources`` with the run as host. Records stay rows of their own
+    table (``records_path``): a run may hold any number of them, and the document
+    points to them. Lists are as long as a run has stages and devices. A run needs
+    stages; one without records has no latencies. Times to 2 digits, resources to 1.
+    """
+    names = [f"avg_{m}" for m in averages] + [f"peak_{m}" for m in peaks]
+    met = stage_resources(stages, samples, run, averages, peaks, slot)
+    device = F.when(
+        F.col("device").isNotNull(), F.struct("device", F.struct(*[_settled(c, 1) for c in names]).alias("figures"))
+    )
+    by_stage = met.groupBy(*run, "name", F.bround("duration", 2).alias("duration")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(device))).alias("devices")
+    )
+    resources = by_stage.groupBy(*run).agg(F.collect_list(F.struct("name", "duration", "devices")).alias("_stages"))
+    lengths = stages.groupBy(*run).agg(F.bround(F.max("end_ts") - F.min("start_ts"), 2).alias("pipeline_duration"))
+    latency = stage_latency(records, [*run, "stage"], "duration", bin_width)
+    figures = [c for c in latency.columns if c not in (*run, "stage")]
+    summary = latency.groupBy(*run).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct(*figures))))).alias("perf_summary"),
+        F.sum("count").alias("_count"),
+    )
+    return (
+        lengths.join(resources, run)
+        .join(summary, run, "left")
+        .select(
+            *run,
+            "pipeline_duration",
+            F.array_sort("_stages", _by_name).alias("monitor_summary"),
+            "perf_summary",
+            F.struct(F.lit(records_path).alias("path"), F.coalesce("_count", F.lit(0).cast("long")).alias("count")).alias("records"),
+        )
+    )

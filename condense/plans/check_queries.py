@@ -8,7 +8,7 @@ from condense.functions.clock import epoch_micros
 from condense.operators import metrics as mt, registry as reg, verify as vf
 from condense.plans.bound import bound, table
 from condense.session import shared_dir
-from condense.sources.tables import write_metrics_json
+from condense.sources.tables import read_days, update_days, write_days, write_metrics_json, write_run_documents
 
 DAY = ["date", "cam_index"]
 RATE, OFFSET, EVERY = 2.0, 3_600.0, 3
@@ -209,3 +209,69 @@ def stage_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rolled = mt.stage_resources(stages, samples, ["host"], ["load"], ["mem"])
     return rolled.withColumn("avg_load", F.round("avg_load", 8))
+
+
+def _event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day and camera, the events being operations of a run a day."""
+    return table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value").select(
+        F.replace(F.col("ts").cast("date").cast("string"), F.lit("-"), F.lit("")).alias("date"),
+        (F.col("user_id") % 4).cast("int").alias("cam_index"),
+        "event_id",
+        F.col("event_type").alias("stage"),
+        (epoch_micros(F.col("ts")) / 1e6).alias("ts"),
+        F.col("value").alias("duration"),
+    )
+
+
+@bound(
+    "run_report",
+    """WITH e AS (SELECT strftime(ts, '%Y%m%d') AS date, CAST(user_id % 4 AS INTEGER) AS cam_index, event_id, event_type AS stage,
+                        epoch_us(ts) / 1e6 AS ts, value FROM events),
+    st AS (SELECT date, cam_index, stage, min(ts) AS start_ts, max(ts) AS end_ts FROM e GROUP BY ALL),
+    sa AS (SELECT date, cam_index, ts, 'gpu' || (event_id % 2) AS device, CASE WHEN stage IN ('click', 'view', 'purchase') THEN 'load' ELSE 'mem' END AS metric, value FROM e),
+    me AS (SELECT st.date, st.cam_index, st.stage, device, round_even(end_ts - start_ts, 2) AS duration,
+                  round_even(round(coalesce(avg(value) FILTER (metric = 'load'), 0), 8), 1) AS avg_load, round_even(coalesce(max(value) FILTER (metric = 'mem'), 0), 1) AS peak_mem
+           FROM st JOIN sa ON st.date = sa.date AND st.cam_index = sa.cam_index AND ts BETWEEN start_ts AND end_ts
+           GROUP BY st.date, st.cam_index, st.stage, device, start_ts, end_ts),
+    rk AS (SELECT date, cam_index, stage, value AS d, row_number() OVER (PARTITION BY date, cam_index, stage ORDER BY value) - 1 AS r,
+                  count(*) OVER (PARTITION BY date, cam_index, stage) AS n FROM e),
+    la AS (SELECT date, cam_index, stage, count(*) AS count, round_even(sum(d), 2) AS total, round_even(max(d) FILTER (r = n // 2), 2) AS p50,
+                  round_even(max(d) FILTER (r = CAST(floor(n * 0.95::DOUBLE) AS BIGINT)), 2) AS p95 FROM rk GROUP BY ALL),
+    ru AS (SELECT date, cam_index, round_even(max(ts) - min(ts), 2) AS pipeline_duration, count(*) AS n_records FROM e GROUP BY ALL)
+    SELECT date, cam_index, pipeline_duration, n_records, stage, duration, device, avg_load, peak_mem, count, total, p50, p95
+    FROM me JOIN la USING (date, cam_index, stage) JOIN ru USING (date, cam_index)""",
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of all runs, written as JSON, read back and laid out by stage and device."""
+    e = _event_days(spark, sf_dir)
+    stages = e.groupBy(*DAY, F.col("stage").alias("name")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    device = F.concat(F.lit("gpu"), (F.col("event_id") % 2).cast("string")).alias("device")
+    metric = F.when(F.col("stage").isin("click", "view", "purchase"), "load").otherwise("mem").alias("metric")
+    samples = e.select(*DAY, "ts", device, metric, F.col("duration").alias("value"))
+    records = e.select(*DAY, "stage", "duration")
+    documents = mt.run_documents(records, stages, samples, DAY, ["load"], ["mem"], f"{sf_dir}/events.parquet", slot=3_600.0)
+    path = shared_dir(spark, "runs")
+    write_run_documents(documents, path)
+    back = spark.read.schema(documents.schema).json(path)
+    laid = back.select(*DAY, "pipeline_duration", F.col("records.count").alias("n_records"), "perf_summary", F.inline("monitor_summary"))
+    by_device = laid.select("*", F.explode("devices").alias("device", "_figures")).withColumn("_perf", F.col("perf_summary")[F.col("name")])
+    return by_device.select(
+        *DAY, "pipeline_duration", "n_records", F.col("name").alias("stage"), "duration", "device", "_figures.avg_load", "_figures.peak_mem",
+        "_perf.count", "_perf.total", "_perf.p50", "_perf.p95",
+    )
+
+
+@bound(
+    "registry_update_days",
+    """SELECT strftime(ts, '%Y%m%d') AS date, CAST(user_id % 4 AS INTEGER) AS cam_index, event_id,
+    CASE WHEN event_type = 'error' AND day(ts) % 5 = 0 THEN 'RETRY' ELSE event_type END AS stage, value AS duration FROM events""",
+)
+def registry_update_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by days, in which errors of every fifth day are set to be tried again; other days are not touched."""
+    rows = _event_days(spark, sf_dir).drop("ts")
+    path = shared_dir(spark, "days")
+    write_days(rows, path)
+    errors = rows.where((F.col("stage") == "error") & (F.substring("date", 7, 2).cast("int") % 5 == 0))
+    changes = errors.select(*DAY, "event_id", F.lit("RETRY").alias("stage"))
+    update_days(spark, path, rows.schema, changes, ["event_id"])
+    return read_days(spark, path, rows.schema)

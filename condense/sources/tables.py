@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from condense.functions.clock import minutes_seconds
-from condense.operators.registry import of_day
+from condense.operators.registry import of_day, update
 
 DAY = ["date", "cam_index"]
 
@@ -31,6 +31,37 @@ def read_days(
     return of_day(spark.read.schema(schema).parquet(path), date, cam)
 
 
+def in_days(days: list[tuple[str, int]]) -> Column:
+    """Whether a row is of one of these days; a filter on the partition columns, one list of dates per camera."""
+    dates: dict[int, list[str]] = {}
+    for date, cam in days:
+        dates.setdefault(cam, []).append(date)
+    picked = F.lit(False)
+    for cam, listed in sorted(dates.items()):
+        picked = picked | ((F.col("cam_index") == cam) & F.col("date").isin(*sorted(listed)))
+    return picked
+
+
+def update_days(
+    spark: SparkSession, path: str, schema: T.StructType | str, changes: DataFrame, keys: list[str] = ["path"]
+) -> int:
+    """Set fields of rows of a day-partitioned table; only the days that hold changed keys are read and written.
+
+    ``changes`` has the day and ``keys``, one row per key, and the fields to set;
+    NULL leaves the old value, unknown keys are ignored. The touched days (their names
+    only) go through the driver. A day is replaced as a whole when the job commits,
+    so a job that fails leaves the table as it was. Returns the number of days written.
+    """
+    fields = [c for c in changes.columns if c not in (*DAY, *keys)]
+    days = [tuple(r) for r in changes.dropna(subset=DAY).select(*DAY).distinct().collect()]
+    touched = spark.read.schema(schema).parquet(path).where(in_days(days))
+    present = [tuple(r) for r in touched.select(*DAY).distinct().collect()]
+    if present:
+        write_days(update(touched, changes.select(*DAY, *keys, *fields), [*DAY, *keys]), path, "overwrite")
+        spark.catalog.refreshByPath(path)
+    return len(present)
+
+
 def write_label_csv(labels: DataFrame, path: str, per_file: bool = False) -> None:
     """The motion labels as CSV: file, index, time with two digits, 1, and ``m:ss.ss``.
 
@@ -62,3 +93,8 @@ LABEL_CSV = T.StructType([
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
     """Operation metrics as JSON lines, a folder per day; summaries are queries over it."""
     metrics.hint("rebalance", *DAY).write.partitionBy(*DAY).json(path)
+
+
+def write_run_documents(documents: DataFrame, path: str) -> None:
+    """One JSON document per run; Spark's commit shows all of them or none, and an earlier folder is not overwritten."""
+    documents.write.mode("errorifexists").json(path)
