@@ -16,7 +16,7 @@ def merge_maps(*maps: Column) -> Column:
     return merged
 
 
-def stage_latency(records: DataFrame, keys: list[str] = ["stage"], value: str = "duration", bin_width: float = 1.0) -> DataFrame:
+def stage_latency(records: DataFrame, keys: list[str] = ["stage"], value: str = "duration") -> DataFrame:
     """Count, total, average, nearest-rank p50 and p95, minimum and maximum per stage, to 2 digits.
 
     p50 is the value at position floor(n/2) of the sorted list, p95 at floor(0.95 n).
@@ -32,8 +32,10 @@ def stage_latency(records: DataFrame, keys: list[str] = ["stage"], value: str =
         records,
         keys,
         value,
-        {"p50": lambda n: F.floor(n / 2).cast("long"), "p95": lambda n: F.floor(n * F.lit(0.95)).cast("long")},
-        bin_width,
+        {
+            "p50": (0.5, lambda n: F.floor(n / 2).cast("long")),
+            "p95": (0.95, lambda n: F.floor(n * F.lit(0.95)).cast("long")),
+        },
     ).drop("n")
     figures = ["total", "avg", "p50", "p95", "min", "max"]
     return plain.join(ranked, keys, "left").select(*keys, "count", *[F.bround(c, 2).alias(c) for c in figures])
@@ -109,7 +111,6 @@ def run_documents(
     peaks: list[str] = [],
     records_path: str | None = None,
     slot: float = 600.0,
-    bin_width: float = 1.0,
 ) -> DataFrame:
     """One nested row per run: its length, resources by stage and device, latencies by stage, and where its records are.
 
@@ -129,7 +130,7 @@ def run_documents(
     )
     resources = by_stage.groupBy(*run).agg(F.collect_list(F.struct("name", "duration", "devices")).alias("_stages"))
     lengths = stages.groupBy(*run).agg(F.bround(F.max("end_ts") - F.min("start_ts"), 2).alias("pipeline_duration"))
-    latency = stage_latency(records, [*run, "stage"], "duration", bin_width)
+    latency = stage_latency(records, [*run, "stage"], "duration")
     figures = [c for c in latency.columns if c not in (*run, "stage")]
     summary = latency.groupBy(*run).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct(*figures))))).alias("perf_summary"),

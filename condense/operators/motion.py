@@ -91,10 +91,10 @@ def running_median(energies: DataFrame, window: int = 7, chunk_rows: int = CHUNK
     )
 
 
-def noise_threshold(energies: DataFrame, sensitivity: float = 1.0, bin_width: float = 1 / 16) -> DataFrame:
+def noise_threshold(energies: DataFrame, sensitivity: float = 1.0) -> DataFrame:
     """Per file: ``n``, ``p5``, ``p20`` and the motion threshold; files with one energy only are FAILED."""
     return (
-        percentiles(energies, FILE, "energy", {"p5": 0.05, "p20": 0.2}, bin_width)
+        percentiles(energies, FILE, "energy", {"p5": 0.05, "p20": 0.2})
         .withColumn("threshold", F.col("p5") + F.greatest(F.lit(0.5), F.lit(sensitivity) * ((F.col("p20") - F.col("p5")) * 2.5)))
         .withColumn("analysis_status", F.when(F.col("n") < 2, "FAILED").otherwise("ANALYZED"))
     )

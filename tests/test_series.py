@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condense.operators import motion
-from condense.operators.ranks import percentiles, pick_ranks
+from condense.operators.ranks import brackets, percentiles, pick_ranks, value_counts
 from condense.operators.series import attach, div, running, with_halo, with_position
 
 CHUNKS = [3, 8, 65_536]
@@ -76,17 +76,46 @@ def test_early_end(spark, chunk):
 def test_percentiles_and_ranks(spark):
     data = series(4, values=None) | {"hot": [7.0] * 500, "one": [2.5]}
     df = energies(spark, data)
-    for r in percentiles(df, ["file_id"], "energy", {"p5": 0.05, "p20": 0.2}, 0.25).collect():
+    for r in percentiles(df, ["file_id"], "energy", {"p5": 0.05, "p20": 0.2}).collect():
         xs = data[r["file_id"]]
         assert r["n"] == len(xs)
         assert r["p5"] == pytest.approx(plain.percentile(xs, 0.05), abs=1e-12)
         assert r["p20"] == pytest.approx(plain.percentile(xs, 0.2), abs=1e-12)
-    for width in (0.5, 100.0):
-        for r in pick_ranks(df, ["file_id"], "energy", {"mid": lambda n: F.floor(n / 2).cast("long")}, width).collect():
+    middle = {"mid": (0.5, lambda n: F.floor(n / 2).cast("long"))}
+    for accuracy in (10, 100, 10_000):
+        for r in pick_ranks(df, ["file_id"], "energy", middle, accuracy).collect():
             xs = sorted(data[r["file_id"]])
             assert r["mid"] == xs[len(xs) // 2]
 
 
+def test_ranks_whatever_the_spacing(spark):
+    n = 1_000_000
+    place = F.pmod(F.col("id") * 7_919, F.lit(n))
+    shapes = {
+        "close": place * 1e-9,
+        "far": (place - n / 2) * 1e12,
+        "twin": F.when(place < n // 3, -5.0).otherwise(place.cast("double")),
+    }
+    df = spark.range(n).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("v")) for k, v in shapes.items()])).alias("r")).select("r.*")
+    expected = {"close": lambda i: i * 1e-9, "far": lambda i: (i - n / 2) * 1e12, "twin": lambda i: -5.0 if i < n // 3 else float(i)}
+    wanted = {"first": (0.0, lambda n: F.lit(0)), "some": (0.2, lambda n: F.floor(n * 0.2)), "mid": (0.5, lambda n: F.floor(n / 2)), "last": (1.0, lambda n: n - 1)}
+    for r in pick_ranks(df, ["key"], "v", wanted).collect():
+        got = [r[c] for c in wanted]
+        assert got == [pytest.approx(expected[r["key"]](i), rel=1e-12) for i in (0, n // 5, n // 2, n - 1)]
+    counted = value_counts(df, ["key"], "v")
+    ends = brackets(df, counted, ["key"], "v", wanted)
+    for name in wanted:
+        held = counted.join(ends, "key").where(F.col("_v").between(F.col(f"_from_{name}"), F.col(f"_to_{name}")))
+        most = held.groupBy("key").count().agg(F.max("count"), F.count(F.lit(1))).first()
+        assert most[1] == 3 and most[0] <= n * 8 / 10_000, name
+
+
+def test_a_bracket_that_misses_its_rank_is_opened(spark):
+    df = spark.range(5_000).select(F.lit("a").alias("key"), F.col("id").cast("double").alias("v"))
+    wrong = {"last": (0.1, lambda n: n - 1)}  # the share says another place than the rank
+    assert pick_ranks(df, ["key"], "v", wrong, 100).first()["last"] == 4_999.0
+
+
 @pytest.mark.parametrize("chunk", CHUNKS)
 def test_threshold_and_smoothing(spark, chunk):
     data = series(5, cases=120) | {"one": [4.0], "flat": [3.0] * 9}
