@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import groupby, islice
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from condense.operators.series import CHUNK_ROWS, coalesce_runs, div, running
 from condense.schemas import SEGMENT_LIST
-from condense.session import ship
+from condense.session import ship, written
 
 DAY = ["date", "cam_index"]
 SEGMENT_COLUMNS = {
@@ -62,64 +62,108 @@ def merge_segments(
     return coalesce_runs(segments, keys, seq, SEGMENT_COLUMNS, _new_segment(tolerance), chunk_rows)
 
 
-#: Rows of a frame handed back.
-OUT_ROWS = 10_000
+# What the segments so far have left behind, one digit each: 0 nothing yet; 1 / 2 a kept segment, at
+# rest / in motion; 3 / 4 the same, with the last segment handed on to the next one, which is still
+# too short; 5 nothing kept, the last segment handed on; 6 handed on to one that is long enough now.
+BEFORE = "0123456"
 
-#: Passes that run through a stretch at once; a stretch that needs more gets another round.
-PASSES = 6
+# What a row's flags say of its segment (or, for the last two, of the next one).
+MOVES, SHORT, SHORT_FIRST, TURNS, TAKEN = 1, 2, 4, 8, 16
+HEAD = 32
 
 
-def _sweep(parts: Iterator[list], limits: tuple[float, float], moved: list[bool], at: int) -> Iterator[list]:
-    """One pass over a stretch: only the last kept and the next segment are held.
+@cache
+def _place(before: str, flags: int) -> tuple[str, str]:
+    """What becomes of a segment and what it leaves behind, for each state in ``before``.
 
-    A short segment goes into the segment before it if that has the other state,
-    else into the one after it. ``moved[at]`` tells whether any did.
+    What becomes of it is 2 if it starts a new segment, plus 1 if its state and source
+    are those of the segment it goes into.
     """
-    kept, part = None, next(parts, None)
-    while part is not None:
-        after = next(parts, None)
-        short = part[1] - part[0] < limits[part[2] != "DYNAMIC"]
-        if short and kept is not None and kept[2] != part[2]:
-            kept[1], kept[3], moved[at] = part[1], max(kept[3], part[3]), True
-        elif short and after is not None and after[2] != part[2]:
-            after[0], after[3], moved[at] = part[0], max(after[3], part[3]), True
+    own = 2 if flags & MOVES else 1
+    became, left = "", ""
+    for state in map(int, before):
+        if state in (0, 5):
+            passed_on = flags & SHORT_FIRST and flags & TURNS
+            then = (2 if state == 0 else 0) + (0 if passed_on else 1), 5 if passed_on else own
+        elif state in (3, 4):
+            then = 0, state - 2
+        elif state == 6:
+            then = 1, own
+        elif flags & SHORT and state != own:
+            then = 0, state
+        elif flags & SHORT and flags & TURNS:
+            then = (0, state + 2) if flags & TAKEN else (2, 6)
         else:
-            if kept is not None:
-                yield kept
-            kept = part
-        part = after
-    if kept is not None:
-        yield kept
-
-
-def _joined(parts: Iterator[list], tolerance: float) -> Iterator[list]:
-    """Neighbours of equal state at most ``tolerance`` apart as one segment."""
-    last = None
-    for part in parts:
-        if last is not None and last[2] == part[2] and part[0] - last[1] <= tolerance:
-            last[1], last[3] = part[1], max(last[3], part[3])
-        else:
-            if last is not None:
-                yield last
-            last = part
-    if last is not None:
-        yield last
+            then = 3, own
+        became, left = became + str(then[0]), left + str(then[1])
+    return became, left
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to ordered rows what becomes of each, and what its chunk has left up to it, for every state before the chunk."""
+    left = BEFORE
+    for batch in batches:
+        became, so_far = [], []
+        for flags in batch.column("_flags").to_pylist():
+            here, left = _place(BEFORE if flags & HEAD else left, flags & (HEAD - 1))
+            became.append(here)
+            so_far.append(left)
+        columns = [*batch.columns, pa.array(became, pa.string()), pa.array(so_far, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_became", "_left"])
+
+
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to the ordered chunks of each key the state before them."""
+    state = 0
+    for batch in batches:
+        states = []
+        for head, left in zip(batch.column("_first").to_pylist(), batch.column("_left").to_pylist()):
+            state = 0 if head else state
+            states.append(state)
+            state = int(left[state])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.int32())], [*batch.schema.names, "_state"])
+
+
+def _flagged(now: DataFrame, keys: list[str], seq: str, min_motion: float, min_static: float, chunk: Column) -> DataFrame:
+    """Segments with ``_chunk`` and ``_flags``, partitioned by chunk and ordered inside."""
+    no_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    lost = F.raise_error(f"a series has a NULL in its key ({', '.join(keys)})").cast("long")
+    rows = now.withColumn("_chunk", F.when(no_key, lost).otherwise(chunk)).repartition(*keys, "_chunk")
+    part = F.struct("start_time", "end_time", "state")
+    borders = rows.groupBy(*keys, "_chunk").agg(F.min_by(part, seq).alias("_head"))
+    chunks = W.partitionBy(*keys).orderBy("_chunk")
+    borders = borders.select(
+        *keys,
+        "_chunk",
+        F.first("_head.start_time").over(chunks).alias("_first_start"),
+        F.lead("_head").over(chunks).alias("_right"),
+    )
+    within = W.partitionBy(*keys, "_chunk").orderBy(seq)
+    # an outer join, so that a NULL in the key meets the error instead of vanishing
+    rows = rows.join(borders, [*keys, "_chunk"], "left").select(
+        *now.columns,
+        "_chunk",
+        "_first_start",
+        F.coalesce(F.lead(part).over(within), F.col("_right")).alias("_after"),
+        (F.row_number().over(within) == 1).alias("_head"),
+    )
 
+    def short(start: Column, end: Column, state: Column) -> Column:
+        least = F.when(state == "DYNAMIC", F.lit(float(min_motion))).otherwise(F.lit(float(min_static)))
+        return end - start < least
 
-def absorb_in_order(
-    parts: Iterable[list], min_motion: float, min_static: float, tolerance: float, moved: list[bool] | None = None
-) -> Iterator[list]:
-    """Absorb short segments of one stretch in ``PASSES`` passes, each fed by the one before.
-
-    Each item is a list [start, end, state, energy, tag]; memory holds two of them
-    per pass. Once exhausted, ``moved[-1]`` tells whether the last pass still changed anything.
-    """
-    moved = [] if moved is None else moved
-    moved[:] = [False] * PASSES
-    stream = iter(parts)
-    for at in range(PASSES):
-        stream = _joined(_sweep(stream, (min_motion, min_static), moved, at), tolerance)
-    return stream
+    own = (F.col("end_time"), F.col("state"))
+    turns = F.col("_after.state") != F.col("state")
+    tests = {
+        MOVES: F.col("state") == "DYNAMIC",
+        SHORT: short(F.col("start_time"), *own),
+        SHORT_FIRST: short(F.col("_first_start"), *own),
+        TURNS: turns,
+        TAKEN: turns & short(F.col("start_time"), F.col("_after.end_time"), F.col("_after.state")),
+        HEAD: F.col("_head"),
+    }
+    flags = reduce(lambda x, y: x + y, [F.when(test, bit).otherwise(0) for bit, test in tests.items()])
+    return rows.select(*now.columns, "_chunk", flags.cast("int").alias("_flags"))
 
 
 def absorb_short(
@@ -132,79 +176,48 @@ def absorb_short(
     chunk_rows: int = CHUNK_ROWS,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
-    """Absorb short segments into their neighbours until stable.
-
-    What one pass does depends on the pass before, so a stretch of short
-    segments is folded in order. A segment that is long enough and that no later
-    segment ends before can never become short: it separates what lies left of it
-    from what lies right of it. The series is therefore cut at every such anchor
-    and the stretches are folded independently, each streaming through its task;
-    a task holds a few segments at a time. In the rare case that ``PASSES`` passes
-    don't settle a stretch, the result is absorbed again (this runs a job).
-    An anchor takes part in both its stretches and is put together again by the
-    same merge rule, as two halves that touch.
-
-    What the steps read twice is handed to ``keep``, which may store it.
+    """Absorb short segments into their neighbours, pass by pass until stable.
+
+    A short segment goes into the segment kept before it if that has the other state, else
+    into the one after it; then neighbours are merged, and the next pass begins. What
+    becomes of a segment depends on all before it, but only through seven states, so every
+    chunk of a series is folded at the same time, for each state it may be entered in. The
+    chunks of a key, one row each, are then followed through in order, which picks the
+    state that holds, and the segments that became one are grouped. So no series and no
+    stretch of short segments lies in one task.
+
+    A pass is a job of its own and its outcome is stored. The merged input is handed to
+    ``keep``, which may store it. A NULL in a key fails the job.
     """
     keys = list(keys)
-    cols = list(SEGMENT_COLUMNS)
-    merged = merge_segments(segments, keys, seq, tolerance, chunk_rows)
     chunk = div(F.col(seq), chunk_rows)
-    merged = keep(merged, "merged")
-    later = running(merged, keys, [seq], chunk, {"_later_end": ("min", F.col("end_time"))}, reverse=True)
-    long_enough = F.col("end_time") - F.col("start_time") >= F.when(
-        F.col("state") == "DYNAMIC", F.lit(float(min_motion))
-    ).otherwise(F.lit(float(min_static)))
-    anchored = later.withColumn(
-        "_anchor", long_enough & (F.col("_later_end").isNull() | (F.col("_later_end") >= F.col("end_time")))
-    )
-    anchored = keep(anchored, "anchored")
-    placed = running(
-        anchored, keys, [seq], chunk, {"_before": ("max", F.when(F.col("_anchor"), F.col(seq)))}
-    ).withColumn("_before", F.coalesce("_before", F.lit(-1).cast("long")))
-    stretches = placed.withColumn(
-        "_stretch",
-        F.explode(F.when(F.col("_anchor"), F.array("_before", seq)).otherwise(F.array("_before"))),
-    ).select(*keys, "_stretch", seq, *cols, "_anchor")
-
-    names = [*keys, seq, *cols, "_unsettled"]
-    first = len(keys) + 2  # rows: (*keys, stretch, seq, *cols, anchor)
-    at = {c: first + i for i, c in enumerate(cols)}
-
-    def settled(group: Iterator[tuple]) -> Iterator[tuple]:
-        parts = ([row[at["start_time"]], row[at["end_time"]], row[at["state"]], row[at["max_energy"]], row] for row in group)
-        moved: list[bool] = []
-        stream = absorb_in_order(parts, min_motion, min_static, tolerance, moved)
-        part = next(stream, None)
-        while part is not None:
-            start, end, _, energy, row = part
-            part = next(stream, None)
-            left_side = row[-1] and row[len(keys)] == row[len(keys) + 1]
-            values = list(row[first:-1])
-            values[cols.index("start_time")] = row[at["end_time"]] if left_side else start
-            values[cols.index("end_time")] = end
-            values[cols.index("max_energy")] = energy
-            yield (*row[: len(keys)], row[len(keys) + 1] * 2 + bool(left_side), *values, part is None and moved[-1])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
-        made = (r for _, group in groupby(rows, key=lambda row: row[: len(keys) + 1]) for r in settled(group))
-        while done := list(islice(made, OUT_ROWS)):
-            yield pd.DataFrame(done, columns=names)
-
-    ship(stretches.sparkSession)
-    schema = stretches.select(*keys, seq, *cols, F.lit(True).alias("_unsettled")).schema
-    pieces = keep(
-        stretches.repartition(*keys, "_stretch")
-        .sortWithinPartitions(*keys, "_stretch", seq)
-        .mapInPandas(fold, schema),
-        "absorbed",
-    )
-    whole = merge_segments(pieces, keys, seq, tolerance, 2 * chunk_rows)
-    whole = whole.withColumn(seq, div(F.col(seq), 2))
-    if pieces.where("_unsettled").isEmpty():
-        return whole
-    return absorb_short(whole, keys, seq, min_motion, min_static, tolerance, chunk_rows, keep)
+    now = keep(merge_segments(segments, keys, seq, tolerance, chunk_rows), "merged")
+    ship(segments.sparkSession)
+    while True:
+        flagged = _flagged(now, keys, seq, min_motion, min_static, chunk).sortWithinPartitions(*keys, "_chunk", seq)
+        schema = T.StructType([*flagged.schema.fields, T.StructField("_became", T.StringType()), T.StructField("_left", T.StringType())])
+        rows = written(flagged.mapInArrow(_placed, schema), "absorbed")
+        chunks = rows.groupBy(*keys, "_chunk").agg(F.max_by("_left", seq).alias("_left"))
+        chunks = chunks.withColumn("_first", F.row_number().over(W.partitionBy(*keys).orderBy("_chunk")) == 1)
+        chunks = chunks.sortWithinPartitions(*keys, "_chunk")
+        schema = T.StructType([*chunks.schema.fields, T.StructField("_state", T.IntegerType())])
+        states = chunks.mapInArrow(_entered, schema).select(*keys, "_chunk", "_state")
+        became = F.substring("_became", F.col("_state") + 1, F.lit(1)).cast("int")
+        rows = rows.join(states, [*keys, "_chunk"]).select(*now.columns, became.alias("_became"))
+        if rows.where("_became != 3").isEmpty():
+            return now
+        starts = F.col("_became") >= 2
+        rows = running(rows, keys, [seq], chunk, {"_since": ("max", F.when(starts, F.col(seq)))})
+        rows = rows.withColumn("_into", F.when(starts, F.col(seq)).otherwise(F.col("_since")))
+        named = F.struct("state", "source_file", "file_start_offset")
+        whole = rows.groupBy(*keys, "_into").agg(
+            F.min_by("start_time", seq).alias("start_time"),
+            F.max_by("end_time", seq).alias("end_time"),
+            F.max("max_energy").alias("max_energy"),
+            F.first(F.when(F.col("_became") % 2 == 1, named), ignorenulls=True).alias("_named"),
+        )
+        whole = whole.select(*keys, F.col("_into").alias(seq), "start_time", "end_time", "max_energy", "_named.*")
+        now = written(merge_segments(whole, keys, seq, tolerance, chunk_rows).select(*now.columns), "merged")
 
 
 def segments_to_json(segments: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:

@@ -64,7 +64,7 @@ def absorbed_whole(parts):
 
 @pytest.mark.parametrize("chunk", CHUNKS)
 @pytest.mark.parametrize("overlaps", [False, True])
-def test_absorb_cut_at_anchors_equals_the_uncut_day(spark, chunk, overlaps):
+def test_absorb_in_chunks_equals_the_uncut_day(spark, chunk, overlaps):
     data = days(2, 400, overlaps)
     got = collected(seg.absorb_short(frame(spark, data), chunk_rows=chunk))
     want = {d: absorbed_whole(parts) for d, parts in data.items()}
@@ -72,43 +72,49 @@ def test_absorb_cut_at_anchors_equals_the_uncut_day(spark, chunk, overlaps):
     assert got == want
 
 
-def test_more_passes_than_one_round(spark, monkeypatch):
-    monkeypatch.setattr(seg, "PASSES", 1)
-    data = days(4, 300, False)
-    assert collected(seg.absorb_short(frame(spark, data))) == {d: absorbed_whole(parts) for d, parts in data.items()}
+def test_a_day_of_short_segments_is_folded_in_all_chunks(spark):
+    rnd = random.Random(9)
+    parts, at = [], 0.0
+    for i in range(6_000):
+        length = rnd.choice([0.5, 0.25, 1.5, 1.0])
+        parts.append(part(at, at + length, "DYNAMIC" if i % 2 else "STATIC", float(i % 17)))
+        at += length + (0.75 if i % 50 == 0 else 0.0)
+    df = frame(spark, {"d": parts})
+    got = collected(seg.absorb_short(df, chunk_rows=100))
+    assert got == {"d": absorbed_whole(parts)}
+    flagged = seg._flagged(seg.merge_segments(df), seg.DAY, "seq", 2.0, 30.0, F.floor(F.col("seq") / 100).cast("long"))
+    assert flagged.groupBy("_chunk").count().agg(F.max("count"), F.count("*")).first()[:] == (100, 60)
 
 
-def test_a_long_stretch_is_streamed():
-    short = ([float(i), i + 1.0, "DYNAMIC" if i % 2 else "STATIC", 1.0, i] for i in range(300_000))
-    held = []
+def test_absorb_refuses_a_null_in_its_key(spark):
+    df = frame(spark, {"d": [part(0.0, 1.0, "STATIC", 1.0), part(1.0, 50.0, "DYNAMIC", 1.0)]})
+    with pytest.raises(Exception, match="NULL in its key"):
+        seg.absorb_short(df.withColumn("date", F.lit(None).cast("string"))).count()
 
-    def counted():
-        for part in short:
-            held.append(None)
-            yield part
 
-    made = seg.absorb_in_order(counted(), 0.5, 0.5, 0.1)
-    next(made)
-    assert len(held) < 100  # the first result is there after a few segments
-    assert sum(1 for _ in made) == 299_999
+def part(start, end, state, energy):
+    return dict(zip(seg.SEGMENT_COLUMNS, (float(start), float(end), state, "s", 0.0, float(energy))))
 
 
-def fold(*parts):
-    items = [[a, b, s, e, None] for a, b, s, e in parts]
-    return [tuple(p[:4]) for p in seg.absorb_in_order(items, 2.0, 30.0, 0.5)]
-
-
-def test_absorb_by_hand():
+def test_absorb_by_hand(spark):
     S, D = "STATIC", "DYNAMIC"
-    assert fold((0, 1, D, 5)) == [(0, 1, D, 5)]  # alone: kept
-    assert fold((0, 1, D, 5), (1, 40, S, 1)) == [(0, 40, S, 5)]  # first: into the right one
-    assert fold((0, 40, S, 1), (40, 41, D, 5)) == [(0, 41, S, 5)]  # last: into the left one
-    # short static between two motions: into the left, then both motions join
-    assert fold((0, 5, D, 1), (5, 10, S, 0), (10, 20, D, 2)) == [(0, 20, D, 2)]
-    # equal states too far apart cannot be joined; the short one goes right
-    assert fold((0, 40, S, 1), (45, 50, S, 2), (50, 60, D, 3)) == [(0, 40, S, 1), (45, 60, D, 3)]
-    # exactly the minimum is long enough
-    assert fold((0, 30, S, 0), (30, 32, D, 1), (32, 62, S, 0)) == [(0, 30, S, 0), (30, 32, D, 1), (32, 62, S, 0)]
+    cases = {
+        "alone: kept": ([(0, 1, D, 5)], [(0, 1, D, 5)]),
+        "first: into the right one": ([(0, 1, D, 5), (1, 40, S, 1)], [(0, 40, S, 5)]),
+        "last: into the left one": ([(0, 40, S, 1), (40, 41, D, 5)], [(0, 41, S, 5)]),
+        "between two motions: into the left, which then join": ([(0, 5, D, 1), (5, 10, S, 0), (10, 20, D, 2)], [(0, 20, D, 2)]),
+        "equal states too far apart: the short one goes right": (
+            [(0, 40, S, 1), (45, 50, S, 2), (50, 60, D, 3)], [(0, 40, S, 1), (45, 60, D, 3)]
+        ),
+        "the same, and the right one is still too short": ([(0, 40, S, 1), (45, 45.5, S, 2), (45.5, 46, D, 3)], [(0, 46, S, 3)]),
+        "exactly the minimum is long enough": (
+            [(0, 30, S, 0), (30, 32, D, 1), (32, 62, S, 0)], [(0, 30, S, 0), (30, 32, D, 1), (32, 62, S, 0)]
+        ),
+    }
+    df = frame(spark, {name: [part(*p) for p in parts] for name, (parts, _) in cases.items()})
+    for chunk in (1, 2, 65_536):
+        got = collected(seg.absorb_short(df, chunk_rows=chunk))
+        assert got == {name: [part(*p) for p in parts] for name, (_, parts) in cases.items()}
 
 
 def test_json_round_trip(spark):
