@@ -199,8 +199,103 @@ def test_licences_own_and_inherited(spark):
     assert licenses.inherit(licenses.scan(df.limit(0))).count() == 0
 
 
+def commented(text, marker):
+    return "\n".join(f"{marker} {line}".rstrip() for line in text.split("\n"))
+
+
+GNU = """Frob - a tool for frobbing
+Copyright (C) 2019  Jane Roe
+
+This program is free software{colon} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{comma} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Copyright (c) 2012, The Frob Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+    * Redistributions of source code must retain the above copyright
+      notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright
+      notice, this list of conditions and the following disclaimer in the
+      documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+THIRD = """    * Neither the name of the Frob project nor the
+      names of its contributors may be used to endorse or promote products
+      derived from this software without specific prior written permission.
+"""
+HEADERS = {
+    "gpl3.c": ("GPL-3.0", commented(GNU.format(kind="", version=3, colon=":", comma=","), " *")),
+    "gpl2.py": ("GPL-2.0", commented(GNU.format(kind="", version=2, colon=";", comma=";"), "#")),
+    "lgpl3.cc": ("LGPL-3.0", commented(GNU.format(kind="Lesser ", version=3, colon=":", comma=","), "//")),
+    "lgpl21.h": ("LGPL-2.1", commented(GNU.format(kind="Lesser ", version="2.1", colon=";", comma=";"), " *")),
+    "agpl.js": ("AGPL-3.0", commented(GNU.format(kind="Affero ", version=3, colon=":", comma=","), "//")),
+    "apache.java": ("Apache-2.0", commented("""Copyright 2020 The Frob Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0""", " *")),
+    "bsd2.c": ("BSD-2-Clause", commented(BSD.format(third=""), " *")),
+    "bsd3.c": ("BSD-3-Clause", commented(BSD.format(third=THIRD), " *")),
+    "isc.c": ("ISC", commented("""Copyright (c) 2004 Jane Roe <jane@example.org>
+
+Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""", " *")),
+    "mit.ts": ("MIT", commented("""Copyright (c) 2018 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction.""", " *")),
+    "mpl.rs": ("MPL-2.0", commented("""This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""", "//")),
+    "tag.py": ("MIT", "# SPDX-License-Identifier: MIT"),
+    "tag.go": ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
+    "tag.c": ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    "unknown.c": (None, "/* SPDX-License-Identifier: Zlib */"),
+    "choice.c": (None, "/* SPDX-License-Identifier: MIT OR Apache-2.0 */"),
+    "prose.md": (None, "The driver showed his licence to the officer and asked for permission to leave.\nNobody would use the road in the rain."),
+}
+
+
+@pytest.mark.parametrize("as_file", [False, True])
+def test_real_headers(spark, as_file):
+    code = "\n\nint main(void) {\n    return 0;\n}\n" * 3
+    rows = [(f"{name}/LICENSE", text) if as_file else (name, text + code) for name, (_, text) in HEADERS.items()]
+    found = licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    got = {r["path"].split("/")[0]: r["own"] for r in found}
+    assert got == {name: own for name, (own, _) in HEADERS.items()}
+
+
+def test_files_of_a_hot_directory_meet_their_licence_in_parts(spark):
+    files = spark.range(20_000).select(
+        F.concat(F.lit("a/hot/f"), F.col("id").cast("string")).alias("path"), F.lit(None).cast("string").alias("own"), F.lit(0.0).alias("cosine")
+    )
+    given = spark.createDataFrame([("a/LICENSE", "MIT", 1.0)], "path string, own string, cosine double")
+    out = licenses.inherit(files.unionByName(given))
+    assert out.where("licence = 'MIT' and licence_from = 'a/LICENSE'").count() == 20_001
+    parts = files.groupBy(F.pmod(F.xxhash64("path"), F.lit(licenses.PARTS))).count()
+    assert parts.agg(F.max("count")).first()[0] < 20_000 / licenses.PARTS * 1.3
+
+
 def test_cosine_against_a_dense_statement():
-    idf, other = licenses.weights(100, {i: i for i in range(len(licenses.VOCABULARY))})
+    # no word is in more files than there are
+    idf, other = licenses.weights(100, {i: i % 100 for i in range(len(licenses.VOCABULARY))})
     text = "Licensed under the Apache License, Version 2.0 of zzz zzz"
 
     def dense(value):
