@@ -221,7 +221,11 @@ def parse(pieces_of_file: Iterable[bytes]) -> Iterator[tuple]:
                 break
             parts.append(part)
             have += len(BREAK) + len(part)
-        if have != length:
+        block, after = BREAK.join(parts), b""
+        if have > length:
+            # a block that ends in a line end makes the first blank line seen begin within it
+            block, after = block[:length], block[length:]
+        if have < length or after and not after.startswith(BREAK):
             yield _damaged(name, f"a block of {length} bytes {'is cut short' if have < length else 'ends inside a piece'}")
             # the piece that went too far may be the head of the next record
             head = parts[-1] if parts and have > length and parts[-1].startswith(b"WARC/") else _next_head(rest)
@@ -234,10 +238,10 @@ def parse(pieces_of_file: Iterable[bytes]) -> Iterator[tuple]:
             said["warc-refers-to"].strip("<>") if "warc-refers-to" in said else None,
             said.get("warc-payload-digest", "").removeprefix("sha1:") or None,
             said.get("warc-target-uri"),
-            BREAK.join(parts),
+            block,
             None,
         )
-        head = next(rest, None)
+        head = after[len(BREAK) :] if after else next(rest, None)
 
 
 def _damaged(name: str | None, error: str) -> tuple:
@@ -245,7 +249,8 @@ def _damaged(name: str | None, error: str) -> tuple:
 
 
 def _next_head(rest: Iterator[bytes]) -> bytes | None:
-    return next((piece for piece in rest if piece.startswith(b"WARC/")), None)
+    # the line end before a head may be that of the block which can't be read
+    return next((piece.removeprefix(b"\r\n") for piece in rest if piece.startswith((b"WARC/", b"\r\nWARC/"))), None)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

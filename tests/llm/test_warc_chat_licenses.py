@@ -81,6 +81,17 @@ def test_damaged_files_are_reported_and_reading_goes_on():
     assert [r[1] for r in cut] == ["response", "damaged"] and "cut short" in cut[1][-1]
 
 
+def test_blocks_may_be_cut_within_line_ends():
+    for segment in range(1, 140):
+        for payload in (b"x" * 400, b"\r\n" * 90, b"a\r\n\r\n\r" * 40, b""):
+            made = [v for n in range(2) for _, v in warc.page_records(str(n), 7, "u", payload, None, segment, 37)]
+            got = list(warc.parse((warc.BREAK.join(made) + warc.BREAK).split(warc.BREAK)))
+            assert [r[1] for r in got].count("damaged") == 0 and len(got) == len(made)
+            block = warc.HTTP + warc.chunked(payload, 37)
+            for n in range(2):
+                assert b"".join(r[-2] for r in got if r[0] == f"urn:page:7:{n}") == block
+
+
 def test_damaged_archive_is_read(spark, tmp_path):
     df = pages(spark)
     path = shared_dir(spark, "warc-test")
