@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from condense.functions.doubles import two_places
+
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -37,4 +39,4 @@ def day_offset(stamp: Column, date: Column, clamp: bool = False, local: bool = F
 
 def minutes_seconds(t: Column) -> Column:
     """``m:ss.ss``."""
-    return F.format_string("%d:%05.2f", F.floor(t / 60).cast("long"), F.pmod(t, F.lit(60.0)))
+    return F.format_string("%d:%s", F.floor(t / 60).cast("long"), two_places(F.pmod(t, F.lit(60.0)), 5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from condense.functions.clock import minutes_seconds
+from condense.functions.doubles import two_places
 from condense.operators.registry import of_day, update
 
 DAY = ["date", "cam_index"]
@@ -70,7 +71,7 @@ def write_label_csv(labels: DataFrame, path: str, per_file: bool = False) -> Non
     """
     rows = labels.where("is_motion").select(
         F.col("i").alias("frame_index"),
-        F.format_string("%.2f", F.col("time")).alias("time_sec"),
+        two_places(F.col("time")).alias("time_sec"),
         F.lit(1).alias("is_motion"),
         minutes_seconds(F.col("time")).alias("formatted_time"),
         "file_id",

@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import plain
 import pytest
 from pyspark.sql import functions as F
 
+from condense.functions.doubles import two_places
 from condense.operators import motion
 from condense.operators.ranks import brackets, percentiles, pick_ranks, value_counts
 from condense.operators.series import attach, div, running, with_halo, with_position
@@ -88,6 +90,26 @@ def test_percentiles_and_ranks(spark):
             assert r["mid"] == xs[len(xs) // 2]
 
 
+def test_percentiles_to_the_last_bit(spark):
+    con = duckdb.connect()
+    dice = random.Random(11)
+    data = {str(n): [round(dice.expovariate(0.02), 2) for _ in range(n)] for n in range(1, 130)} | {"tied": [0.1] * 30 + [0.7] * 47}
+    data["huge"], data["endless"] = [x * 1e303 for x in data["90"]], [*data["9"], float("inf")]
+    got = percentiles(energies(spark, data), ["file_id"], "energy", {"p5": 0.05, "p20": 0.2}).collect()
+    for r in got:
+        want = con.execute("SELECT quantile_cont(x, 0.05), quantile_cont(x, 0.2) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [data[r["file_id"]]])
+        close = pytest.approx if r["file_id"] == "huge" else (lambda v: v)
+        assert (r["p5"], r["p20"]) == close(want.fetchone()), r["file_id"]
+    assert len(got) == len(data)
+
+
+def test_two_places_as_c_writes_them(spark):
+    values = [i / 1000 + w for i in range(0, 2000, 5) for w in (0.0, 64660.0)] + [-0.004, -1.255, 59.995, 59.9999, 99_999.995, 1e15]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_places(F.col("v")).alias("t"), two_places(F.col("v"), 5).alias("w"))
+    for r in rows.collect():
+        assert (r["t"], r["w"]) == (f"{r['v']:.2f}", f"{r['v']:.2f}".rjust(5, "0") if r["v"] >= 0 else r["w"])
+
+
 def test_ranks_whatever_the_spacing(spark):
     n = 1_000_000
     place = F.pmod(F.col("id") * 7_919, F.lit(n))
