@@ -1,19 +1,20 @@
 """The lateness gate as a stream: a file is let through once it has settled.
 
-Every scan reports the files it saw, each with the time of the scan. The state of a path holds its last
+Every scan reports the files it saw, each with the time of the scan. A state holds a block of paths, for each its last
 size, how often that was seen and the time of the change. A file that is old enough passes at once, one
-that is nearly so passes when two sights show the same size, and the rest is held. A timer on the
+that is nearly so passes when two sights show the same size, and the rest is held. A time-out on the
 watermark of the scans judges a held file without any news of it: nobody saw it change until it was old
 enough, so it has settled; a file that a scan found gone is forgotten.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from condense.session import ship
 from condense.sources.listing import STABLE_MINUTES
@@ -29,83 +30,64 @@ SETTLED = T.StructType([
 ])
 
 
-class Settle(StatefulProcessor):
-    """Two sights of a path, and a timer for the time from which it counts as settled."""
-
-    seen = T.StructType([
-        T.StructField("length", T.LongType()),
-        T.StructField("changed", T.LongType()),
-        T.StructField("looks", T.LongType()),
-        T.StructField("passed", T.BooleanType()),
-        T.StructField("until", T.LongType()),
-    ])
-
-    def __init__(self, freeze: int, forget: int):
-        self.freeze, self.settled, self.forget = freeze, freeze + STABLE_MINUTES * MINUTE, forget
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.sight = handle.getValueState("sight", self.seen)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None:  # a scan's word that it saw nothing; a filter would drop it before it moves the watermark
-            return
-        news = sorted(
-            (
-                (int(at), int(changed), None if pd.isna(length) else int(length))
-                for pdf in rows
-                if not pdf.empty
-                for at, changed, length in zip(pdf["seen_us"], pdf["changed_us"].fillna(0), pdf["length"])
-            ),
-            key=lambda n: (n[0], n[2] is None, n[1], n[2] or 0),
-        )
+#: Blocks of paths, each one state: a state a path costs some milliseconds whatever it holds.
+BLOCKS = 2_048
+
+#: Per path of a block its last size, the time of the change, how often that was seen, whether it passed and until when this holds.
+STATE = "body binary"
+
+
+def settle_block(freeze: int, forget: int):
+    """Two sights of a path, and a time-out for the time from which it counts as settled, for the paths of a block."""
+    settled = freeze + STABLE_MINUTES * MINUTE
+
+    def look(sight: tuple | None, at: int, changed: int, length: int) -> tuple[tuple, bool]:
+        """What is known after a look at a file, and whether it passes by that."""
+        same = sight is not None and sight[:2] == (length, changed)
+        if same and sight[3]:
+            return (*sight[:4], at + forget), False
+        looks, age = sight[2] + 1 if same else 1, at - changed
+        passed = age >= settled or (age >= freeze and looks > 1)
+        return (length, changed, looks, passed, at + forget if passed else changed + settled), passed
+
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sights: dict[str, tuple] = pickle.loads(state.get[0]) if state.exists else {}
         out: list[tuple] = []
-        before = after = self.sight.get() if self.sight.exists() else None
-        for at, changed, length in news:
-            if length is None:
-                after = None
-                continue
-            if after is not None and after[3] and after[:2] == (length, changed):
-                after = (*after[:4], at + self.forget)
+        news: list[tuple] = []
+        if not state.hasTimedOut:
+            for pdf in parts:
+                columns = [pdf[c].tolist() for c in ("path", "seen_us", "gone", "changed_us", "length")]
+                # a scan's word that it saw nothing has no path; a filter would drop it before it moves the watermark
+                news += [row for row in zip(*columns) if row[0] is not None]
+        for path, at, gone, changed, length in sorted(news):
+            if gone:
+                sights.pop(path, None)
                 continue
-            looks = after[2] + 1 if after is not None and after[:2] == (length, changed) else 1
-            age = at - changed
-            passed = age >= self.settled or (age >= self.freeze and looks > 1)
-            after = (length, changed, looks, passed, at + self.forget if passed else changed + self.settled)
+            sights[path], passed = look(sights.get(path), at, changed, length)
             if passed:
-                out.append((key[0], length, changed, at))
-        if after is None:
-            self._stop(before)
-        elif after != before:
-            self._stop(before)
-            self.sight.update(after)
-            self.handle.registerTimer(-(-after[4] // MS))
-        yield self._rows(out)
-
-    def _stop(self, before: tuple | None) -> None:
-        if before is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.sight.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.sight.exists():
-            length, changed, looks, passed, until = self.sight.get()
-            if until <= timerValues.getCurrentWatermarkInMs() * MS:
-                self.sight.clear()
-                if not passed:  # let through, and remembered for a while
-                    out.append((key[0], length, changed, until))
-                    self.sight.update((length, changed, looks, True, until + self.forget))
-                    self.handle.registerTimer(-(-(until + self.forget) // MS))
-        yield self._rows(out)
-
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=SETTLED.fieldNames())
+                out.append((path, length, changed, at))
+        watermark = state.getCurrentWatermarkMs()
+        for path, (length, changed, looks, passed, until) in list(sights.items()):
+            if until > watermark * MS:
+                continue
+            if not passed:  # let through, and remembered for a while
+                out.append((path, length, changed, until))
+                until += forget
+                sights[path] = (length, changed, looks, True, until)
+            if until <= watermark * MS:
+                del sights[path]
+        if sights:
+            state.update((pickle.dumps(sights),))
+            state.setTimeoutTimestamp(-(-min(s[4] for s in sights.values()) // MS))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=SETTLED.fieldNames())
+
+    return judge
 
 
 def settled_stream(
-    sights: DataFrame, freeze_minutes: float = 10.0, delay: str = "30 seconds", forget_days: float = 1.0
+    sights: DataFrame, freeze_minutes: float = 10.0, delay: str = "30 seconds", forget_days: float = 1.0, blocks: int = BLOCKS
 ) -> DataFrame:
     """Files of ``sights`` that have settled: ``path``, ``length``, ``modificationTime`` and ``settled_at``, each once per size.
 
@@ -117,16 +99,16 @@ def settled_stream(
     with_state_store(sights.sparkSession)
     timed = sights.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", delay)
     rows = timed.select(
+        F.pmod(F.xxhash64("path"), F.lit(blocks)).alias("block"),
         "path",
-        F.col("length").cast("double").alias("length"),
-        F.unix_micros(F.col("modificationTime").cast("timestamp")).alias("changed_us"),
+        F.col("length").isNull().alias("gone"),
+        F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"),
+        F.coalesce(F.unix_micros(F.col("modificationTime").cast("timestamp")), F.lit(0)).alias("changed_us"),
         F.unix_micros("seen_at").alias("seen_us"),
         "seen_at",
     )
-    judge = Settle(round(freeze_minutes * MINUTE), round(forget_days * 1440 * MINUTE))
-    found = rows.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=judge, outputStructType=SETTLED, outputMode="append", timeMode="eventTime"
-    )
+    judge = settle_block(round(freeze_minutes * MINUTE), round(forget_days * 1440 * MINUTE))
+    found = rows.groupBy("block").applyInPandasWithState(judge, SETTLED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(
         "path", "length", F.timestamp_micros("changed_us").alias("modificationTime"), F.timestamp_micros("settled_us").alias("settled_at")
     )

@@ -228,6 +228,16 @@ def test_a_stage_stopped_in_a_batch_decides_every_key_once(spark, tmp_path):
 SIGHTS = "path string, modificationTime timestamp, length long, seen_at timestamp"
 
 
+def test_paths_of_one_state_are_judged_apart(spark, tmp_path):
+    path, at = str(tmp_path), lambda m: START + dt.timedelta(minutes=m)
+    files = [(f"/{n}", START - dt.timedelta(minutes=n), n, at(0)) for n in range(30)]
+    more = [("/3", at(-3), 3, at(1)), ("/5", at(-5), None, at(1)), ("/12", at(-12), 12, at(1)), ("/7", at(1), 8, at(1))]
+    sights = arrive(spark, f"{path}/in", SIGHTS, files, more, [(None, None, None, at(40))], [(None, None, None, at(41))])
+    got = run(spark, settle.settled_stream(sights, blocks=1), path).collect()
+    want = {f"/{n}": (n, max(0, 15 - n)) for n in range(30) if n != 5} | {"/12": (12, 1), "/7": (8, 16)}
+    assert {r["path"]: (r["length"], (r["settled_at"] - START).total_seconds() / 60) for r in got} == want and len(got) == 29
+
+
 def test_growing_vanished_and_settled_files_are_judged_without_news(spark, tmp_path):
     path = str(tmp_path)
     born = START - dt.timedelta(minutes=11)
