@@ -26,21 +26,23 @@ def _local(column: str) -> Column:
 
 
 def sampled_hits(
-    frames: DataFrame, detections: DataFrame, classes=TARGET_CLASSES, confidence: float = 0.3
+    frames: DataFrame, detections: DataFrame, classes=TARGET_CLASSES, confidence: float = 0.3, block: int | None = None
 ) -> DataFrame:
-    """One row per sampled frame: ``hit`` tells whether it shows a target."""
-    hits = (
-        detections.where(is_target(F.col("class_id"), F.col("conf"), classes, confidence))
-        .select("file_id", "frame_idx")
-        .distinct()
-        .withColumn("hit", F.lit(True))
-    )
-    return (
-        frames.select("file_id", "frame_idx")
-        .distinct()
-        .join(hits, ["file_id", "frame_idx"], "left")
-        .select("file_id", "frame_idx", F.coalesce("hit", F.lit(False)).alias("hit"))
-    )
+    """One row per sampled frame: ``hit`` tells whether it shows a target.
+
+    With ``block`` the rows lie by file and ``_block`` of so many frames, as ``segment_frames``
+    joins them, so that the frames go through one shuffle from here to their segments.
+    """
+    keys = ["file_id", "frame_idx"]
+    hits = detections.where(is_target(F.col("class_id"), F.col("conf"), classes, confidence)).select(*keys)
+    hits = hits.where(F.col("file_id").isNotNull() & F.col("frame_idx").isNotNull())
+    looks = frames.select(*keys, F.lit(True).alias("_seen"), F.lit(False).alias("hit"))
+    looks = looks.unionByName(hits.select(*keys, F.lit(False).alias("_seen"), F.lit(True).alias("hit")))
+    if block is not None:
+        keys = ["file_id", "_block", "frame_idx"]
+        looks = looks.withColumn("_block", div(F.col("frame_idx"), block)).repartition("file_id", "_block")
+    judged = looks.groupBy(*keys).agg(F.bool_or("_seen").alias("_seen"), F.bool_or("hit").alias("hit"))
+    return judged.where("_seen").drop("_seen")
 
 
 def detected_hits(detected: DataFrame, classes=TARGET_CLASSES, confidence: float = 0.3) -> DataFrame:
@@ -83,7 +85,7 @@ def segment_frames(
 
     ``segments`` has ``file_id`` and ``segment_id``, ``frames`` ``file_id``,
     ``frame_idx`` and ``hit``; ``rate`` is the frames per second behind
-    ``frame_idx``. ``align="segment"`` takes every step-th frame counted from the
+    ``frame_idx``. Frames with a ``_block`` (of ``block`` frames) already lie by it. ``align="segment"`` takes every step-th frame counted from the
     start of the segment, ``"any"`` every frame there is in the range.
 
     The join runs on (file, block of frames), so a long file is spread over many
@@ -101,7 +103,7 @@ def segment_frames(
         F.greatest(F.lit(1), F.floor(rate / F.lit(sample_rate)).cast("long")).alias("_step"),
     )
     ranged = ranged.withColumn("_block", F.explode(F.sequence(div(F.col("_lo"), block), div(F.col("_hi"), block))))
-    placed = frames.withColumn("_block", div(F.col("frame_idx"), block))
+    placed = frames if "_block" in frames.columns else frames.withColumn("_block", div(F.col("frame_idx"), block))
     inside = F.col("frame_idx").between(F.col("_lo"), F.col("_hi"))
     pairs = ranged.join(placed, ["file_id", "_block"]).where(inside)
     if align == "segment":

@@ -81,8 +81,8 @@ vs AS (SELECT sg.file_id, sg.segment_id, coalesce(frames_checked, 0) AS frames_c
        FROM sg LEFT JOIN sn ON sg.file_id = sn.file_id AND sg.segment_id = sn.segment_id)"""
 
 
-def seen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vf.sampled_hits(order_frames(spark, sf_dir), line_detections(spark, sf_dir))
+def seen_frames(spark: SparkSession, sf_dir: str, block: int | None = vf.FRAME_BLOCK) -> DataFrame:
+    return vf.sampled_hits(order_frames(spark, sf_dir), line_detections(spark, sf_dir), block=block)
 
 
 def verified(spark: SparkSession, sf_dir: str, align: str) -> DataFrame:
@@ -101,7 +101,7 @@ def verify_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bound("detection_hits", f"WITH {_DETECTIONS} SELECT file_id, frame_idx, hit FROM ft")
 def detection_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen_frames(spark, sf_dir)
+    return seen_frames(spark, sf_dir, None)
 
 
 @bound(

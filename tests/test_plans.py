@@ -60,6 +60,16 @@ def test_threshold_join_and_run_windows_share_an_exchange(unaided, tmp_path):
     assert above_join.count("Exchange hashpartitioning") == 1  # the one that brings border runs together
 
 
+def test_sampled_frames_meet_their_segments_in_one_shuffle(unaided, tmp_path):
+    unaided.range(9).selectExpr("id % 2 file_id", "id frame_idx", "int(id) class_id", "0.5D conf").write.parquet(str(tmp_path / "d"))
+    unaided.range(9).selectExpr("id file_id", "0 segment_id", "0D start_time", "9D end_time", "0D file_start_offset").write.parquet(str(tmp_path / "s"))
+    seen, segments = (unaided.read.parquet(str(tmp_path / n)) for n in "ds")
+    hits = vf.sampled_hits(seen.select("file_id", "frame_idx"), seen, block=vf.FRAME_BLOCK)
+    pairs = vf.segment_frames(segments, hits, F.lit(1.0))
+    assert plan(pairs).count("Exchange hashpartitioning") == 2  # frames with detections, and segments
+    assert {(r["frame_idx"], r["hit"]) for r in pairs.collect()} == {(i, i < 4) for i in range(9)}
+
+
 def test_frames_are_shuffled_once(unaided, tmp_path):
     path = str(tmp_path / "f")
     unaided.range(10).selectExpr("cast(id % 2 as string) file_id", "id div 2 i", "array(int(id)) pixels").write.parquet(path)
