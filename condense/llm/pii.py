@@ -7,14 +7,14 @@ score a span from its format and its surroundings; per kind, a threshold calibra
 held-out candidates for a wanted precision decides. Of overlapping accepted spans
 the most probable one stays.
 
-The trees learn without hand-made labels. Up to ``MAX_PLAIN`` plain spans of each of about
-``TRAIN_DOCS`` documents, chosen by a hash of their text, are rewritten into other usual
+The trees learn without hand-made labels. All plain spans of all documents are rewritten into other usual
 forms inside their own surroundings (positive), and into look-alikes: broken
 checksums, octets over 255, dates, versions, amounts, identifiers (negative). What the generators
 propose in these documents by themselves may be personal data in another form, so
 it isn't taken for negative unless a check rules it out (``impossible``); the rest stays
 unlabelled. A quarter of the documents, by hash, is held out, and only their candidates set the
-thresholds, so no text is on both sides. Every whole text is searched.
+thresholds, so no text is on both sides. Equal candidates are learned and judged as one that counts
+as often as it occurs. Every whole text is searched.
 
 Defined results: a NULL or empty text has no spans; rows are handled one by one, so
 repeated rows repeat their result, NULL ids are kept and ties don't arise; where
@@ -29,7 +29,9 @@ import hashlib
 import ipaddress
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,10 @@ from condense.session import ship, written
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(4)
 
-TRAIN_DOCS = 8_000
-MAX_CANDIDATES = 40_000
-MAX_PLAIN = 50
 PRECISION = 0.99
+#: Steps of probability in which held-out candidates are counted for the thresholds.
+STEPS = 10_000
+TRAIN_ROWS = 5_000  # a batch
 
 #: The plain forms (fixed values).
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -159,6 +161,18 @@ def candidates(text: str) -> list[Span]:
     return sorted(found)
 
 
+def apart(found: Sequence[Span], plain: Sequence[Span]) -> list[Span]:
+    """The spans that overlap none of the plain ones, which are ordered by start."""
+    starts = [s for s, _, _ in plain]
+    ends = list(accumulate((e for _, e, _ in plain), max))  # the furthest end so far
+    out = []
+    for span in found:
+        before = bisect_left(starts, span[1])
+        if not before or ends[before - 1] <= span[0]:
+            out.append(span)
+    return out
+
+
 FEATURES = 24
 
 
@@ -288,20 +302,19 @@ TRAIN = [field("features", "array_double"), field("label", "double"), field("kin
 
 
 def training_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Labelled candidates from about TRAIN_DOCS documents."""
+    """Labelled candidates from all documents."""
     ship(df.sparkSession)
-    share = min(1.0, TRAIN_DOCS / max(1, df.count()))
-    part = df.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    part = df.select(F.col(text).alias("text"))
     schema = arrow_schema(TRAIN)
 
     def labelled(value: str) -> Iterator[tuple]:
         plain = base_spans(value)
         said = value.encode("utf-8", "surrogatepass")
         dice = np.random.default_rng(zlib.crc32(said))
-        for span in candidates(value):
-            if all(span[1] <= s or e <= span[0] for s, e, _ in plain) and impossible(value, span):
+        for span in apart(candidates(value), plain):
+            if impossible(value, span):
                 yield features(value, span), 0.0, span[2]
-        for start, end, kind in plain[:MAX_PLAIN]:
+        for start, end, kind in plain:
             left, right = value[max(0, start - 60) : start], value[end : end + 60]
             forms = [(form, label, left, right) for form, label in _rewritten(value[start:end], kind, dice)]
             if kind in (CARD, PHONE):
@@ -322,22 +335,27 @@ def training_candidates(df: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                rows = [r for t in part.column("text").to_pylist() if t for r in numbered(t)]
-                columns = list(zip(*rows)) or [()] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                rows = (r for t in part.column("text").to_pylist() if t for r in numbered(t))
+                while some := list(islice(rows, TRAIN_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
     return part.mapInArrow(run, T.StructType(TRAIN))
 
 
-def thresholds(scored: list[tuple[int, float, float]], precision: float = PRECISION) -> list[float]:
-    """Per kind, the lowest probability from which held-out candidates reach ``precision``; over 1 if none does."""
+def thresholds(scored: list[tuple], precision: float = PRECISION) -> list[float]:
+    """Per kind, the lowest probability from which held-out candidates reach ``precision``; over 1 if none does.
+
+    A candidate is its kind, probability and label, and how many there are of it (1 if left out).
+    """
     out = []
     for kind in range(len(KINDS)):
-        own = sorted(((p, y) for k, p, y in scored if k == kind), reverse=True)
-        best, good = 1.1, 0.0
-        for n, (p, y) in enumerate(own, 1):
-            good += y
-            tied = n < len(own) and own[n][0] == p
+        own = sorted(((p, y, *n) for k, p, y, *n in scored if k == kind), reverse=True)
+        best, good, n = 1.1, 0.0, 0
+        for at, (p, y, *more) in enumerate(own, 1):
+            count = more[0] if more else 1
+            good += y * count
+            n += count
+            tied = at < len(own) and own[at][0] == p
             if not tied and n >= 20 and good >= precision * n:
                 best = max(p, 0.5)
         out.append(best)
@@ -352,18 +370,20 @@ class Model:
 
 
 def fit(df: DataFrame, text: str = "text") -> Model:
-    rows = training_candidates(df, text).orderBy("pick", "n").limit(MAX_CANDIDATES)
-    rows = written(rows.withColumn("vector", array_to_vector("features")), "pii-train")
-    seen = {(r["kind"], r["label"]): r["count"] for r in rows.groupBy("kind", "label").count().collect()}
+    held = (F.pmod("pick", F.lit(4)) == 0).alias("held")
+    rows = training_candidates(df, text).groupBy("features", "kind", "label", held).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.orderBy("features", "kind", "label", "held").withColumn("vector", array_to_vector("features"))
+    rows = written(rows, "pii-train")
+    seen = {(r["kind"], r["label"]): r["n"] for r in rows.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
     if min(sum(n for (_, label), n in seen.items() if label == y) for y in (0.0, 1.0)) < 20:
         return Model(None, [1.1] * len(KINDS))
     # every kind counts alike, or the many runs of digit groups decide how addresses are scored
     totals = [sum(n for (k, _), n in seen.items() if k == kind) for kind in range(len(KINDS))]
     share = F.element_at(F.array(*[F.lit(sum(totals) / max(1, n)) for n in totals]), F.col("kind") + 1)
-    rows = rows.withColumn("weight", share / len(KINDS))
-    held = F.pmod("pick", F.lit(4)) == 0
-    trees = GBTClassifier(featuresCol="vector", weightCol="weight", maxDepth=4, maxIter=20, stepSize=0.3, seed=5).fit(rows.filter(~held))
-    scored = trees.transform(rows.filter(held)).select("kind", vector_to_array("probability")[1].alias("p"), "label")
+    rows = rows.withColumn("weight", F.col("n") * share / len(KINDS))
+    trees = GBTClassifier(featuresCol="vector", weightCol="weight", maxDepth=4, maxIter=20, stepSize=0.3, seed=5).fit(rows.filter(~F.col("held")))
+    step = (F.floor(vector_to_array("probability")[1] * STEPS) / STEPS).alias("p")
+    scored = trees.transform(rows.filter("held")).groupBy("kind", step, "label").agg(F.sum("n").alias("n"))
     return Model(trees, thresholds([tuple(r) for r in scored.collect()]))
 
 
@@ -394,7 +414,7 @@ def search(df: DataFrame, text: str = "text", keep: Sequence[str] | None = None)
                 for k in range(len(KINDS)):
                     counts[k].append(sum(1 for s in plain if s[2] == k))
                 described_.append(described(plain))
-                free = [s for s in candidates(t) if all(s[1] <= a or b <= s[0] for a, b, _ in plain)]
+                free = apart(candidates(t), plain)
                 spans.append([{"start": s[0], "end": s[1], "kind": s[2], "features": features(t, s)} for s in free])
                 numbers.append((task << 36) + n)
                 n += 1

@@ -162,6 +162,17 @@ def test_held_out_candidates_are_of_other_documents(documents):
     assert len({r["pick"] for r in rows}) <= 500 < len(rows) and {r["pick"] % 4 == 0 for r in rows} == {True, False}
 
 
+def test_every_document_and_every_plain_span_is_learned_from(spark):
+    texts = spark.range(9_000).selectExpr("concat('write to user', id, '@example.org now') text")
+    assert pii.training_candidates(texts).select("pick").distinct().count() == 9_000
+    many = spark.createDataFrame([(" ; ".join(f"user{n}@example.org" for n in range(200)),)], "text string")
+    assert pii.training_candidates(many).where("label = 1").count() >= 1_000
+    counted = [(0, p / 10, float(p >= 6), 10) for p in range(10)]
+    assert pii.thresholds(counted) == pii.thresholds([c[:3] for c in counted for _ in range(10)])
+    plain = [(0, 9, 0), (2, 4, 1), (20, 25, 0)]
+    assert pii.apart([(9, 20, 0), (8, 10, 0), (5, 8, 0), (24, 30, 1), (25, 30, 1)], plain) == [(9, 20, 0), (25, 30, 1)]
+
+
 def test_base_spans_stay_and_redaction_covers_them(documents, model):
     for r in pii.find(documents, model).collect():
         plain = plain_spans(r["text"])
