@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from condense.operators.series import CHUNK_ROWS, coalesce_runs, div, running
+from condense.operators.series import CHUNK_ROWS, attach, coalesce_runs, div, running, with_halo, with_position
 from condense.schemas import SEGMENT_LIST
 from condense.session import ship, written
 
@@ -166,6 +168,145 @@ def _flagged(now: DataFrame, keys: list[str], seq: str, min_motion: float, min_s
     return rows.select(*now.columns, "_chunk", flags.cast("int").alias("_flags"))
 
 
+# Passes that a chunk makes at once, and the part of a chunk it borrows from either neighbour for that.
+PASSES, BORROWED = 16, 16
+SETTLED, UNSETTLED, LOST = 0, 1, 2
+
+
+@cache
+def _steps() -> list[int]:
+    """For state * HEAD + flags: what becomes of a segment * 8 + the state it leaves behind."""
+    placed = [_place(BEFORE, flags) for flags in range(HEAD)]
+    return [int(became[i]) * 8 + int(left[i]) for i in range(len(BEFORE)) for became, left in placed]
+
+
+def _runs(new: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First members, and one after the last members, of the runs that begin where ``new``."""
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)
+
+
+def _pass(now: tuple, given: dict, open_left: bool, open_right: bool) -> tuple[tuple, float, bool]:
+    """One pass over a stretch of merged segments; an open end has unknown segments beyond it.
+
+    ``now`` holds per segment the rows of its start, its end and its state, and its energy.
+    Only segments that the unknown ones can't change are returned, with the row of the first
+    segment left out at the right and whether anything changed.
+    """
+    head, tail, named, energy = now
+    n = len(head)
+    start, end, state = given["start"][head], given["end"][tail], given["state"][named]
+    least = given["least"][named]
+    turns, taken = np.zeros(n, bool), np.zeros(n, bool)
+    turns[:-1] = (state[1:] != state[:-1]) & (state[1:] >= 0) & (state[:-1] >= 0)
+    taken[:-1] = turns[:-1] & (end[1:] - start[:-1] < least[1:])
+    short, short_first = end - start < least, end - given["first_start"] < least
+    flags = given["moves"][named] * MOVES + short * SHORT + short_first * SHORT_FIRST + turns * TURNS + taken * TAKEN
+    flags, before, at = flags.tolist(), BEFORE[1:] if open_left else BEFORE[0], 0
+    while len(set(before)) > 1 and at < n:
+        before, at = _place(before, flags[at])[1], at + 1
+    state_at, steps, became = int(before[0]) * HEAD, _steps(), []
+    for flag in flags[at : n - 1 if open_right else n]:
+        step = steps[state_at + flag]
+        became.append(step >> 3)
+        state_at = (step & 7) * HEAD
+    became = np.array(became, np.int64)
+
+    # segments that became one; the last may go on beyond an open end
+    first, stop = _runs(became >= 2, len(became))
+    if open_right:
+        first, stop = first[:-1], stop[:-1]
+    odd = np.flatnonzero(became % 2 == 1)
+    whose = odd[np.minimum(np.searchsorted(odd, first), len(odd) - 1)] if len(odd) else first
+    first, stop, whose = first + at, stop + at, named[whose + at]
+
+    # neighbours merged; the first and the last run may go on beyond an open end
+    gap = start[first[1:]] - end[stop[:-1] - 1]
+    state = given["state"][whose]
+    new = np.ones(len(first), bool)
+    new[1:] = (state[1:] != state[:-1]) | (state[1:] < 0) | ~(gap <= given["tolerance"])
+    since, until = _runs(new, len(first))
+    beyond = np.inf
+    if open_right:
+        beyond = head[first[since[-1]]] if len(since) else -1
+        since, until = since[:-1], until[:-1]
+    if open_left:
+        since, until = since[1:], until[1:]
+    if not len(since):
+        return (head[:0], tail[:0], named[:0], energy[:0]), beyond, True
+    a, b = first[since], stop[until - 1]
+    highest = np.maximum.reduceat(energy[: b[-1]], a)
+    return (head[a], tail[b - 1], whose[since], highest), beyond, bool(b[-1] - a[0] != len(a))
+
+
+def _settle(keys: list[str], seq: str, schema: pa.Schema, min_motion: float, min_static: float, tolerance: float):
+    """Up to ``PASSES`` passes over a chunk with the segments borrowed from its neighbours.
+
+    Returns its own segments and a row without ``seq`` that says how it ended: SETTLED,
+    UNSETTLED (the last pass changed something) or LOST (what lies beyond matters).
+    """
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        own = np.flatnonzero(table.column("_own").to_numpy())
+        if not len(own):  # lent to a chunk beyond the last one
+            return schema.empty_table()
+        at, last, first_start = (table.column(c)[0].as_py() for c in ("_pos", "_last", "_first_start"))
+        open_left, open_right = at > 0, table.column("_pos")[-1].as_py() < last
+        codes = table.column("state").combine_chunks().dictionary_encode()
+        state = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        moves = np.array([s == "DYNAMIC" for s in codes.dictionary.to_pylist()] + [False])[state]
+        number = lambda c: table.column(c).cast("double").to_numpy()  # noqa: E731  (NULL as NaN: neither is short)
+        given = {
+            "start": number("start_time"),
+            "end": number("end_time"),
+            "first_start": np.nan if first_start is None else first_start,
+            "state": state,
+            "moves": moves,
+            "least": np.where(moves, float(min_motion), float(min_static)),
+            "tolerance": float(tolerance),
+        }
+        rows = np.arange(len(table))
+        absent = table.column("max_energy").is_null().to_numpy()
+        now, said, beyond = (rows, rows, rows, np.where(absent, -np.inf, number("max_energy"))), LOST, np.inf
+        for _ in range(PASSES):
+            now, edge, changed = _pass(now, given, open_left, open_right)
+            beyond = min(beyond, edge)
+            if not len(now[0]) or (open_left and now[0][0] > own[0]) or (open_right and beyond <= own[-1]):
+                now, said = tuple(x[:0] for x in now), LOST
+                break
+            said = UNSETTLED if changed else SETTLED
+            if not (changed or open_left or open_right):
+                break
+        mine = (now[0] >= own[0]) & (now[0] <= own[-1])
+        head, tail, named, energy = (x[mine] for x in now)
+        present = np.append(0, np.cumsum(~absent))
+        nothing = present[tail + 1] == present[head]
+        made = {c: table.column(c).take(pa.array(head)) for c in [*keys, seq, "start_time"]}
+        made["end_time"] = table.column("end_time").take(pa.array(tail))
+        made |= {c: table.column(c).take(pa.array(named)) for c in ("state", "source_file", "file_start_offset")}
+        made["max_energy"] = pa.array(energy, mask=nothing)
+        made["_said"] = pa.nulls(len(head), pa.int32())
+        how = {f.name: pa.nulls(1, f.type) for f in schema} | {"_said": pa.array([said], pa.int32())}
+        return pa.concat_tables([pa.table({f.name: made[f.name] for f in schema}).cast(schema), pa.table(how, schema)])
+
+    return settle
+
+
+def _settled(now: DataFrame, keys: list[str], seq: str, chunk_rows: int, rule: tuple[float, float, float]) -> tuple[DataFrame, int]:
+    """Merged segments after as many passes as every chunk makes on its own, and how the worst chunk ended."""
+    near = max(1, chunk_rows // BORROWED)
+    per_key = now.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_last"), F.min_by("start_time", seq).alias("_first_start"))
+    rows = with_position(now, keys, [seq], div(F.col(seq), chunk_rows), "_pos")
+    rows = with_halo(rows, keys, "_pos", near, near, chunk_rows)
+    # an outer join, so that a NULL in the key meets the error of the numbering instead of vanishing
+    rows = attach(rows, per_key, keys, "_pos", F.col("_last"), chunk_rows, "left")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in now.schema] + [T.StructField("_said", T.IntegerType())])
+    settle = _settle(keys, seq, to_arrow_schema(schema), *rule)
+    done = written(rows.groupBy(*keys, "_chunk").applyInArrow(settle, schema), "settled")
+    return done.where("_said IS NULL").drop("_said"), done.agg(F.coalesce(F.max("_said"), F.lit(SETTLED))).first()[0]
+
+
 def absorb_short(
     segments: DataFrame,
     keys: Sequence[str] = DAY,
@@ -186,14 +327,25 @@ def absorb_short(
     state that holds, and the segments that became one are grouped. So no series and no
     stretch of short segments lies in one task.
 
-    A pass is a job of its own and its outcome is stored. The merged input is handed to
-    ``keep``, which may store it. A NULL in a key fails the job.
+    Most passes need nothing of this: what a segment feels ends at the next one that stays as
+    it is. So a chunk first makes ``PASSES`` passes at once with segments borrowed from its
+    neighbours, and leaves out what those beyond could change. Where that reaches its own
+    segments in any chunk, all chunks make one pass as above instead, and then try again.
+
+    The outcome of either is stored. The merged input is handed to ``keep``, which may store
+    it. A NULL in a key fails the job.
     """
     keys = list(keys)
     chunk = div(F.col(seq), chunk_rows)
     now = keep(merge_segments(segments, keys, seq, tolerance, chunk_rows), "merged")
     ship(segments.sparkSession)
     while True:
+        alone, ended = _settled(now, keys, seq, chunk_rows, (min_motion, min_static, tolerance))
+        if ended == SETTLED:
+            return alone
+        if ended == UNSETTLED:
+            now = alone
+            continue
         flagged = _flagged(now, keys, seq, min_motion, min_static, chunk).sortWithinPartitions(*keys, "_chunk", seq)
         schema = T.StructType([*flagged.schema.fields, T.StructField("_became", T.StringType()), T.StructField("_left", T.StringType())])
         rows = written(flagged.mapInArrow(_placed, schema), "absorbed")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import plain
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,92 @@ def test_a_day_of_short_segments_is_folded_in_all_chunks(spark):
     assert flagged.groupBy("_chunk").count().agg(F.max("count"), F.count("*")).first()[:] == (100, 60)
 
 
+def long_day(seed, n):
+    """A day that settles in several passes, with short segments, gaps and ends before the end of the one before."""
+    rnd, parts, at = random.Random(seed), [], 0.0
+    for i in range(n):
+        at += rnd.choice([0.25, 0.5, 1.0, 5.0, 20.0, 40.0])
+        end = at + rnd.choice([0.1, 1.5, 10.0, 30.0, 60.0, 500.0])
+        parts.append(part(at, end, rnd.choice(["STATIC", "DYNAMIC"]), float(rnd.randint(0, 99))) | {"source_file": f"s{i}"})
+    return parts
+
+
+def test_all_passes_of_a_long_day_are_one_job(spark, monkeypatch):
+    jobs, write = [], seg.written
+    monkeypatch.setattr(seg, "written", lambda df, label: jobs.append(label) or write(df, label))
+    data = {"a": long_day(1, 12_000), "b": long_day(2, 9_000), "c": long_day(3, 50)}
+    got = collected(seg.absorb_short(frame(spark, data), chunk_rows=3_200))
+    assert got == {d: absorbed_whole(parts) for d, parts in data.items()}
+    assert jobs == ["settled"]  # a pass wrote two tables, and these days take several
+
+
+def test_a_day_that_needs_its_neighbours_is_settled_too(spark, monkeypatch):
+    jobs, write = [], seg.written
+    monkeypatch.setattr(seg, "written", lambda df, label: jobs.append(label) or write(df, label))
+    data = {"a": long_day(4, 900)}
+    got = collected(seg.absorb_short(frame(spark, data), chunk_rows=40))  # borrows 2 segments: too few
+    assert got == {"a": absorbed_whole(data["a"])}
+    assert "absorbed" in jobs
+
+
+def test_more_passes_than_a_job_makes(spark, monkeypatch):
+    jobs, write = [], seg.written
+    monkeypatch.setattr(seg, "PASSES", 1)
+    monkeypatch.setattr(seg, "ship", lambda session: None)
+    monkeypatch.setattr(seg, "written", lambda df, label: jobs.append(label) or write(df, label))
+    stretches = seg._settle
+    monkeypatch.setattr(seg, "_settle", lambda *a: one_pass(stretches(*a)))
+    data = {"a": long_day(5, 5_000), "b": long_day(6, 700)}
+    got = collected(seg.absorb_short(frame(spark, data), chunk_rows=1_000))
+    assert got == {d: absorbed_whole(parts) for d, parts in data.items()}
+    assert len(jobs) > 2 and set(jobs) == {"settled"}
+
+
+def one_pass(settle):
+    def run(table):
+        seg.PASSES = 1  # in the worker, which imports the module anew
+        return settle(table)
+
+    return run
+
+
+@pytest.mark.parametrize("overlaps", [False, True])
+def test_what_a_stretch_knows_is_what_the_whole_day_has(overlaps):
+    rnd = random.Random(11)
+    for case, parts in days(12, 300, overlaps).items():
+        parts = plain.merge(parts, 0.5)
+        if len(parts) < 4:
+            continue
+        lo = rnd.randint(0, len(parts) - 3)
+        hi = rnd.randint(lo + 2, len(parts))
+        whole, some = stretch(parts, 0, len(parts)), stretch(parts, lo, hi)
+        for _ in range(4):
+            whole, _, _ = seg._pass(whole, facts(parts), False, False)
+            some, beyond, _ = seg._pass(some, facts(parts), lo > 0, hi < len(parts))
+            if not len(some[0]):
+                break
+            known = (whole[0] >= some[0][0]) & (whole[0] < beyond)
+            assert [x[known].tolist() for x in whole] == [x.tolist() for x in some], case
+
+
+def stretch(parts, lo, hi):
+    rows = np.arange(lo, hi)
+    return rows, rows, rows, np.array([p["max_energy"] for p in parts[lo:hi]])
+
+
+def facts(parts):
+    moves = np.array([p["state"] == "DYNAMIC" for p in parts])
+    return {
+        "start": np.array([p["start_time"] for p in parts]),
+        "end": np.array([p["end_time"] for p in parts]),
+        "first_start": parts[0]["start_time"],
+        "state": moves.astype(int),
+        "moves": moves,
+        "least": np.where(moves, 2.0, 30.0),
+        "tolerance": 0.5,
+    }
+
+
 def test_absorb_refuses_a_null_in_its_key(spark):
     df = frame(spark, {"d": [part(0.0, 1.0, "STATIC", 1.0), part(1.0, 50.0, "DYNAMIC", 1.0)]})
     with pytest.raises(Exception, match="NULL in its key"):
